@@ -6,7 +6,7 @@ decimal(38,12) so that ties behave like decimal arithmetic and not like binary f
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -20,6 +20,14 @@ def lit_null(kind: str = "double") -> Column:
     return F.lit(None).cast(kind)
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once, so nested formulas do not repeat their input.
+
+    Meant for reduced tables (one row per security, sector or company), not for raw scans.
+    """
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def finite_decimal(c: Column, positive: bool = False) -> Column:
     """Text or number to decimal; NaN, infinities and unparsable text become null."""
     parsed = c.try_cast(WIDE)
@@ -44,9 +52,23 @@ def half_up(c: Column, digits: int) -> Column:
     return F.round((c.cast("double") * F.lit(TIE_NUDGE)).try_cast(WIDE), digits).cast("double")
 
 
-def half_even(c: Column, digits: int) -> Column:
-    """Round half to even, used by the float-based watch list."""
-    return F.bround(c.cast("double"), digits)
+def float_round(c: Column, digits: int) -> Column:
+    """Round a double by its exact binary value, ties to even (2.675 to two digits is 2.67).
+
+    The product with the power of ten is taken together with its rounding error (a split product),
+    so the decision is made on the exact value.
+    """
+    q = float(10**digits)
+
+    def exact(x: Column) -> Column:
+        p = x * q
+        high = x * 134217729.0 - (x * 134217729.0 - x)
+        error = (high * q - p) + (x - high) * q
+        # Only a product that lands exactly on a half can be on the wrong side of the true value.
+        lean = F.when(p - F.floor(p) == 0.5, F.signum(error) * 0.25).otherwise(F.lit(0.0))
+        return F.rint(p + lean) / q
+
+    return let(c.cast("double"), exact)
 
 
 def clip(c: Column, low: float = 0.0, high: float = 100.0) -> Column:

@@ -311,49 +311,107 @@ def veto_inputs(years: DataFrame) -> DataFrame:
     )
 
 
-def slow_variables(
-    distributions: DataFrame, cash_flows: DataFrame, balance: DataFrame, overlays: DataFrame | None = None
-) -> DataFrame:
+def slow_variables(years: DataFrame, as_of: Column, overlays: DataFrame | None = None) -> DataFrame:
     """History-only surface of a company: H, S, coverage, growth, payout quality.
 
-    ``distributions`` are the newest eligible years (with rn), ``cash_flows`` the newest eligible
-    coverage years (with rn), ``balance`` one row per company with balance_kind and balance_value,
-    ``overlays`` current business_durability / governance scores.
+    ``years`` is the yearly fact table.  Eligible distribution years, eligible coverage years and the
+    newest balance sheet are all picked in one pass: one window and one aggregate over the same
+    company partitioning, so the yearly table is shuffled once.
     """
     c = F.col
-    credited = distributions.withColumn(
-        "buyback",
-        eligible_buyback(c("gross_cancelled_buyback"), c("cancelled_shares"), c("diluted_net_share_reduction")),
-    ).withColumn("effective", effective_distribution_verified(c("ordinary_dividend"), c("buyback")))
-    hist = history_profile(newest_values(credited, "effective"))
-    fcf = free_cash_flow(cash_flows)
-    caps = fcf.groupBy("company_id").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("rn", c("fiscal_year"), c("fcf").cast("double").alias("x")))),
-            lambda s: F.struct(s["fiscal_year"].alias("y"), s["x"].alias("x")),
+    ended = c("fiscal_year_end_date") <= as_of
+    pays = F.coalesce(
+        (c("period_type") == "FULL_YEAR")
+        & ended
+        & c("ordinary_dividend_status").isin(*ELIGIBLE_DIVIDEND_STATUSES)
+        & (c("paid") >= 0),
+        F.lit(False),
+    )
+    covers = F.coalesce(
+        (c("fiscal_year_end_date").isNull() | ended)
+        & c("operating_cash_flow").isNotNull()
+        & (c("capital_expenditure") >= 0),
+        F.lit(False),
+    )
+    so_far = newest_first().rowsBetween(Window.unboundedPreceding, 0)
+    paid = F.when(
+        c("ordinary_dividend").isNull() & (c("ordinary_dividend_status") == "NO_DISTRIBUTION"), F.lit(0)
+    ).otherwise(c("ordinary_dividend"))
+    flagged = (
+        years.withColumn("paid", paid)
+        .withColumns({"pays": pays, "covers": covers})
+        .withColumns(
+            {
+                "rn": F.row_number().over(newest_first()),
+                "rd": F.sum(c("pays").cast("int")).over(so_far),
+                "rc": F.sum(c("covers").cast("int")).over(so_far),
+                "buyback": eligible_buyback(
+                    c("gross_cancelled_buyback"), c("cancelled_shares"), c("diluted_net_share_reduction")
+                ),
+            }
+        )
+        .withColumn("effective", effective_distribution_verified(c("paid"), c("buyback")))
+    )
+    in_d = c("pays") & (c("rd") <= 10) & c("effective").isNotNull()
+    in_c = c("covers") & (c("rc") <= 5)
+    plain = (c("operating_cash_flow") - c("capital_expenditure")).cast("double")
+    packed = flagged.groupBy("company_id").agg(
+        F.array_sort(F.collect_list(F.when(in_d, F.struct("rd", c("effective").alias("x"))))).alias("d"),
+        F.array_sort(
+            F.collect_list(
+                F.when(
+                    in_c,
+                    F.struct(
+                        "rc",
+                        c("fiscal_year").alias("y"),
+                        plain.alias("x"),
+                        c("lease_principal_repayment").cast("double").alias("l"),
+                    ),
+                )
+            )
         ).alias("f"),
-        F.max("simplified_fcf").alias("simplified_fcf"),
+        F.max(F.when(c("rn") == 1, F.struct("balance_kind", "balance_value"))).alias("b"),
     )
-    values = F.transform(c("f"), lambda s: s["x"])
-    # The unbroken run from the newest year, oldest first.
-    run = F.filter(c("f"), lambda s, i: s["y"] == F.get(c("f"), F.lit(0))["y"] - i)
-    growth_series = F.reverse(F.transform(run, lambda s: s["x"]))
-    caps = caps.select(
-        "company_id",
-        "simplified_fcf",
-        F.size("f").alias("coverage_years"),
-        F.when(F.size("f") >= 2, S.median(values)).alias("capacity"),
-        growth_series.alias("growth_series"),
+    simple = F.exists("f", lambda s: s["l"].isNull())
+    staged = (
+        packed.where(F.size("d") > 0)
+        .withColumns({"v": F.transform("d", lambda s: s["x"]), "simplified_fcf": F.when(F.size("f") > 0, simple)})
+        .withColumns(
+            {
+                "fcf": F.transform(
+                    "f",
+                    lambda s: F.struct(
+                        s["y"].alias("y"),
+                        F.when(c("simplified_fcf"), s["x"]).otherwise(s["x"] - s["l"]).alias("x"),
+                    ),
+                ),
+                "balance_kind": c("b.balance_kind"),
+                "balance_value": c("b.balance_value"),
+            }
+        )
+        .withColumn("newest_fcf_year", F.get(c("fcf"), F.lit(0))["y"])
+        .withColumns(
+            {
+                "coverage_years": F.size("fcf"),
+                "fcf_sorted": F.array_sort(F.transform("fcf", lambda s: s["x"])),
+                # The unbroken run from the newest year, oldest first.
+                "growth_series": F.reverse(
+                    F.transform(F.filter("fcf", lambda s, i: s["y"] == c("newest_fcf_year") - i), lambda s: s["x"])
+                ),
+            }
+        )
     )
-    joined = hist.join(caps, "company_id", "left").join(balance, "company_id", "left")
-    if overlays is not None:
-        joined = joined.join(overlays, "company_id", "left")
-    else:
-        joined = joined.withColumns({"business_durability": lit_null(), "governance": lit_null()})
-    growth = S.organic_growth(
-        c("growth_series"), P.FORMULA["organic_growth_floor"], P.FORMULA["organic_growth_ceiling"]
+    hist = history_profile(staged).withColumns(
+        {
+            "capacity": F.when(c("coverage_years") >= 2, S.middle(c("fcf_sorted"))),
+            "organic_growth": S.organic_growth(
+                c("growth_series"), P.FORMULA["organic_growth_floor"], P.FORMULA["organic_growth_ceiling"]
+            ),
+        }
     )
-    out = joined.withColumn("organic_growth", growth).withColumns(
+    if overlays is not None:
+        hist = hist.join(overlays, "company_id", "left")
+    out = hist.withColumns(
         {
             "sustainable": sustainable_distribution(c("h"), c("capacity"), c("simplified_fcf")),
             "coverage_ratio": F.when(c("h") > 0, c("capacity") / c("h")),
@@ -364,8 +422,7 @@ def slow_variables(
             "stability_component": F.when(c("n_years") >= 2, stability_score(c("v"))),
             "balance_component": balance_score(c("balance_kind"), c("balance_value")),
         }
-    )
-    out = out.withColumn("coverage_component", linear_score(c("coverage_ratio"), P.COVERAGE_KNOTS, rounded=False))
+    ).withColumn("coverage_component", linear_score(c("coverage_ratio"), P.COVERAGE_KNOTS, rounded=False))
     return out.withColumn(
         "payout_quality",
         weighted_score(

@@ -313,11 +313,9 @@ def latest_balance(spark, sf):
 
 
 def slow(spark, sf):
-    return H.slow_variables(
-        distributions(spark, sf),
-        coverage(spark, sf),
-        latest_balance(spark, sf).select("company_id", "balance_kind", "balance_value"),
-    )
+    from cashlens.operators.ledger import balance_sheet_kind
+
+    return H.slow_variables(balance_sheet_kind(D.company_years(spark, sf)), as_of())
 
 
 part(

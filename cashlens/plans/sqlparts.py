@@ -33,6 +33,15 @@ def rnd(x: str, digits: int) -> str:
     return f"CAST(round(CAST(CAST({x} AS DOUBLE) * 1.00000000000001::DOUBLE AS DECIMAL(38,12)), {digits}) AS DOUBLE)"
 
 
+def fround(x: str, digits: int) -> str:
+    """Round a double by its exact binary value."""
+    q = f"{float(10 ** digits)!r}::DOUBLE"
+    hi = f"({x} * 134217729.0::DOUBLE - ({x} * 134217729.0::DOUBLE - {x}))"
+    err = f"(({hi} * {q} - {x} * {q}) + ({x} - {hi}) * {q})"
+    lean = f"(CASE WHEN {x} * {q} - floor({x} * {q}) = 0.5 THEN sign({err}) * 0.25::DOUBLE ELSE 0.0::DOUBLE END)"
+    return f"(round_even({x} * {q} + {lean}, 0) / {q})"
+
+
 def m(x: str) -> str:
     return f"CAST({x} AS DECIMAL(18,2))"
 

@@ -29,20 +29,23 @@ def get_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str =
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the session.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (tests) is a
-    folder made here.
+    A cluster names it in ``spark.checkpoint.dir``.  Only where none is set (tests) a folder is made.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
         import tempfile
 
         configured = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", configured)
     return configured
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise a frame in the shared checkpoint folder so a lost executor costs no long replay."""
+    """Materialise a reduced frame in the shared checkpoint folder.
+
+    Used where several branches read one aggregate of a large table: the large table is scanned once,
+    and a lost executor re-reads the checkpoint instead of replaying the scan.
+    """
     spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint(eager=True)

@@ -58,27 +58,46 @@ def securities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def weekly_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """security_id, week, close: volume-weighted price of the week."""
+def trading_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """security_id, week, fiscal_year with traded amount, quantity and cash return.
+
+    The one aggregate from which weekly prices and yearly cash returns both derive.
+    """
     li = table(spark, sf_dir, "lineitem")
-    return (
-        li.groupBy(
+    return li.groupBy(
+        F.col("l_suppkey").alias("security_id"),
+        F.trunc(F.col("l_shipdate").cast("date"), "week").alias("week"),
+        F.year("l_shipdate").alias("fiscal_year"),
+    ).agg(
+        F.sum(money("l_extendedprice")).alias("amount"),
+        F.sum(money("l_quantity")).alias("quantity"),
+        F.sum(money("l_extendedprice") * F.col("l_discount").cast("decimal(4,2)")).alias("cash"),
+    )
+
+
+def weekly_prices(spark: SparkSession, sf_dir: str, weeks: DataFrame | None = None) -> DataFrame:
+    """security_id, week, close: volume-weighted price of the week."""
+    if weeks is None:
+        li = table(spark, sf_dir, "lineitem")
+        grouped = li.groupBy(
             F.col("l_suppkey").alias("security_id"),
             F.trunc(F.col("l_shipdate").cast("date"), "week").alias("week"),
+        ).agg(F.sum(money("l_extendedprice")).alias("amount"), F.sum(money("l_quantity")).alias("quantity"))
+    else:
+        grouped = weeks.groupBy("security_id", "week").agg(
+            F.sum("amount").alias("amount"), F.sum("quantity").alias("quantity")
         )
-        .agg(F.sum(money("l_extendedprice")).alias("amount"), F.sum(money("l_quantity")).alias("quantity"))
-        .select(
-            "security_id",
-            "week",
-            F.round(ratio(F.col("amount"), F.col("quantity")).cast(WIDE), 4).cast("decimal(18,4)").alias("close"),
-        )
+    return grouped.select(
+        "security_id",
+        "week",
+        F.round(ratio(F.col("amount"), F.col("quantity")).cast(WIDE), 4).cast("decimal(18,4)").alias("close"),
     )
 
 
-def price_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+def price_features(spark: SparkSession, sf_dir: str, weeks: DataFrame | None = None) -> DataFrame:
     """One row per security: last and previous close, returns, RSI, drawdown, weeks of history."""
     newest = Window.partitionBy("security_id").orderBy(F.desc("week"))
-    ranked = weekly_prices(spark, sf_dir).select(
+    ranked = weekly_prices(spark, sf_dir, weeks).select(
         "security_id",
         "close",
         F.row_number().over(newest).alias("rn"),
@@ -113,20 +132,22 @@ def price_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def yield_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
+def yield_basis(spark: SparkSession, sf_dir: str, weeks: DataFrame | None = None) -> DataFrame:
     """security_id, basis: mean yearly cash return per share with the years it covers."""
-    li = table(spark, sf_dir, "lineitem")
-    yearly = (
-        li.groupBy(F.col("l_suppkey").alias("security_id"), F.year("l_shipdate").alias("fiscal_year"))
-        .agg(
-            F.sum(F.col("l_extendedprice").cast(MONEY) * F.col("l_discount").cast(MONEY)).alias("cash"),
-            F.sum(money("l_quantity")).alias("shares"),
+    if weeks is None:
+        li = table(spark, sf_dir, "lineitem")
+        grouped = li.groupBy(F.col("l_suppkey").alias("security_id"), F.year("l_shipdate").alias("fiscal_year")).agg(
+            F.sum(money("l_extendedprice") * F.col("l_discount").cast("decimal(4,2)")).alias("cash"),
+            F.sum(money("l_quantity")).alias("quantity"),
         )
-        .select(
-            "security_id",
-            "fiscal_year",
-            F.round(ratio(F.col("cash"), F.col("shares")).cast(WIDE), 6).alias("per_share"),
+    else:
+        grouped = weeks.groupBy("security_id", "fiscal_year").agg(
+            F.sum("cash").alias("cash"), F.sum("quantity").alias("quantity")
         )
+    yearly = grouped.select(
+        "security_id",
+        "fiscal_year",
+        F.round(ratio(F.col("cash"), F.col("quantity")).cast(WIDE), 6).alias("per_share"),
     )
     return yearly.groupBy("security_id").agg(
         half_up(ratio(F.sum("per_share"), F.count("per_share")), 6).alias("basis"),

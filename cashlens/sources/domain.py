@@ -238,3 +238,28 @@ def event_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("batch_seq"),
         F.col("value"),
     )
+
+
+def company_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One snapshot per company and release hour, aggregated from the raw event values."""
+    e = table(spark, sf_dir, "events")
+    v = F.col("value").cast(MONEY)
+    g = e.groupBy(F.col("user_id").alias("company_id"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("run_at")).agg(
+        F.sum(v).alias("s"),
+        F.count("value").alias("n"),
+        F.max(v).alias("hi"),
+        F.min(v).alias("lo"),
+        F.array_sort(F.collect_set("event_type")).alias("kinds"),
+    )
+    mean = ratio(F.col("s"), F.col("n"))
+    return g.select(
+        "company_id",
+        "run_at",
+        F.col("run_at").cast("date").alias("trade_date"),
+        half_up(mean / 1250, 6).alias("ssy"),
+        half_up(F.col("hi").cast("double") / 1250, 6).alias("raw_yield"),
+        F.col("s").cast("double").alias("h"),
+        F.col("lo").cast("double").alias("eri"),
+        half_up(mean / 50, 6).alias("coverage"),
+        "kinds",
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cashlens.plans import events, history, screening, watchlist  # noqa: F401
+from cashlens.plans import events, history, ledger, screening, watchlist  # noqa: F401
 from cashlens.plans.registry import PLANS, SQL
 
 __all__ = ["PLANS", "SQL"]

@@ -263,3 +263,89 @@ def company_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         half_up(mean / 50, 6).alias("coverage"),
         "kinds",
     )
+
+
+FIELD_OF_PRIORITY = {
+    "1-URGENT": "net_profit",
+    "2-HIGH": "operating_cash_flow",
+    "3-MEDIUM": "capital_expenditure",
+    "4-NOT SPECIFIED": "total_equity",
+    "5-LOW": "cash",
+}
+POINT_FIELDS = tuple(FIELD_OF_PRIORITY.values())
+CONFLICT_ABOVE = 400_000
+
+
+def raw_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Provenance points: one per order; the status decides source and data status."""
+    o = table(spark, sf_dir, "orders")
+    status, amount = F.col("o_orderstatus"), money("o_totalprice")
+    field = F.lit(None).cast("string")
+    for priority, name in FIELD_OF_PRIORITY.items():
+        field = F.when(F.col("o_orderpriority") == priority, name).otherwise(field)
+    data_status = F.when(status != "P", "VALID").when(amount > CONFLICT_ABOVE, "CONFLICT").otherwise("MISSING")
+    source = F.when(status == "F", "Official annual report").when(status == "O", "Provider feed").otherwise("Exchange filing")
+    year = F.year("o_orderdate")
+    return o.select(
+        F.col("o_custkey").alias("company_id"),
+        year.alias("fiscal_year"),
+        field.alias("field"),
+        F.concat(F.lit("FY"), year.cast("string"), F.lit("."), field).alias("field_id"),
+        F.lit(None).cast("string").alias("security_id"),
+        F.concat(F.lit("FY"), year.cast("string")).alias("fiscal_period"),
+        source.alias("source_name"),
+        F.lower(F.regexp_replace(source, " ", "-")).alias("source_document"),
+        F.lit("/archive").alias("source_url_or_local_path"),
+        F.when(status == "F", "OFFICIAL_FILING").otherwise("PROVIDER").alias("source_level"),
+        F.col("o_orderdate").alias("source_fetch_time"),
+        F.when(amount > 300_000, F.lit(None)).otherwise("CNY").alias("currency"),
+        F.lit("currency").alias("unit"),
+        F.when(data_status == "VALID", amount).alias("value"),
+        data_status.alias("data_status"),
+        F.lit("ORIGINAL").alias("restatement_status"),
+        F.col("o_orderkey").alias("ingest_seq"),
+        F.col("o_orderkey").alias("seq"),
+    )
+
+
+def provider_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Provider statement facts per company, year and field (unpivoted yearly sums)."""
+    years = company_years(spark, sf_dir).select("company_id", "fiscal_year", *[F.col(f).cast("decimal(38,2)").alias(f) for f in POINT_FIELDS])
+    return years.unpivot(["company_id", "fiscal_year"], list(POINT_FIELDS), "field", "value")
+
+
+def report_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report fields per company and year: current value, comparative column, vendor value.
+
+    The comparative column repeats the previous year without its urgent orders, the vendor value
+    leaves out the low-priority ones, so both agree with the report only where there are none.
+    """
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("company_id"),
+        F.year("o_orderdate").alias("fiscal_year"),
+        F.col("o_orderstatus").alias("field"),
+        "o_orderpriority",
+        money("o_totalprice").alias("amount"),
+    )
+    p = F.col("o_orderpriority")
+    g = o.groupBy("company_id", "field", "fiscal_year").agg(
+        F.sum("amount").alias("current_value"),
+        F.sum(F.when(p != "1-URGENT", F.col("amount"))).alias("next_comparative"),
+        F.sum(F.when(p != "5-LOW", F.col("amount"))).alias("vendor_value"),
+    )
+    w = Window.partitionBy("company_id", "field").orderBy("fiscal_year")
+    known = F.col("vendor_value").isNotNull()
+    return g.select(
+        "company_id",
+        "field",
+        "fiscal_year",
+        "current_value",
+        F.lag("next_comparative").over(w).alias("comparative_value"),
+        F.lit("CNY").alias("currency"),
+        F.lit("currency").alias("unit"),
+        "vendor_value",
+        F.when(known, "CNY").alias("vendor_currency"),
+        F.when(known, "VALID").otherwise("MISSING").alias("vendor_status"),
+        F.lit("REVIEW").alias("extraction_status"),
+        (F.col("current_value") > 600_000).alias("accepted_before"),
+    )

@@ -349,3 +349,87 @@ def report_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("REVIEW").alias("extraction_status"),
         (F.col("current_value") > 600_000).alias("accepted_before"),
     )
+
+
+def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One short annual report per order, worded from the order's own values.
+
+    Three pages: a cash-flow statement in the unit of the priority, a dividend sentence whose
+    wording follows the status, and a share-change table.
+    """
+    o = table(spark, sf_dir, "orders")
+    year = F.year("o_orderdate")
+    amount = F.format_number(money("o_totalprice"), 2)
+    other = F.format_number((F.col("o_orderkey") + 1).cast(MONEY), 2)
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    unit = (
+        F.when(priority == "1-URGENT", "单位：人民币百万元")
+        .when(priority == "5-LOW", "人民币元 美元万元")
+        .when(priority == "4-NOT SPECIFIED", "单位：元")
+        .otherwise("单位：人民币元")
+    )
+    shown = F.when(status == "P", F.concat(F.lit("("), amount, F.lit(")"))).otherwise(amount)
+    row = F.concat_ws(" ", F.lit("经营活动产生的现金流量净额"), shown, other)
+    flow = F.concat_ws(
+        "\n",
+        F.lit("合并现金流量表"),
+        unit,
+        row,
+        F.when(status == "O", row),
+        F.lit("购建固定资产、无形资产和其他长期资产支付的现金"),
+        F.concat_ws(" ", F.lit(" "), shown, other),
+        F.lit("母公司现金流量表"),
+        F.lit("经营活动产生的现金流量净额 1.00 2.00"),
+    )
+    y = year.cast("string")
+    dividend = (
+        F.when(status == "F", F.concat(y, F.lit("年度已派发现金股息总额人民币"), amount, F.lit("元")))
+        .when(
+            status == "P",
+            F.concat(
+                F.lit("股东大会审议通过"),
+                y,
+                F.lit("年度末期股息，每10股派发现金红利人民币"),
+                F.format_number((money("o_totalprice") / 100000).cast("decimal(18,2)"), 2),
+                F.lit("元"),
+            ),
+        )
+        .otherwise(F.concat(F.lit("建议派发"), y, F.lit("年度特别股息合计港币"), amount, F.lit("元")))
+    )
+    first = F.format_number(F.col("o_orderkey") + 1_000_000, 0)
+    last = F.format_number(F.col("o_orderkey") + 1_000_000 - F.col("o_custkey"), 0)
+    shares = F.concat_ws(
+        "\n", F.lit("股份变动情况 本次变动前 本次变动后 单位：股"), F.concat_ws(" ", F.lit("一、股份总数"), first, F.lit("100.00%"), last, F.lit("100.00"))
+    )
+    return o.select(
+        F.col("o_orderkey").alias("doc_id"),
+        F.col("o_custkey").alias("company_id"),
+        year.alias("fiscal_year"),
+        F.lit("CN").alias("market"),
+        F.lit("CNY").alias("currency"),
+        F.sha2(F.col("o_orderkey").cast("string"), 256).alias("sha256"),
+        F.concat_ws("\f", flow, dividend, shares).alias("text"),
+    )
+
+
+def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report documents with titles in five forms, one per order."""
+    o = table(spark, sf_dir, "orders")
+    year = F.year("o_orderdate") + 5
+    y, p = year.cast("string"), F.col("o_orderpriority")
+    cjk = F.translate(y, "0123456789", "〇一二三四五六七八九")
+    title = (
+        F.when(p == "1-URGENT", F.concat(y, F.lit("年年度报告")))
+        .when(p == "2-HIGH", F.concat(F.lit("Annual Report "), y))
+        .when(p == "3-MEDIUM", F.concat(cjk, F.lit("年年报（修订版）")))
+        .when(p == "4-NOT SPECIFIED", F.concat((year - 1).cast("string"), F.lit("/"), F.substring(y, 3, 2), F.lit(" 年報")))
+        .otherwise(F.concat(y, F.lit("年半年度报告摘要")))
+    )
+    return o.select(
+        F.col("o_orderkey").alias("doc_id"),
+        F.col("o_custkey").alias("company_id"),
+        title.alias("source_document"),
+        F.col("o_orderdate").cast("date").alias("publish_date"),
+        F.col("o_orderkey").alias("source_announcement_id"),
+        F.floor("o_totalprice").cast("int").alias("source_size_hint_kb"),
+    )

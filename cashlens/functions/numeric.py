@@ -66,7 +66,8 @@ def float_round(c: Column, digits: int) -> Column:
         error = (high * q - p) + (x - high) * q
         # Only a product that lands exactly on a half can be on the wrong side of the true value.
         lean = F.when(p - F.floor(p) == 0.5, F.signum(error) * 0.25).otherwise(F.lit(0.0))
-        return F.rint(p + lean) / q
+        # Beyond 2^52 the scaled value has no fraction left to round.
+        return F.when(F.abs(p) >= 4503599627370496.0, x).otherwise(F.rint(p + lean) / q)
 
     return let(c.cast("double"), exact)
 

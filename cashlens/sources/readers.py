@@ -142,12 +142,11 @@ def annual_cash_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fx_rates_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Daily reference rates: (as_of, currency, rate) from nested Cube elements."""
-    schema = "_time string, Cube array<struct<_currency:string,_rate:double,_VALUE:string>>"
-    days = spark.read.format("xml").option("rowTag", "Cube").schema(schema).load(path).where(c("_time").isNotNull())
-    return days.select(c("_time").alias("as_of"), F.explode("Cube").alias("x")).select(
-        "as_of", c("x._currency").alias("currency"), c("x._rate").alias("rate")
-    )
+    """Daily reference rates: (as_of, currency, rate) from the nested Cube elements."""
+    schema = "Cube array<struct<_time:string,Cube:array<struct<_currency:string,_rate:double,_VALUE:string>>>>"
+    outer = spark.read.format("xml").option("rowTag", "Cube").schema(schema).load(path)
+    days = outer.select(F.explode("Cube").alias("d")).select(c("d._time").alias("as_of"), F.explode("d.Cube").alias("x"))
+    return days.select("as_of", c("x._currency").alias("currency"), c("x._rate").alias("rate"))
 
 
 def report_text(spark: SparkSession, path: str) -> DataFrame:

@@ -84,7 +84,7 @@ PAGE_GENERIC_UNITS = (
     (r"单位\s*[:：]\s*千元|單位\s*[:：]\s*千元", 1_000),
     (r"单位\s*[:：]\s*元|單位\s*[:：]\s*元", 1),
 )
-AMOUNT_TOKEN = r"(?<![\d.])(?:[-−]?\d[\d,]*(?:\.\d+)?|[\(（]\s*\d[\d,]*(?:\.\d+)?\s*[\)）])(?![\d.])"
+AMOUNT_TOKEN = r"(?=[-−\d\(（])(?<![\d.])(?:[-−]?\d[\d,]*(?:\.\d+)?|[\(（]\s*\d[\d,]*(?:\.\d+)?\s*[\)）])(?![\d.])"
 DIVIDEND_TERMS = ("股息", "股利", "红利", "紅利", "现金分红", "現金分紅", "dividend")
 SPECIAL_TERMS = ("特别股息", "特別股息", "特殊股息", "specialdividend")
 SOFT_EXCLUSIONS = (
@@ -170,11 +170,18 @@ def fold_name(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"[^a-z0-9一-鿿]", "")
 
 
+def guarded(alternatives: str, first: str) -> str:
+    """Pattern with a cheap first-character test in front, so most positions fail at once."""
+    return f"(?=[{first}])(?:{alternatives})"
+
+
 def any_of(c: Column, terms: Sequence[str]) -> Column:
     """True when one of the fixed terms occurs (one compiled pattern, one pass)."""
     import re
 
-    return c.rlike("|".join(re.escape(t).replace("\\-", "-") for t in terms))
+    quoted = "|".join(re.escape(t).replace("\\-", "-") for t in terms)
+    first = "".join(dict.fromkeys(re.escape(t[0]) for t in terms))
+    return c.rlike(guarded(quoted, first))
 
 
 def amount(token: Column) -> Column:
@@ -202,20 +209,38 @@ def integral_share_tokens(line: Column) -> Column:
     return let(values, lambda v: F.when(F.size(v) >= 3, F.filter(v, lambda x: x != 100)).otherwise(v))
 
 
+def _all_at(alternatives: str, first: str) -> str:
+    """Captures an alternative at every position where one starts, overlaps included."""
+    return f"(?=[{first}])(?=({alternatives}))"
+
+
+def _explicit_unit(word: Column) -> Column:
+    out = F.when(F.lit(False), F.struct(F.lit("").alias("currency"), F.lit(0.0).alias("multiplier")))
+    for p, cur, mul in PAGE_UNITS:
+        out = out.when(word.rlike("^(?:" + p + ")"), F.struct(F.lit(cur).alias("currency"), F.lit(float(mul)).alias("multiplier")))
+    return out
+
+
+def _generic_unit(word: Column) -> Column:
+    out = F.when(F.lit(False), F.lit(0.0))
+    for p, mul in PAGE_GENERIC_UNITS:
+        out = out.when(word.rlike("^(?:" + p + ")"), F.lit(float(mul)))
+    return out
+
+
 def unit_context(page: Column, currency: Column, market: Column) -> Column:
-    """Struct(currency, multiplier, status) of a page: one explicit unit, several (CONFLICT), or none."""
-    hits = F.array_distinct(
-        F.array_compact(
-            F.array(
-                *[
-                    F.when(page.rlike(p), F.struct(F.lit(cur).alias("currency"), F.lit(float(mul)).alias("multiplier")))
-                    for p, cur, mul in PAGE_UNITS
-                ]
-            )
-        )
+    """Struct(currency, multiplier, status) of a page: one explicit unit, several (CONFLICT), or none.
+
+    One pass collects the unit words of the page (a look-ahead, so overlapping words all count); only
+    those short words are then classified.
+    """
+    hits = let(
+        F.array_distinct(F.regexp_extract_all(page, F.lit(_all_at("|".join(p for p, _, _ in PAGE_UNITS), "人港千美RrHhUu")), 1)),
+        lambda words: F.array_distinct(F.array_compact(F.transform(words, _explicit_unit))),
     )
-    generic = F.array_distinct(
-        F.array_compact(F.array(*[F.when(page.rlike(p), F.lit(float(mul))) for p, mul in PAGE_GENERIC_UNITS]))
+    generic = let(
+        F.array_distinct(F.regexp_extract_all(page, F.lit(_all_at("|".join(p for p, _ in PAGE_GENERIC_UNITS), "单單")), 1)),
+        lambda words: F.array_distinct(F.array_compact(F.transform(words, _generic_unit))),
     )
 
     def pack(cur: Column, mul: Column, status: str) -> Column:

@@ -139,6 +139,15 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Da
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan over the cores before row-heavy work, only where it has fewer partitions than cores.
+
+    A large table already has more splits than cores and is left alone, so nothing is shuffled there.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once, with their count."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cashlens.functions.numeric import MONEY, WIDE, half_up, ratio
+from cashlens.operators.scale import spread
 
 AS_OF = "2001-11-04"
 
@@ -357,7 +358,8 @@ def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     Three pages: a cash-flow statement in the unit of the priority, a dividend sentence whose
     wording follows the status, and a share-change table.
     """
-    o = table(spark, sf_dir, "orders")
+    narrow = ("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    o = spread(table(spark, sf_dir, "orders").select(*narrow))
     year = F.year("o_orderdate")
     amount = F.format_number(money("o_totalprice"), 2)
     other = F.format_number((F.col("o_orderkey") + 1).cast(MONEY), 2)
@@ -414,7 +416,7 @@ def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report documents with titles in five forms, one per order."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice"))
     year = F.year("o_orderdate") + 5
     y, p = year.cast("string"), F.col("o_orderpriority")
     cjk = F.translate(y, "0123456789", "〇一二三四五六七八九")

@@ -475,12 +475,12 @@ def alerts(watch: DataFrame) -> DataFrame:
 
 
 def select_one(df: DataFrame, selector: str, columns: tuple[str, ...]) -> DataFrame:
-    """Rows where any id column equals the selector, with the number of hits beside them (must be 1)."""
+    """One row: how many rows match the selector in any id column, and the match itself (null unless unique)."""
     hit = F.lit(False)
     for x in columns:
         hit = hit | (c(x) == selector)
-    found = df.where(hit)
-    return found.crossJoin(F.broadcast(found.agg(F.count(F.lit(1)).alias("hits"))))
+    found = df.where(hit).agg(F.count(F.lit(1)).alias("hits"), F.min(F.struct(*df.columns)).alias("match"))
+    return found.withColumn("match", F.when(c("hits") == 1, c("match")))
 
 
 def yield_basis(rows: DataFrame) -> DataFrame:
@@ -511,11 +511,3 @@ def historical_yield(prices: DataFrame, targets: DataFrame) -> DataFrame:
     return joined.withColumn("_y", c("target_preferred") * 4 / c("close").cast("double")).withColumn(
         "yield_pct", float_round(c("_y"), 4)
     ).drop("_y", "target_preferred")
-
-
-def change_of_universe(df: DataFrame) -> DataFrame:
-    """One hash over the sorted identities of a snapshot (a universe of listed companies is bounded)."""
-    row = F.concat_ws("|", "id", "issuer_id", "quote_code")
-    # Order-independent: the sum of per-row hashes needs no global sort or gathered list.
-    h = F.conv(F.substring(F.sha2(row, 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    return df.agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("signature"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cashlens.plans import documents, events, history, ledger, screening, valuation, watchlist  # noqa: F401
+from cashlens.plans import assembly, documents, events, history, ledger, screening, valuation, watchlist  # noqa: F401
 from cashlens.plans.registry import PLANS, SQL
 
 __all__ = ["PLANS", "SQL"]

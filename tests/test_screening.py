@@ -117,7 +117,9 @@ def test_list_sort_keeps_missing_last(spark):
 
 def test_select_one_counts_hits(spark):
     df = spark.createDataFrame([("x", "1"), ("y", "x"), ("z", "2")], "a string, b string")
-    assert {r.hits for r in W.select_one(df, "x", ("a", "b")).collect()} == {2}
+    r = W.select_one(df, "x", ("a", "b")).first()
+    assert (r.hits, r.match) == (2, None)
+    assert W.select_one(df, "2", ("a", "b")).first().match.a == "z"
 
 
 def test_normalize_securities_and_points(spark):

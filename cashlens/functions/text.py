@@ -150,6 +150,14 @@ SHARE_TABLE_TERMS = ("股份变动情况", "本次变动前", "本次变动后")
 SHARE_UNIT_TERMS = ("单位:股", "单位为股")
 ISSUED_LABELS = ("已發行及繳足", "已发行及缴足")
 AUTHORISED_LABELS = ("法定股本", "法定：", "法定:")
+CAPITAL_CHANGE_TERMS = ("本公司已發行股本變動如下", "本公司已发行股本变动如下")
+OPENING_TERMS = ("於年初", "于年初", "一月一日", "1月1日")
+CLOSING_TERMS = ("於年末", "于年末", "於結算日", "于结算日", "十二月三十一日", "12月31日")
+CANCEL_LABELS = (
+    "回購股份", "回购股份", "購回和註銷股份", "购回和注销股份", "購回及註銷股份", "回購及註銷股份", "股份回購及註銷",
+)
+CANCEL_PHRASES = ("回購及註銷", "回购及注销", "購回和註銷", "购回和注销", "購回及註銷")
+DATE_PATTERN = r"(?i)20\d{2}\s*年\s*\d{1,2}\s*月\s*\d{1,2}\s*日|\d{1,2}\s+(?:January|December)\s+20\d{2}"
 NAME_SUFFIXES = ("股份有限公司", "控股有限公司", "有限公司", "股份", "控股", "集团")
 CODE_LABEL = r"(?:公司代码|股票代码|证券代码|股份代号|股份代號|股份编号|股份編號|stock\s*codes?)"
 # ---- End of fixed values. ----
@@ -272,6 +280,13 @@ def ascii_digits(c: Column) -> Column:
     return F.translate(c, CJK_DIGITS, CJK_DIGITS_ASCII)
 
 
+def years_mentioned(c: Column) -> Column:
+    """Distinct years of this century in a text, in digits or CJK numerals."""
+    plain = F.regexp_extract_all(c, F.lit(r"(?<!\d)(20\d{2})(?!\d)"), 1)
+    cjk = F.transform(F.regexp_extract_all(compact(c), F.lit("([二〇零一三四五六七八九]{4})"), 1), ascii_digits)
+    return F.array_distinct(F.concat(plain, F.filter(cjk, lambda y: y.startswith("20"))))
+
+
 def fiscal_year(title: Column) -> Column:
     """Fiscal year of a report title: range, year before or after the marker, CJK digits, English, bare year."""
 

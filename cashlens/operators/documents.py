@@ -348,52 +348,136 @@ def slot_ledger(subjects: DataFrame, resolved: DataFrame, keys: list[str]) -> Da
 
 
 def share_total_rows(docs: DataFrame) -> DataFrame:
-    """Opening and closing issued shares from the share-change table of a mainland report."""
-    p = pages_of(docs)
+    """Opening and closing issued shares from the share-change table of a mainland report, inside the row."""
     keep = [x for x in docs.columns if x != "text"]
-    squeezed = F.translate(F.regexp_replace("page_text", r"\s+", ""), "：", ":")
-    table = X.any_of(squeezed, X.SHARE_UNIT_TERMS)
-    for term in X.SHARE_TABLE_TERMS:
-        table = table & squeezed.contains(term)
-    hit = F.filter(
-        F.transform("lines", lambda x, j: F.struct((j + 1).alias("page_line"), F.trim(x).alias("line"))),
-        lambda s: F.regexp_replace(s["line"], r"\s+", "").rlike(X.SHARE_TOTAL_ROW),
-    )
-    per_page = p.select(
-        *keep,
-        "page",
-        X.split_markers(c("page_text")).alias("markers"),
-        F.when(table, hit).otherwise(F.array().cast("array<struct<page_line:int,line:string>>")).alias("h"),
-    ).where((F.size("h") > 0) | (F.size("markers") > 0))
-    tokens = lambda s: X.integral_share_tokens(s["line"])
-    rows = F.transform("h", lambda s: let(tokens(s), lambda t: F.struct(F.when(F.size(t) >= 2, F.get(t, F.lit(0))).alias("o"), F.when(F.size(t) >= 2, F.element_at(t, -1)).alias("e"))))
-    # Only pages with a hit remain, a handful per document.
-    g = per_page.groupBy(*keep).agg(
-        F.flatten(F.collect_list(rows)).alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("markers")))).alias("markers")
+
+    def table_rows(page: Column) -> Column:
+        squeezed = F.translate(F.regexp_replace(page, r"\s+", ""), "：", ":")
+        inside = X.any_of(squeezed, X.SHARE_UNIT_TERMS)
+        for term in X.SHARE_TABLE_TERMS:
+            inside = inside & squeezed.contains(term)
+        hits = F.filter(page_lines(page), lambda x: F.regexp_replace(x, r"\s+", "").rlike(X.SHARE_TOTAL_ROW))
+        rows = F.transform(hits, lambda x: X.integral_share_tokens(F.trim(x)))
+        return F.when(inside, rows).otherwise(F.array().cast("array<array<bigint>>"))
+
+    pages = docs.withColumn("_pages", F.split("text", "\f")).drop("text")
+    found = pages.withColumns(
+        {
+            "_rows": F.flatten(F.transform("_pages", table_rows)),
+            "markers": F.array_sort(F.array_distinct(F.flatten(F.transform("_pages", X.split_markers)))),
+        }
     )
-    one = F.size("r") == 1
-    found = g.select(
+    first = F.get(c("_rows"), F.lit(0))
+    usable = (F.size("_rows") == 1) & (F.size(first) >= 2)
+    return found.select(
         *keep,
-        F.size("r").alias("row_count"),
-        F.when(one, F.get(c("r"), F.lit(0))["o"]).alias("opening_issued_shares"),
-        F.when(one, F.get(c("r"), F.lit(0))["e"]).alias("closing_issued_shares"),
+        F.size("_rows").alias("row_count"),
+        F.when(usable, F.get(first, F.lit(0))).alias("opening_issued_shares"),
+        F.when(usable, F.element_at(first, -1)).alias("closing_issued_shares"),
         "markers",
-        F.when(F.size("r") > 1, "CONFLICT").otherwise("REVIEW").alias("status"),
+        F.when(F.size("_rows") > 1, "CONFLICT").otherwise("REVIEW").alias("status"),
     )
-    return docs.select(*keep).join(found, keep, "left").withColumns(
-        {"row_count": F.coalesce("row_count", F.lit(0)), "status": F.coalesce("status", F.lit("REVIEW"))}
+
+
+LOOK_BACK = 45
+
+
+def issued_lines(lines: Column, back: int = LOOK_BACK) -> Column:
+    """Per line of a page: is the nearest issued / authorised heading of the last lines an issued one."""
+
+    def mark(x: Column) -> Column:
+        s = F.regexp_replace(x, r"\s+", "")
+        return F.when(X.any_of(s, X.ISSUED_LABELS), F.lit(True)).when(X.any_of(s, X.AUTHORISED_LABELS), F.lit(False))
+
+    marks = F.filter(
+        F.transform(lines, lambda x, j: F.struct(j.alias("j"), mark(x).alias("issued"))), lambda m: m["issued"].isNotNull()
+    )
+    return let(
+        F.struct(lines.alias("l"), marks.alias("m")),
+        lambda z: F.transform(
+            z["l"],
+            lambda _, j: F.coalesce(
+                F.array_max(F.filter(z["m"], lambda m: (m["j"] <= j) & (m["j"] > j - back)))["issued"], F.lit(False)
+            ),
+        ),
     )
 
 
-def under_issued_heading(lines: DataFrame, back: int = 45) -> DataFrame:
-    """Whether the nearest issued / authorised heading within the last lines is an issued one.
+def share_balance_rows(docs: DataFrame) -> DataFrame:
+    """Opening, closing and cancelled shares of a Hong Kong share-capital note.
 
-    ``lines`` comes from ``lines_of``; the window runs over one page, which is bounded.
+    ``docs``: doc_id, fiscal_year, text and keys.  Pages are picked and matching lines exploded on the
+    map side; only those few lines are aggregated per document.
     """
-    squeezed = F.regexp_replace("line", r"\s+", "")
-    mark = F.when(X.any_of(squeezed, X.ISSUED_LABELS), "ISSUED").when(X.any_of(squeezed, X.AUTHORISED_LABELS), "AUTHORISED")
-    w = Window.partitionBy("doc_id", "page").orderBy("page_line").rowsBetween(-back + 1, 0)
-    return lines.withColumn("_m", mark).withColumn("under_issued", F.coalesce(F.last("_m", True).over(w) == "ISSUED", F.lit(False))).drop("_m")
+    keep = [x for x in docs.columns if x != "text"]
+    squeezed = F.regexp_replace("page_text", r"\s+", "")
+    heading = F.exists("lines", lambda x: x.rlike(r"^\s*\d+(?:\.\d+)?[.、]?\s*(?:發\s*行\s*)?股\s*本"))
+    capital = X.any_of(squeezed, X.ISSUED_LABELS) & (heading | X.any_of(squeezed, X.CAPITAL_CHANGE_TERMS))
+    pages = pages_of(docs).where(capital)
+    zipped = F.filter(
+        F.transform(
+            F.arrays_zip(c("lines").alias("x"), issued_lines(c("lines")).alias("on")),
+            lambda z, j: F.struct(
+                (j + 1).alias("page_line"),
+                z["x"].alias("line"),
+                F.concat_ws(" ", F.trim(z["x"]), F.trim(F.get(c("lines"), j + 1))).alias("both"),
+                F.concat_ws(" ", F.slice(c("lines"), F.greatest(j - 4, F.lit(1)), F.least(j + 1, F.lit(6)))).alias("before"),
+                z["on"].alias("on"),
+            ),
+        ),
+        lambda z: z["on"],
+    )
+    hits = pages.select(
+        *keep,
+        "page",
+        X.share_multiplier(c("page_text")).alias("mult"),
+        X.any_of(squeezed, X.CANCEL_PHRASES).alias("explicit"),
+        F.explode(zipped).alias("z"),
+    ).select(*keep, "page", "mult", "explicit", "z.*")
+    year = c("fiscal_year").cast("string")
+    line, both = X.compact(c("line")), X.compact(c("both"))
+    mentioned = X.years_mentioned(c("both"))
+    in_scope = (F.size(mentioned) == 0) | F.array_contains(mentioned, year)
+    digits = X.ascii_digits(both)
+    december = F.contains(digits, F.concat(year, F.lit("年十2月3十1日"))) | F.contains(digits, F.concat(year, F.lit("年12月31日")))
+    starts = X.any_of(line, X.OPENING_TERMS)
+    ends = X.any_of(line, X.CLOSING_TERMS) & ((F.size(mentioned) == 0) | december)
+    spans = starts & december & both.rlike("[至及]")
+    undated = F.regexp_replace("both", X.DATE_PATTERN, " ")
+    whole = lambda t: F.filter(F.transform(X.amount_tokens(t), X.amount), lambda v: v == F.floor(v))
+    minimum = F.when(c("mult") > 1, 1_000).otherwise(100_000)
+    sized = F.filter(
+        whole(undated), lambda v: (v >= minimum) & (v != c("fiscal_year")) & (v != c("fiscal_year") - 1)
+    )
+    negative = F.filter(whole(c("line")), lambda v: v < 0)
+    before = X.years_mentioned(c("before"))
+    cancels = c("explicit") & X.any_of(line, X.CANCEL_LABELS) & ((F.size(before) == 0) | F.array_contains(before, year))
+    rows = hits.select(
+        *keep,
+        F.when(in_scope, (F.get(sized, F.lit(0)) * c("mult")).cast("bigint")).alias("value"),
+        starts.alias("starts"),
+        (ends | spans).alias("ends"),
+        F.when(in_scope & cancels, (-F.get(negative, F.lit(0)) * c("mult")).cast("bigint")).alias("cancelled"),
+    )
+    opening, closing = F.when(c("starts"), c("value")), F.when(c("ends"), c("value"))
+    g = rows.groupBy(*keep).agg(
+        F.count(opening).alias("opening_rows"),
+        F.max(opening).alias("_o"),
+        F.count(closing).alias("closing_rows"),
+        F.max(closing).alias("_c"),
+        F.count("cancelled").alias("cancel_rows"),
+        F.max("cancelled").alias("_x"),
+    )
+    zero = lambda x: F.coalesce(c(x), F.lit(0))
+    j = docs.select(*keep).join(g, keep, "left")
+    return j.select(
+        *keep,
+        F.when(c("opening_rows") == 1, c("_o")).alias("opening_issued_shares"),
+        F.when(c("closing_rows") == 1, c("_c")).alias("closing_issued_shares"),
+        F.when((zero("opening_rows") > 1) | (zero("closing_rows") > 1), "CONFLICT").otherwise("REVIEW").alias("status"),
+        F.when(c("cancel_rows") == 1, c("_x")).alias("cancelled_shares_candidate"),
+        F.when(zero("cancel_rows") == 1, "VALID").when(zero("cancel_rows") > 1, "CONFLICT").otherwise("MISSING").alias("cancel_status"),
+    )
 
 
 def best_documents(docs: DataFrame, as_of: Column, limit: int = 10) -> DataFrame:

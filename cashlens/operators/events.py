@@ -100,7 +100,8 @@ def revisions(df: DataFrame) -> DataFrame:
     """One row per (key, content): its first sighting; going back to an old content adds nothing."""
     order = F.struct("observed_at", "batch_seq")
     first = df.groupBy("event_key", "payload_hash").agg(F.min(order).alias("seen"))
-    origin = df.groupBy("event_key").agg(F.min(order).alias("origin"))
+    # The key's origin comes from the reduced table, not from a second read of the observations.
+    origin = first.groupBy("event_key").agg(F.min("seen").alias("origin"))
     return first.join(origin, "event_key").select(
         "event_key",
         "payload_hash",

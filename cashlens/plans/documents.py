@@ -113,6 +113,17 @@ def report_share_totals(spark, sf):
     )
 
 
+@query(
+    "share_note_balances",
+    """SELECT o_orderkey AS doc_id, (o_orderkey + 1000000) * 1000 AS opening_issued_shares, (o_orderkey + 1000000 - o_custkey - 1) * 1000 AS closing_issued_shares,
+  (o_custkey + 1) * 1000 AS cancelled_shares_candidate, 'REVIEW' AS status, 'VALID' AS cancel_status FROM orders""",
+)
+def share_note_balances(spark, sf):
+    return DOC.share_balance_rows(D.share_notes(spark, sf)).select(
+        "doc_id", "opening_issued_shares", "closing_issued_shares", "cancelled_shares_candidate", "status", "cancel_status"
+    )
+
+
 part(
     "text_line",
     "SELECT doc_id, lang, unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS line FROM documents WHERE length(text) > 0",

@@ -40,7 +40,8 @@ QUALIFY row_number() OVER (PARTITION BY company_id, field_id, source_document OR
     ),
 )
 def latest_restatement(spark, sf):
-    return L.latest_restatements(D.raw_points(spark, sf)).select(
+    cols = ["company_id", "field_id", "security_id", "fiscal_period", "source_document", "source_fetch_time", "ingest_seq", "seq", "value"]
+    return L.latest_restatements(D.raw_points(spark, sf).select(*cols)).select(
         "company_id", "field_id", "source_document", "seq", c("value").cast("double").alias("value")
     )
 
@@ -326,7 +327,8 @@ FROM (SELECT *, lag(value) OVER w AS prior, row_number() OVER w AS k FROM point
 )
 def point_validation(spark, sf):
     keys = ["company_id", "field_id", "fiscal_period", "source_document"]
-    checked = Q.point_issues(D.raw_points(spark, sf), keys)
+    cols = [*keys, "ingest_seq", "seq", "value", "restatement_status", "data_status"]
+    checked = Q.point_issues(D.raw_points(spark, sf).select(*cols), keys)
     return checked.select(
         "seq", F.array_join("issues", ",").alias("issues"), Q.publication_status(c("issues")).alias("publication_status")
     )

@@ -435,3 +435,22 @@ def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("source_announcement_id"),
         F.floor("o_totalprice").cast("int").alias("source_size_hint_kb"),
     )
+
+
+def share_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One Hong Kong share-capital note per order, with the balances of the order's own keys."""
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
+    y = F.year("o_orderdate").cast("string")
+    first, cut = F.col("o_orderkey") + 1_000_000, F.col("o_custkey") + 1
+    text = F.concat_ws(
+        "\n",
+        F.lit("16. 股本"),
+        F.lit("股份數目 千股"),
+        F.lit("法定股本"),
+        F.lit("於年初 9,999,999"),
+        F.lit("已發行及繳足"),
+        F.concat(F.lit("於"), y, F.lit("年1月1日 "), F.format_number(first, 0)),
+        F.concat(F.lit("購回及註銷股份 ("), F.format_number(cut, 0), F.lit(")")),
+        F.concat(F.lit("於"), y, F.lit("年12月31日 "), F.format_number(first - cut, 0)),
+    )
+    return o.select(F.col("o_orderkey").alias("doc_id"), F.year("o_orderdate").alias("fiscal_year"), text.alias("text"))

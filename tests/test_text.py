@@ -154,9 +154,19 @@ def test_share_totals(spark):
 
 
 def test_issued_heading(spark):
-    lines = DOC.lines_of(docs(spark, "法定股本\n1\n已發行及繳足\n2\n3").select("doc_id", "text"))
-    got = [r.under_issued for r in DOC.under_issued_heading(lines).orderBy("page_line").collect()]
-    assert got == [False, False, True, True, True]
+    df = spark.createDataFrame([(["法定股本", "1", "已發行及繳足", "2", "3"],)], "l array<string>")
+    assert df.select(DOC.issued_lines(F.col("l")).alias("y")).first().y == [False, False, True, True, True]
+    assert df.select(DOC.issued_lines(F.col("l"), 2).alias("y")).first().y == [False, False, True, True, False]
+
+
+NOTE = "3. 發行股本\n股份數目\n法定股本\n於年初 9,000,000\n已發行及繳足\n於二〇二四年一月一日 1,500,000 15\n回購及註銷股份 (500,000)\n於二〇二四年十二月三十一日 1,000,000 10\n於二〇二三年十二月三十一日 7,000,000"
+
+
+def test_share_note(spark):
+    r = DOC.share_balance_rows(docs(spark, NOTE, market="HK")).first()
+    assert (r.opening_issued_shares, r.closing_issued_shares, r.status) == (1500000, 1000000, "REVIEW")
+    assert (r.cancelled_shares_candidate, r.cancel_status) == (500000, "VALID")
+    assert DOC.share_balance_rows(docs(spark, "nothing")).first().cancel_status == "MISSING"
 
 
 def test_line_numbers(spark):

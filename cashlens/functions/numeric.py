@@ -93,11 +93,23 @@ def null_strict_sum(*parts: Column) -> Column:
     return reduce(lambda a, b: a + b, parts)
 
 
-def linear_score(value: Column, knots: Sequence[tuple[float, float]], rounded: bool = True) -> Column:
-    """Piecewise-linear interpolation over increasing knots, flat outside them."""
+def linear_score(value: Column | str, knots: Sequence[tuple[float, float]], rounded: bool = True) -> Column:
+    """Piecewise-linear interpolation over increasing knots, flat outside them.
+
+    With a column name the whole formula is one SQL expression, which is quicker to build.
+    """
     points = [(float(x), float(y)) for x, y in knots]
     if len(points) < 2 or any(a[0] >= b[0] for a, b in zip(points, points[1:])):
         raise ValueError("knots must hold at least two increasing x values")
+    if isinstance(value, str):
+        x = f"CAST(`{value}` AS DOUBLE)"
+        parts = [f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} <= {points[0][0]!r}D THEN {points[0][1]!r}D"]
+        for (x0, y0), (x1, y1) in zip(points, points[1:]):
+            rise = f"{y0!r}D + ({x} - {x0!r}D) / {x1 - x0!r}D * {y1 - y0!r}D"
+            parts.append(f"WHEN {x} < {x1!r}D THEN {rise} WHEN {x} = {x1!r}D THEN {y1!r}D")
+        body = " ".join(parts) + f" ELSE {points[-1][1]!r}D END"
+        # Interpolated scores lie between the knots, so no clipping is needed before rounding.
+        return F.expr(f"CAST(round(try_cast(({body}) * {TIE_NUDGE!r}D AS {WIDE}), 2) AS DOUBLE)" if rounded else body)
     v = value.cast("double")
     out = F.when(v.isNull(), lit_null()).when(v <= points[0][0], F.lit(points[0][1]))
     for (x0, y0), (x1, y1) in zip(points, points[1:]):

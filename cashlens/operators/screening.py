@@ -87,10 +87,10 @@ def valuation_score(df: DataFrame) -> DataFrame:
         .when(~financial & p.isNotNull(), "EARNINGS_YIELD_FROM_PE")
         .when(~financial & b.isNotNull(), "PB")
     )
-    score = F.when(financial, linear_score(b, P.OPPORTUNITY["pb_financial"])).otherwise(
+    score = F.when(financial, linear_score("_pb", P.OPPORTUNITY["pb_financial"])).otherwise(
         F.coalesce(
-            linear_score(F.col("_ey"), P.OPPORTUNITY["earnings_yield_pct"]),
-            linear_score(b, P.OPPORTUNITY["pb_fallback"]),
+            linear_score("_ey", P.OPPORTUNITY["earnings_yield_pct"]),
+            linear_score("_pb", P.OPPORTUNITY["pb_fallback"]),
         )
     )
     return (
@@ -143,7 +143,7 @@ def series_quality(df: DataFrame, series: Mapping[str, str]) -> DataFrame:
     r = P.RESILIENCE
     full = float(r["full_evidence_years"])
     trends = with_trends(df, list(series))
-    scores = {out: F.when(F.size(a) > 0, linear_score(F.col(f"{a}_trend"), r["trend"])) for a, out in series.items()}
+    scores = {out: F.when(F.size(a) > 0, linear_score(f"{a}_trend", r["trend"])) for a, out in series.items()}
     staged = trends.withColumns({f"{a}_trend_score": scores[out] for a, out in series.items()}).withColumns(
         {f"{a}_positive": S.positive_ratio(F.col(a)) for a in series}
     )
@@ -265,9 +265,9 @@ def resilience_score(rows: DataFrame, profiles: DataFrame) -> DataFrame:
     )
     levels = trends.withColumns(
         {
-            "roe_level": linear_score(c("newest_roe"), r["roe_level_pct"]),
-            "roe_trend_score": F.when(F.size("roe") > 0, linear_score(c("roe_trend"), r["trend"])),
-            "equity_growth": F.when(F.size("eq") >= 2, linear_score(c("eq_trend"), r["equity_growth"])),
+            "roe_level": linear_score("newest_roe", r["roe_level_pct"]),
+            "roe_trend_score": F.when(F.size("roe") > 0, linear_score("roe_trend", r["trend"])),
+            "equity_growth": F.when(F.size("eq") >= 2, linear_score("eq_trend", r["equity_growth"])),
             "capital_or_asset_quality": score2(c("newest_cq")),
             "roe_quality_factor": factor(F.size("roe")),
             "equity_growth_factor": factor(F.greatest(F.size("eq") - 1, F.lit(0))),

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cashlens.functions import policy as P
-from cashlens.functions.numeric import finite_double, half_up, ratio
+from cashlens.functions.numeric import half_up, ratio
 from cashlens.operators import screening as S
 from cashlens.plans.registry import query
 from cashlens.plans.sqlparts import at_most, clip, d, knots, m, part, rnd, trend, with_parts
@@ -22,12 +24,11 @@ def priced_weeks(spark, sf):
 
     One shuffle: the window runs on the table already reduced to one row per security and week.
     """
-    weekly = S.recent_weeks(D.weekly_prices(spark, sf), F.lit(D.AS_OF).cast("date"), P.OPPORTUNITY["history_years"])
-    return weekly
-
-
-def newest_close(weekly):
-    return weekly.groupBy("security_id").agg(F.max_by("close", "week").alias("current_price"))
+    end = date.fromisoformat(D.AS_OF)
+    start = end.replace(year=end.year - P.OPPORTUNITY["history_years"])
+    # Raw bounds that keep every week of the window whole; they are pushed into the scan.
+    prices = D.weekly_prices(spark, sf, since=start.isoformat(), before=(end + timedelta(days=7)).isoformat())
+    return S.recent_weeks(prices, F.lit(D.AS_OF).cast("date"), P.OPPORTUNITY["history_years"])
 
 
 def positions(spark, sf):
@@ -84,7 +85,9 @@ FROM security s LEFT JOIN fundamental f ON s.security_id = f.security_id""",
 
 def fundamentals(spark, sf):
     """Trailing yield, earnings multiple and book multiple per security."""
-    li = D.table(spark, sf, "lineitem").where(c("l_shipdate").cast("date") > F.add_months(F.lit(D.AS_OF).cast("date"), -12))
+    end = date.fromisoformat(D.AS_OF)
+    first = end.replace(year=end.year - 1) + timedelta(days=1)
+    li = D.table(spark, sf, "lineitem").where(c("l_shipdate") >= D.day(first.isoformat()))
     price = D.money("l_extendedprice")
     g = li.groupBy(c("l_suppkey").alias("security_id")).agg(
         F.sum(price).alias("amount"),

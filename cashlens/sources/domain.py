@@ -31,6 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lines(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """lineitem with only the named columns, spread over the cores when the file is a single split."""
+    return spread(table(spark, sf_dir, "lineitem").select(*columns))
+
+
 def money(c: str) -> Column:
     return F.col(c).cast(MONEY)
 
@@ -64,7 +69,7 @@ def trading_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The one aggregate from which weekly prices and yearly cash returns both derive.
     """
-    li = table(spark, sf_dir, "lineitem")
+    li = lines(spark, sf_dir, "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount")
     return li.groupBy(
         F.col("l_suppkey").alias("security_id"),
         F.trunc(F.col("l_shipdate").cast("date"), "week").alias("week"),
@@ -76,10 +81,26 @@ def trading_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def weekly_prices(spark: SparkSession, sf_dir: str, weeks: DataFrame | None = None) -> DataFrame:
-    """security_id, week, close: volume-weighted price of the week."""
+def day(text: str) -> Column:
+    """A day as a timestamp literal of the stored type, so comparisons reach the parquet scan."""
+    return F.lit(text).cast("timestamp_ntz")
+
+
+def weekly_prices(
+    spark: SparkSession, sf_dir: str, weeks: DataFrame | None = None, since: str | None = None, before: str | None = None
+) -> DataFrame:
+    """security_id, week, close: volume-weighted price of the week.
+
+    ``since`` and ``before`` cut the raw rows by ship date before anything is aggregated; give bounds
+    that leave every wanted week whole.
+    """
     if weeks is None:
-        li = table(spark, sf_dir, "lineitem")
+        raw = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
+        if since is not None:
+            raw = raw.where(F.col("l_shipdate") >= day(since))
+        if before is not None:
+            raw = raw.where(F.col("l_shipdate") < day(before))
+        li = spread(raw)
         grouped = li.groupBy(
             F.col("l_suppkey").alias("security_id"),
             F.trunc(F.col("l_shipdate").cast("date"), "week").alias("week"),
@@ -136,7 +157,7 @@ def price_features(spark: SparkSession, sf_dir: str, weeks: DataFrame | None = N
 def yield_basis(spark: SparkSession, sf_dir: str, weeks: DataFrame | None = None) -> DataFrame:
     """security_id, basis: mean yearly cash return per share with the years it covers."""
     if weeks is None:
-        li = table(spark, sf_dir, "lineitem")
+        li = lines(spark, sf_dir, "l_suppkey", "l_shipdate", "l_extendedprice", "l_discount", "l_quantity")
         grouped = li.groupBy(F.col("l_suppkey").alias("security_id"), F.year("l_shipdate").alias("fiscal_year")).agg(
             F.sum(money("l_extendedprice") * F.col("l_discount").cast("decimal(4,2)")).alias("cash"),
             F.sum(money("l_quantity")).alias("quantity"),
@@ -160,7 +181,7 @@ def yield_basis(spark: SparkSession, sf_dir: str, weeks: DataFrame | None = None
 
 def order_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem reduced to one row per order before it meets orders (same key, one shuffle)."""
-    li = table(spark, sf_dir, "lineitem")
+    li = lines(spark, sf_dir, "l_orderkey", "l_returnflag", "l_extendedprice", "l_quantity")
     flag = lambda f, c: F.sum(F.when(F.col("l_returnflag") == f, c))
     price, qty = money("l_extendedprice"), money("l_quantity")
     return li.groupBy("l_orderkey").agg(

@@ -5,8 +5,8 @@ of the lowest rank. A merge changes three leaves and their ancestors; it goes on
 
 The text is prepared as the vocabulary file states: special tokens are cut out first; then NFC, white space to
 spaces, lower case per character, words by the file's pattern, and bytes as printable characters. All of this is
-local to a run of non-space characters, so such runs are encoded once per task and remembered, at most
-``memory_runs`` of them; whatever the corpus, memory stays bounded.
+local to a run of non-space characters, so runs and words are encoded once per task and remembered, up to a fixed
+number of each; whatever the corpus, memory stays bounded.
 
 Defined cases: a null text counts as empty: no tokens, decoded to the empty text. Repeated rows are encoded each;
 extra columns are ignored; an empty table gives an empty result.
@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 
 NONE = 1 << 62
+#: Number of tokens, ids as text, decoded text, ids.
+Found = tuple[int, str, str, list[int]]
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
@@ -48,31 +50,37 @@ def merge_word(symbols: list[int], ranks: dict[int, int], merged: list[int]) ->
         nodes[i] = a if a < b else b
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     while (root := nodes[1]) != NONE:
-        i = root % size
-        symbols[i] = merged[root // size]
+        r, i = divmod(root, size)
+        symbols[i] = made = merged[r]
         j = after[i]
         symbols[j] = -1
         after[i] = k = after[j]
-        changed = [(j, NONE)] if j < n - 1 else []
+        nodes[size + i] = NONE
+        touched = i
         if k < n:
             before[k] = i
-            r = rank(symbols[i] << 20 | symbols[k])
-            changed.append((i, NONE if r is None else r * size + i))
+            nodes[size + j] = NONE
+            touched = j
+            if (r := rank(made << 20 | symbols[k])) is not None:
+                nodes[size + i] = r * size + i
+        p = before[i]
+        if p >= 0:
+            r = rank(symbols[p] << 20 | made)
+            nodes[size + p] = NONE if r is None else r * size + p
         else:
-            changed.append((i, NONE))
-        if (p := before[i]) >= 0:
-            r = rank(symbols[p] << 20 | symbols[i])
-            changed.append((p, NONE if r is None else r * size + p))
-        for leaf, value in changed:
-            at = size + leaf
-            nodes[at] = value
-            while at > 1:
-                at >>= 1
-                a, b = nodes[2 * at], nodes[2 * at + 1]
-                a = a if a < b else b
-                if nodes[at] == a:
-                    break
-                nodes[at] = a
+            p = i
+        # the changed leaves lie between p and touched: renew their ancestors level by level
+        low, high, middle = size + p, size + touched, size + i
+        while low > 1:
+            low, high, middle = low >> 1, high >> 1, middle >> 1
+            x, y = nodes[2 * low], nodes[2 * low + 1]
+            nodes[low] = x if x < y else y
+            if high != low:
+                x, y = nodes[2 * high], nodes[2 * high + 1]
+                nodes[high] = x if x < y else y
+                if middle != low and middle != high:
+                    x, y = nodes[2 * middle], nodes[2 * middle + 1]
+                    nodes[middle] = x if x < y else y
     return [s for s in symbols if s >= 0]
 
 
@@ -86,7 +94,7 @@ def byte_characters() -> list[str]:
 class Encoder:
     """Encodes and decodes texts as the vocabulary file says."""
 
-    def __init__(self, file: dict, memory_runs: int = 200_000):
+    def __init__(self, file: dict, memory_runs: int = 150_000, memory_words: int = 300_000):
         model = file["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix = model["end_of_word_suffix"] or ""
@@ -104,57 +112,56 @@ class Encoder:
         characters = byte_characters()
         self.inner = [self.vocab.get(c) for c in characters]
         self.last = [self.vocab.get(c + self.suffix) for c in characters]
-        self.memory, self.words_done, self.memory_runs = {}, {}, memory_runs
+        self.memory, self.words_done = {}, {}
+        self.memory_runs, self.memory_words = memory_runs, memory_words
 
-    def encode_word(self, word: str) -> list[int]:
+    def encode_word(self, word: str) -> Found:
         data = word.encode()
-        symbols = [self.inner[b] for b in data[:-1]] + [self.last[data[-1]]]
-        ids = merge_word([s for s in symbols if s is not None], self.ranks, self.merged)
+        symbols = [self.inner[b] for b in data]
+        symbols[-1] = self.last[data[-1]]
+        ids = merge_word(symbols, self.ranks, self.merged)
+        found = len(ids), " ".join(map(str, ids)), self.decode(ids), ids
         if len(word) <= 64:
-            if len(self.words_done) >= self.memory_runs:
+            if len(self.words_done) >= self.memory_words:
                 self.words_done.clear()
-            self.words_done[word] = ids
-        return ids
+            self.words_done[word] = found
+        return found
 
-    def encode_run(self, run: str) -> list[int]:
-        """Ids of a run of non-space characters."""
+    def encode_run(self, run: str) -> Found | None:
+        """A run of non-space characters; None if the pattern keeps nothing of it."""
         if run.isascii():
             text = run.lower()
         else:
             text = "".join([c.lower() for c in unicodedata.normalize("NFC", run)])
-        if text.isalpha() and (ids := self.words_done.get(text)) is not None:
-            return ids
-        ids = []
-        for word in self.words(text):
-            done = self.words_done.get(word)
-            ids += self.encode_word(word) if done is None else done
-        return ids
-
-    def remembered(self, run: str) -> tuple[int, str, str, list[int]]:
-        found = self.memory.get(run)
-        if found is None:
-            ids = self.encode_run(run)
-            found = len(ids), " ".join(map(str, ids)), self.decode(ids), ids
-            if len(run) <= 64:
-                if len(self.memory) >= self.memory_runs:
-                    self.memory.clear()
-                self.memory[run] = found
+        done = self.words_done.get
+        if (found := done(text)) is None:
+            parts = [done(word) or self.encode_word(word) for word in self.words(text)]
+            if len(parts) == 1:
+                found = parts[0]
+            elif parts:
+                found = sum(x[0] for x in parts), " ".join([x[1] for x in parts]), " ".join([x[2] for x in parts]), [i for x in parts for i in x[3]]
+        if found and len(run) <= 64:
+            if len(self.memory) >= self.memory_runs:
+                self.memory.clear()
+            self.memory[run] = found
         return found
 
-    def parts(self, text: str) -> Iterator[tuple[int, str, str, list[int]]]:
-        pieces = self.cut(text) if self.cut and "<" in text else [text]
-        for k, piece in enumerate(pieces):
+    def encode(self, text: str) -> list[Found]:
+        """What the runs of a text, and the special tokens between them, give."""
+        out: list[Found] = []
+        known = self.memory.get
+        for k, piece in enumerate(self.cut(text) if self.cut and "<" in text else [text]):
             if k % 2:
                 i = self.special[piece]
-                yield 1, str(i), piece, [i]
+                out.append((1, str(i), piece, [i]))
                 continue
             # str.split also cuts at four separator characters that the pattern keeps
             plain = not any(c in piece for c in "\x1c\x1d\x1e\x1f")
-            memory = self.memory
             for run in piece.split() if plain else self.runs(piece):
-                found = memory.get(run) or self.remembered(run)
-                if found[0]:
-                    yield found
+                found = known(run) or self.encode_run(run)
+                if found:
+                    out.append(found)
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """Without a decoder in the file, tokens are joined by a space."""
@@ -165,7 +172,7 @@ def digest(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def encode(documents: DataFrame, vocabulary: str, with_ids: bool = False, memory_runs: int = 200_000) -> DataFrame:
+def encode(documents: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFrame:
     """Per row of (doc_id, text): n_tokens, ids_sha256, decoded_sha256, and with ``with_ids`` the ids themselves.
 
     ``vocabulary`` is a JSON file on the driver; its content (a fixed few MB) is broadcast.
@@ -174,13 +181,13 @@ def encode(documents: DataFrame, vocabulary: str, with_ids: bool = False, memory
         shared = documents.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(json.loads(shared.value), memory_runs)
+        encoder = Encoder(json.loads(shared.value))
         for batch in batches:
             for first in range(0, len(batch), 64):
                 part = batch.slice(first, 64)
                 counts, ids, decoded, lists = [], [], [], []
                 for text in part.column(1).to_pylist():
-                    found = list(encoder.parts(text)) if text else []
+                    found = encoder.encode(text) if text else []
                     counts.append(sum(x[0] for x in found))
                     ids.append(digest(" ".join(x[1] for x in found)))
                     decoded.append(digest(" ".join(x[2] for x in found)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cashlens.llm import bpe, decontaminate, quality, toxicity, url_filter
+from cashlens.llm import bpe, decontaminate, fingerprints, html_text, jaccard_join, pii, quality, secrets_scan, toxicity, url_filter
 from cashlens.llm.common import held_out, table
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,67 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 @query("op10_bpe")
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary())
+
+
+# ---------------------------------------------------------------- 3
+
+
+@query("op3_secrets")
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    ratios = secrets_scan.log_ratios(secrets_scan.training_samples(documents, max_rows=2000))
+    found = secrets_scan.scan(documents, ratios)
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        count("assign"),
+        count("access"),
+        count("hex"),
+        F.sha2(secrets_scan.as_text("base"), 256).alias("base_sha256"),
+        secrets_scan.as_text("spans").alias("spans"),
+    )
+
+
+# ---------------------------------------------------------------- 1
+
+
+@query("op1_main_text")
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    model = html_text.train(pages, max_pages=150)
+    return html_text.extract(pages, model).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+# ---------------------------------------------------------------- 5
+
+
+@query("op5_pii")
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.extract(table(spark, sf_dir, "documents"))
+    count = lambda i, kind: F.size(F.filter("base", lambda x: x["kind"] == i)).cast("bigint").alias(f"n_{kind}")
+    # all spans by start; at one start the fixed kinds come first
+    everything = f"""array_join(transform(array_sort(concat(
+        transform(base, x -> struct(x.start as start, x.kind as rank, {pii.as_text("array(x)")}[0] as t)),
+        transform(extra, x -> struct(x.start as start, x.kind + 4 as rank, {pii.as_text("array(x)", "context_")}[0] as t)))), x -> x.t), ',')"""
+    return found.select(
+        "doc_id",
+        *[count(i, kind) for i, kind in enumerate(pii.KINDS)],
+        F.sha2(F.expr(f"array_join({pii.as_text('base')}, ',')"), 256).alias("base_sha256"),
+        F.expr(everything).alias("spans"),
+    )
+
+
+# ---------------------------------------------------------------- 6
+
+
+@query("op6_fingerprints")
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(table(spark, sf_dir, "documents"))
+
+
+# ---------------------------------------------------------------- 4
+
+
+@query("op4_jaccard_join")
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.groups(table(spark, sf_dir, "documents"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,6 +62,47 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, value: str, max_row
     return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull())
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Path of a public tokenizer's file; the files are installed beside Python and never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def carried(documents: DataFrame) -> DataFrame:
+    """doc_id, text, and all columns but the text in one struct, so that no name can clash with an operator's."""
+    others = [F.col(f"`{c}`") for c in documents.columns if c != "text"]
+    return documents.select("doc_id", "text", F.struct(*others).alias("_row"))
+
+
+def restored(df: DataFrame, documents: DataFrame, text: Column | None = None) -> DataFrame:
+    """The columns of ``documents`` again; with a new ``text`` its length goes to ``n_chars`` where there is one."""
+    df = df.select("_row", (F.col("text") if text is None else text).alias("text"))
+    out = []
+    for field in documents.schema.fields:
+        if field.name == "text":
+            out.append(F.col("text"))
+        elif field.name == "n_chars" and text is not None:
+            out.append(F.length("text").cast(field.dataType).alias("n_chars"))
+        else:
+            out.append(F.col("_row")[field.name].alias(field.name))
+    return df.select(out)
+
+
+def replace_spans(text: str, spans: str, mark: str) -> Column:
+    """The text with every span replaced by ``mark``; ``spans`` names an array of (start, end) sorted by start.
+
+    Overlapping spans are one. Positions are characters, ends exclusive.
+    """
+    merged = f"""aggregate({spans}, cast(array() as array<struct<start:bigint,end:bigint>>), (a, x) ->
+        if(size(a) > 0 and a[size(a) - 1].end >= x.start,
+           concat(slice(a, 1, size(a) - 1), array(named_struct('start', a[size(a) - 1].start, 'end', greatest(a[size(a) - 1].end, x.end)))),
+           concat(a, array(named_struct('start', x.start, 'end', x.end)))))"""
+    gaps = f"zip_with(concat(array(0L), transform({merged}, s -> s.end)), concat(transform({merged}, s -> s.start), array(cast(length({text}) as bigint))), (a, b) -> named_struct('a', a, 'b', b))"
+    pieces = f"transform({gaps}, p -> substring({text}, cast(p.a as int) + 1, cast(p.b - p.a as int)))"
+    return F.expr(f"if(size({spans}) = 0, {text}, array_join({pieces}, '{mark}'))")
+
+
 # ---------------------------------------------------------------- words of many texts at once
 
 
@@ -153,8 +193,3 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 def code_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Characters before each byte, counted from the start of all rows (one more entry than bytes)."""
     return np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
-
-
-def pack(values: np.ndarray) -> str:
-    """Numbers of a small trained model as text for a closure or a literal."""
-    return zlib.compress(values.tobytes()).hex()

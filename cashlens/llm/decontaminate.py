@@ -19,15 +19,15 @@ empty benchmark hits nothing; repeated documents and repeated items count each;
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cashlens.llm.common import LETTERS, LOWER, code_points, span_hashes, text_slices, word_spans
+from cashlens.llm.common import LETTERS, LOWER, code_points, replace_spans, span_hashes, text_slices, word_spans
 
 # ---------------------------------------------------------------- the index
 
@@ -145,7 +145,6 @@ class Windows:
     def __init__(self, items: list[tuple[str, str]], window: int):
         self.ids: list[str] = []
         owners: dict[tuple[int, ...], set[int]] = {}
-        data = [text.encode() for _, text in items]
         column = pa.array([text for _, text in items], pa.string())
         hashes: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(items)
         for first, end, raw, at in text_slices(column):
@@ -167,7 +166,6 @@ class Windows:
             own = [x for x in owners if len(x) == size]
             self.by_length[size] = np.array(own, np.int64), [sorted(owners[x]) for x in own]
         self.shortest = min(self.by_length, default=0)
-        del data
 
     def number(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.known):
@@ -237,16 +235,15 @@ def find_leaks(
     window: int = 10,
     shard_words: int = 1_000_000,
     block_windows: int = 1_000_000,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, text, n_words, n_hit, items (ids of items with occurring windows), spans (hit characters) per row.
-
-    With more than one block the rows of a document appear once per block; ``merge_blocks`` unites them.
+    """doc_id, text, ``carry``, n_words, items (ids of items with occurring windows), hits (hit words) and spans (hit
+    characters) per row. With more than one block ``merge_blocks`` unites what the blocks found.
     """
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    schema = (
-        f"doc_id {kind}, text string, n_words bigint, items array<string>, "
-        "hits array<struct<start:bigint,end:bigint>>, spans array<struct<start:bigint,end:bigint>>"
-    )
+    documents = documents.select("doc_id", "text", *carry)
+    spans_type = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    schema = T.StructType(list(documents.schema.fields))
+    schema = schema.add("n_words", T.LongType()).add("items", T.ArrayType(T.StringType())).add("hits", spans_type).add("spans", spans_type)
     frames = []
     for items in benchmark_blocks(benchmark, window, block_windows):
         shared = documents.sparkSession.sparkContext.broadcast(Windows(items, window))
@@ -266,10 +263,10 @@ def find_leaks(
             if held:
                 yield from close(held, windows)
 
-        frames.append(documents.select("doc_id", "text").mapInArrow(search, schema))
+        frames.append(documents.mapInArrow(search, schema))
     if len(frames) == 1:
         return frames[0]
-    return merge_blocks(frames)
+    return merge_blocks(frames, ["doc_id", "text", *carry])
 
 
 def close(held: list[tuple], windows: Windows) -> Iterator[pa.RecordBatch]:
@@ -298,23 +295,22 @@ def close(held: list[tuple], windows: Windows) -> Iterator[pa.RecordBatch]:
         as_pairs = lambda found: pa.array([[{"start": p, "end": q} for p, q in found.get(k, ())] for k in range(len(batch))], pair_type)
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column(0),
-                batch.column(1),
+                *batch.columns,
                 pa.array(n_words, pa.int64()),
                 pa.array([sorted(items.get(k + int(b), ())) for k in range(len(batch))], pa.list_(pa.string())),
                 as_pairs(hits),
                 as_pairs(spans),
             ],
-            names=["doc_id", "text", "n_words", "items", "hits", "spans"],
+            names=[*batch.schema.names, "n_words", "items", "hits", "spans"],
         )
 
 
-def merge_blocks(frames: list[DataFrame]) -> DataFrame:
-    """Unite what several blocks of the benchmark found. Rows with equal id and text are the same document."""
+def merge_blocks(frames: list[DataFrame], row: list[str]) -> DataFrame:
+    """Unite what several blocks of the benchmark found. Equal rows are the same document."""
     union = frames[0]
     for frame in frames[1:]:
         union = union.unionByName(frame)
-    grouped = union.groupBy("doc_id", "text").agg(
+    grouped = union.groupBy(*row).agg(
         F.max("n_words").alias("n_words"),
         F.count("*").alias("_rows"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
@@ -326,20 +322,20 @@ def merge_blocks(frames: list[DataFrame]) -> DataFrame:
     return merged.withColumns({"hits": united("hits"), "spans": united("spans")})
 
 
-def united(name: str):
+def united(name: str) -> Column:
     """Overlapping or touching spans become one."""
     return F.expr(f"""
         aggregate(array_sort({name}), cast(array() as array<struct<start:bigint,end:bigint>>), (a, x) ->
           if(size(a) > 0 and a[size(a) - 1].end >= x.start,
              concat(slice(a, 1, size(a) - 1),
-                    array(struct(a[size(a) - 1].start as start, greatest(a[size(a) - 1].end, x.end) as end))),
+                    array(named_struct('start', a[size(a) - 1].start, 'end', greatest(a[size(a) - 1].end, x.end)))),
              concat(a, array(x))))""")
 
 
-def hit_words(hits: str = "hits"):
-    return F.expr(f"aggregate({hits}, 0L, (a, x) -> a + x.end - x.start)")
+def cut(text: str, spans: str) -> Column:
+    """The text without its hit spans."""
+    return replace_spans(text, spans, "")
 
 
-def ids_digest(items: list[str]) -> str:
-    """The digest of the query contract, for tests."""
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+def hit_words(hits: str = "hits") -> Column:
+    return F.expr(f"aggregate({hits}, 0L, (a, x) -> a + x.end - x.start)")

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cashlens.llm import bpe, decontaminate, fingerprints, html_text, jaccard_join, pii, quality, secrets_scan, toxicity, url_filter
-from cashlens.llm.common import held_out, table
+from cashlens.llm.common import held_out, table, vocabulary
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -133,12 +134,6 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- 10
 
 
-def vocabulary(name: str = "word_bpe_49k.json") -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 @query("op10_bpe")
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary())
@@ -206,3 +201,11 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_jaccard_join")
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.groups(table(spark, sf_dir, "documents"))
+
+
+# ---------------------------------------------------------------- all together
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

@@ -21,6 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cashlens.llm.common import replace_spans
+
 # The forms of the contract. Where a run must have a least length, a run of that length matches the same
 # places as matching all runs and dropping the short ones; for assignments the value's length is tested afterwards.
 ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -49,10 +51,11 @@ def spans(pairs: str, kind: str, test: str = "true") -> Column:
              'kind', '{kind}'))))), a -> a.out)""")
 
 
-def with_base_spans(documents: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty) and ``base``: the spans of the three fixed forms, sorted."""
-    found = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(
+def with_base_spans(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``carry``, text (null: empty) and ``base``: the spans of the three fixed forms, sorted."""
+    found = documents.select("doc_id", *carry, F.coalesce("text", F.lit("")).alias("text")).select(
         "doc_id",
+        *carry,
         "text",
         matches("text", ASSIGN).alias("_assign"),
         matches("text", ACCESS).alias("_access"),
@@ -62,6 +65,7 @@ def with_base_spans(documents: DataFrame) -> DataFrame:
     long_value = r"""length(regexp_extract(x.found, '^[A-Za-z_]+["\']?\\x20*[:=]\\x20*["\']?(.+)$', 1)) >= 12"""
     return found.select(
         "doc_id",
+        *carry,
         "text",
         F.array_sort(F.concat(spans("_assign", "assign", long_value), spans("_access", "access"), spans("_hex", "hex"))).alias("base"),
     )
@@ -80,34 +84,37 @@ def pair_counts(samples: DataFrame) -> DataFrame:
     return samples.where(F.length("sample") >= 2).select("label", F.explode(pairs).alias("pair")).groupBy("label", "pair").count()
 
 
-def log_ratios(samples: DataFrame, smooth: float = 0.5) -> list[float]:
-    """log P(second | first, random) - log P(second | first, plain) for all pairs of the alphabet, row by row."""
+def log_ratios(samples: DataFrame, smooth: float = 2.0) -> list[float]:
+    """log P(second | first, random) - log P(second | first, plain) for all pairs of the alphabet, row by row.
+
+    Pair shares are smoothed towards the shares of the second character alone, so that a first character that a
+    model has never seen still tells something.
+    """
     counts = {(r["label"], r["pair"]): r["count"] for r in pair_counts(samples).collect()}
     size = len(ALPHABET)
-    out = []
-    for a in ALPHABET:
-        totals = {label: sum(counts.get((label, a + b), 0) for b in ALPHABET) for label in ("random", "plain")}
-        for b in ALPHABET:
-            p, q = (
-                (counts.get((label, a + b), 0) + smooth) / (totals[label] + smooth * size) for label in ("random", "plain")
-            )
-            out.append(round(math.log(p / q), 6))
-    return out
+    models = []
+    for label in ("random", "plain"):
+        pairs = [[counts.get((label, a + b), 0) for b in ALPHABET] for a in ALPHABET]
+        seconds = [sum(row[k] for row in pairs) for k in range(size)]
+        alone = [(n + 0.5) / (sum(seconds) + 0.5 * size) for n in seconds]
+        models.append([math.log((n + smooth * q) / (sum(row) + smooth)) for row in pairs for n, q in zip(row, alone, strict=True)])
+    return [round(p - q, 6) for p, q in zip(*models, strict=True)]
 
 
 def training_samples(documents: DataFrame, max_rows: int = 2000) -> DataFrame:
     """Labelled strings from the ``max_rows`` documents with the smallest hash of their id (a bounded sample).
 
-    random: values of secrets in them, and digests of their ids in hexadecimal, base 64 and upper case.
+    random: values of secrets in them, and as many digests of numbers in hexadecimal, base 64 and upper case.
     plain: their words outside of secrets, alone and joined into identifiers.
     """
     chosen = documents.where(F.col("text").isNotNull()).select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    key = F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 256)
+    key = F.sha2(F.col("id").cast("string"), 256)
     values = F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(1))
     digests = F.array(key, F.base64(F.unhex(key)), F.substring(F.upper(F.base64(F.unhex(F.reverse(key)))), 1, 24))
     words = F.regexp_extract_all(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), HEX, " "), F.lit(r"[A-Za-z]{3,}"), F.lit(0))
     joined = F.expr("transform(sequence(1, size(w) - 1), i -> case i % 4 when 0 then concat(w[i-1], '_', w[i]) when 1 then concat(w[i-1], initcap(w[i])) when 2 then concat(w[i-1], '-', w[i], i % 10) else concat(w[i-1], '/', w[i]) end)")
-    random = chosen.select(F.lit("random").alias("label"), F.explode(F.concat(values, digests)).alias("sample"))
+    random = chosen.select(F.lit("random").alias("label"), F.explode(values).alias("sample"))
+    random = random.unionByName(documents.sparkSession.range(max_rows).select(F.lit("random").alias("label"), F.explode(digests).alias("sample")))
     plain = (
         chosen.select(words.alias("w"))
         .where(F.size("w") >= 2)
@@ -116,9 +123,11 @@ def training_samples(documents: DataFrame, max_rows: int = 2000) -> DataFrame:
     return random.unionByName(plain)
 
 
-def scan(documents: DataFrame, ratios: list[float], least: int = 20, total: float = 12.0, per_pair: float = 0.5) -> DataFrame:
-    """doc_id, text, base (fixed spans) and spans (all) of every row."""
-    base = with_base_spans(documents)
+def scan(
+    documents: DataFrame, ratios: list[float], least: int = 20, total: float = 12.0, per_pair: float = 0.5, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """doc_id, ``carry``, text, base (fixed spans) and spans (all) of every row."""
+    base = with_base_spans(documents, carry)
     run = "[A-Za-z0-9+/_=-]{%d,}+" % least
     found = base.select("*", matches("text", run).alias("_run"))
     weights = f"from_json('{json.dumps(ratios)}', 'array<double>')"
@@ -127,17 +136,11 @@ def scan(documents: DataFrame, ratios: list[float], least: int = 20, total: floa
     ratio = f"""aggregate(sequence(2, length(x.found)), 0D, (s, i) -> s + element_at({weights},
         cast((locate(substring(x.found, i - 1, 1), '{ALPHABET}') - 1) * {size} + locate(substring(x.found, i, 1), '{ALPHABET}') as int)))"""
     test = f"(({ratio}) >= greatest({total}D, {per_pair}D * (length(x.found) - 1)))"
-    scored = found.select("doc_id", "text", "base", spans("_run", "markov", test).alias("_markov"))
+    scored = found.select("doc_id", *carry, "text", "base", spans("_run", "markov", test).alias("_markov"))
     apart = F.expr("filter(_markov, m -> not exists(base, b -> b.start < m.end and m.start < b.end))")
-    return scored.select("doc_id", "text", "base", F.array_sort(F.concat("base", apart)).alias("spans"))
-
-
-def redact(text: Column | str, spans_: str, mark: str = "[secret]") -> Column:
-    """The text with every merged span replaced by ``mark``; ``spans_`` names a column of sorted spans."""
-    merged = f"""aggregate({spans_}, cast(array() as array<struct<start:bigint,end:bigint>>), (a, x) ->
-        if(size(a) > 0 and a[size(a) - 1].end >= x.start,
-           concat(slice(a, 1, size(a) - 1), array(named_struct('start', a[size(a) - 1].start, 'end', greatest(a[size(a) - 1].end, x.end)))),
-           concat(a, array(named_struct('start', x.start, 'end', x.end)))))"""
-    kept = f"""transform(arrays_zip(concat(array(0L), transform({merged}, s -> s.end)), concat(transform({merged}, s -> s.start), array(cast(length({text}) as bigint)))),
-        p -> substring({text}, cast(p['0'] as int) + 1, cast(p['1'] - p['0'] as int)))"""
-    return F.expr(f"if(size({spans_}) = 0, {text}, array_join({kept}, '{mark}'))")
+    return scored.select("doc_id", *carry, "text", "base", F.array_sort(F.concat("base", apart)).alias("spans"))
+
+
+def redact(text: str, spans_: str, mark: str = "[secret]") -> Column:
+    """The text with every span replaced by ``mark``; overlapping spans are one."""
+    return replace_spans(text, spans_, mark)

@@ -22,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from cashlens.llm.common import LETTERS, LOWER, U64, code_points, labelled_sample, span_hashes, text_slices, word_spans
 
@@ -217,10 +218,14 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Fiel
 # ---------------------------------------------------------------- scoring
 
 
-def score(documents: DataFrame, field: Field) -> DataFrame:
-    """All columns of ``documents``' doc_id and text, with score and the offending spans (characters) of each row."""
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, score double, toxic_spans array<struct<start:bigint,end:bigint>>"
+def score(documents: DataFrame, field: Field, carry: tuple[str, ...] | None = None) -> DataFrame:
+    """doc_id, score and toxic_spans (offending characters) of each row; with ``carry`` the text and those columns too."""
+    documents = documents.select("doc_id", "text", *(carry or ()))
+    spans_type = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    kept = [f for f in documents.schema.fields if carry is not None or f.name == "doc_id"]
+    schema = T.StructType(kept).add("score", T.DoubleType()).add("toxic_spans", spans_type)
+    names = [f.name for f in schema.fields]
+    indices = [documents.columns.index(f.name) for f in kept]
     shared = documents.sparkSession.sparkContext.broadcast(field)
     pair_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -242,7 +247,7 @@ def score(documents: DataFrame, field: Field) -> DataFrame:
                         else:
                             spans[row].append({"start": int(chars[starts[k]] - base), "end": int(chars[ends[k]] - base)})
                         last = k
-                ids = batch.column(0).slice(first, end - first)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(scores), pa.array(spans, pair_type)], names=["doc_id", "score", "toxic_spans"])
+                columns = [batch.column(k).slice(first, end - first) for k in indices]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(scores), pa.array(spans, pair_type)], names=names)
 
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+    return documents.mapInArrow(run, schema)

@@ -6,14 +6,17 @@ pivot is near exactly to the sets that hold it, and a global order (rare shingle
 at most r from x has its first common shingle among the first |x| - ceil((1 - r)|x|) + 1 pivots of x; into these
 regions x is replicated, which is the window that the radius asks for. Hence every pair within r meets in a region.
 
-In a region the smallest document is the pivot, and its exact distance to all members is taken: a star, linear in the
-region. Members within r are linked. A region whose members now hang together is done. The others go on:
+In a region the document of least hash is the pivot, and its exact distance to all members is taken: a star, linear in
+the region. All stars of one pivot document then are one region: whatever met somewhere has that pivot in common.
+Members within r of the pivot are linked. A region whose members hang together is done. The others go on:
 
 Level 1 and up. Members of different components remain open. A small region compares those of its pairs that pass the
 triangle inequality over the pivot, |d(x,p) - d(y,p)| <= r. A larger one takes several new document pivots, measures
 them against all members, deals each member to its nearest pivot's Voronoi region and replicates it into every region
-with d(x,p') <= d(x,p) + 2r, and recurs; its pivots are done with. The join is exact and ends, for every level takes
-its pivots out.
+with d(x,p') <= d(x,p) + 2r, and recurs; its pivots are done with. Where these windows hold most members of most
+pivots, the region stays whole and takes four times as many pivots at the next level, measured only against members of
+other components that the triangle inequality does not part. The join is exact and ends, for every level takes its
+pivots out and a level has more of them.
 
 The rarity order uses counts of shingles over all documents in hashed buckets; their number is fixed, so they may be
 broadcast. The order decides the work only, never the result. Texts are hashed to 64-bit shingles (a collision is a
@@ -125,7 +128,7 @@ def bucket_counts(documents: DataFrame) -> np.ndarray:
 
 
 def region_rows(documents: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(region, doc, n): each document in the regions of its first shingles. Of copies in a task, one goes on."""
+    """(region, doc): each document in the regions of its first shingles. Of copies in a task, one goes on."""
     shared = documents.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +136,7 @@ def region_rows(documents: DataFrame, counts: np.ndarray) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            regions, docs, sizes, held = [], [], [], 0
+            regions, docs, held = [], [], 0
             for row, tokens in sets_of(batch.column(1)):
                 n = len(tokens)
                 if not n or not known[row]:
@@ -153,47 +156,41 @@ def region_rows(documents: DataFrame, counts: np.ndarray) -> DataFrame:
                     order = slice(None)
                 regions.append(tokens[order].astype(np.int64))
                 docs.append(np.full(take, ids[row], np.int64))
-                sizes.append(np.full(take, n, np.int32))
                 held += take
                 if held > 1 << 17:
-                    yield pack(regions, docs, sizes)
-                    regions, docs, sizes, held = [], [], [], 0
+                    yield pack(regions, docs)
+                    regions, docs, held = [], [], 0
             if held:
-                yield pack(regions, docs, sizes)
+                yield pack(regions, docs)
 
-    def pack(regions, docs, sizes):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (regions, docs, sizes)], names=["region", "doc", "n"])
+    def pack(regions, docs):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (regions, docs)], names=["region", "doc"])
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "region bigint, doc bigint, n int")
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "region bigint, doc bigint")
 
 
 def stars(rows: DataFrame) -> DataFrame:
-    """(region, pivot, doc, near) for regions with more than one document: the smallest document is the pivot.
+    """(region, doc): the spokes of every shingle region with more than one document; region is its pivot document.
 
-    The rows of a region come one after the other and are never held together. ``near``: their sizes allow a link.
+    The rows of a region come one after the other and are never held together.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, pivot, size = None, 0, 0
+        last, pivot = None, 0
         for batch in batches:
-            region, doc, n = (batch.column(k).to_numpy() for k in range(3))
+            region, doc = (batch.column(k).to_numpy() for k in range(2))
             if not len(region):
                 continue
             new = np.r_[last is None or region[0] != last, region[1:] != region[:-1]]
             at = np.maximum.accumulate(np.where(new, np.arange(len(region)), -1))
             pivots = np.where(at >= 0, doc[at], pivot)
-            sizes = np.where(at >= 0, n[at], size)
-            last, pivot, size = region[-1], pivots[-1], sizes[-1]
-            keep = ~new & (doc != pivots)
-            near = 4 * np.minimum(n, sizes) >= 3 * np.maximum(n, sizes)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x[keep]) for x in (region, pivots, doc, near)], names=["region", "pivot", "doc", "near"]
-            )
-
-    # The engine may read a sorted partition in any batches; the order is by size of the document id's hash, so that
-    # the same documents are pivots of many regions and few pairs are measured.
+            last, pivot = region[-1], pivots[-1]
+            spokes = np.unique(np.stack([pivots, doc], 1)[~new & (doc != pivots)], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(spokes[:, 0]), pa.array(spokes[:, 1])], names=["region", "doc"])
+
+    # the pivot is the document of least hash, so that few documents are pivots of many regions
     ordered = rows.repartition("region").sortWithinPartitions("region", F.xxhash64("doc"), "doc")
-    return ordered.mapInArrow(run, "region bigint, pivot bigint, doc bigint, near boolean")
+    return ordered.mapInArrow(run, "region bigint, doc bigint")
 
 
 # ---------------------------------------------------------------- exact distances
@@ -249,65 +246,90 @@ def measured(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- the join
 
 
-def labelled(regions: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members with their component, in regions that still hold more than one component; ``size`` is the region's."""
-    members = regions.join(labels.withColumnsRenamed({"node": "doc"}), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    open_ = members.groupBy("region").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    return members.join(open_.select("region", "size"), "region")
-
-
 def link(documents: DataFrame, folder: str, radius: float = 0.25) -> DataFrame:
     """(a, b): linked documents, enough of them that components are those of all links between different texts."""
-    measured_by = written(stars(region_rows(documents, bucket_counts(documents))), folder, "stars")
-    pairs = measured_by.where("near").select(F.least("pivot", "doc").alias("a"), F.greatest("pivot", "doc").alias("b")).distinct()
-    ids = measured_by.select(F.explode(F.array("pivot", "doc")).alias("doc")).distinct()
+    stars_ = written(stars(region_rows(documents, bucket_counts(documents))).distinct(), folder, "stars")
+    ids = stars_.select(F.explode(F.array("region", "doc")).alias("doc")).distinct()
     bodies = written(packed_texts(documents, ids), folder, "bodies")
-    found = written(measured(pairs, bodies), folder, "level0")
+    found = written(measured(unordered(stars_, "region", "doc").distinct(), bodies), folder, "measured0")
     links = found.where("linked").select("a", "b")
-    # Members that their pivot does not link keep their region open; so does a member linked to another component.
-    distance = found.select(F.col("a").alias("p"), F.col("b").alias("q"), "distance")
-    both = distance.unionByName(distance.select(F.col("q").alias("p"), F.col("p").alias("q"), "distance"))
-    labels = components(links, folder, "labels0")
-    failed = found.where("not linked").select("a", "b")
-    suspicious = measured_by.withColumns({"a": F.least("pivot", "doc"), "b": F.greatest("pivot", "doc")})
-    unlinked = suspicious.where("not near").select("region").unionByName(suspicious.where("near").join(failed, ["a", "b"]).select("region")).distinct()
-    # the pivot is done with; its distances stay for the triangle inequality (null: sizes too far apart to link)
-    regions = measured_by.join(unlinked, "region", "left_semi").join(
-        both.select(F.col("p").alias("pivot"), F.col("q").alias("doc"), "distance"), ["pivot", "doc"], "left"
-    )
-    regions = written(regions.select("region", "doc", "distance"), folder, "regions0")
+    # A pair that meets in a shingle's region was measured against one and the same pivot: the region of a pivot from
+    # here on is all that was. Far fewer rows than shingle regions, and each pair of documents meets once per pivot.
+    # Pivots are done with: they were measured against all.
+    regions = with_distance(stars_.withColumn("pivot", F.col("region")), found)
+    regions = written(regions.select("region", "doc", "distance", F.lit(False).alias("whole")), folder, "regions0")
     level = 0
     while True:
+        labels = components(links, folder, f"labels{level}")
         level += 1
-        members = written(labelled(regions, labels), folder, f"members{level}")
-        small = members.where(F.col("size") <= SMALL)
-        left, right = small.alias("x"), small.alias("y")
-        # at most SMALL partners each, of other components, that the triangle inequality does not part
-        window = F.abs(F.col("x.distance") - F.col("y.distance")) <= radius + 1e-9
-        pairs = (
-            left.join(right, (F.col("x.region") == F.col("y.region")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.component") != F.col("y.component")))
-            .where(window | F.col("x.distance").isNull() | F.col("y.distance").isNull())
-            .select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
-        )
-        large = members.where(F.col("size") > SMALL)
-        # new pivots: the members of least hash; hashed slots find them without a sort of the region
-        slot = F.pmod(F.xxhash64("doc", F.lit(level)), F.lit(PIVOTS))
-        pivots = large.groupBy("region", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("doc"), "doc"))["doc"].alias("pivot")).drop("slot")
-        pivots = written(pivots, folder, f"pivots{level}")
-        spokes = written(large.join(pivots, "region").where("doc <> pivot").select("region", "doc", "pivot"), folder, f"spokes{level}")
-        star = spokes.select(F.least("pivot", "doc").alias("a"), F.greatest("pivot", "doc").alias("b"))
-        found = written(measured(pairs.unionByName(star).distinct(), bodies), folder, f"level{level}")
+        members = written(still_open(regions, labels), folder, f"members{level}")
+        small, large = members.where(F.col("size") <= SMALL), members.where(F.col("size") > SMALL)
+        pivots = written(new_pivots(large, PIVOTS * 4 ** (level - 1), level), folder, f"pivots{level}")
+        spokes = large.join(pivots, "region").where("doc <> pivot")
+        # a region that its pivots do not part has no use of more distances than those that may link
+        apart = (F.col("component") != F.col("pivot_component")) & (F.abs(F.col("distance") - F.col("pivot_distance")) <= radius + 1e-9)
+        spokes = written(spokes.where(~F.col("whole") | apart).select("region", "doc", "pivot", "whole"), folder, f"spokes{level}")
+        pairs = unordered(spokes, "pivot", "doc").unionByName(close_pairs(small, radius)).distinct()
+        found = written(measured(pairs, bodies), folder, f"measured{level}")
         links = written(links.unionByName(found.where("linked").select("a", "b")), folder, f"links{level}")
-        if spokes.isEmpty():
+        if pivots.isEmpty():
             return links
-        labels = components(links, folder, f"labels{level}")
-        # Voronoi regions of the new pivots, with the windows of the triangle inequality
-        distances = found.select("a", "b", "distance")
-        spokes = spokes.join(pivots.withColumnsRenamed({"pivot": "doc"}), ["region", "doc"], "left_anti")
-        spokes = spokes.withColumns({"a": F.least("pivot", "doc"), "b": F.greatest("pivot", "doc")}).join(distances, ["a", "b"])
-        home = spokes.groupBy("region", "doc").agg(F.min("distance").alias("home"))
-        regions = spokes.join(home, ["region", "doc"]).where(F.col("distance") <= F.col("home") + 2 * radius + 1e-9)
-        regions = written(regions.select(F.xxhash64("region", "pivot").alias("region"), "doc", "distance"), folder, f"regions{level}")
+        left = large.join(pivots.select("region", F.col("pivot").alias("doc")), ["region", "doc"], "left_anti").select("region", "doc", "distance", "whole")
+        cells = written(voronoi(spokes.where("not whole"), found, radius), folder, f"cells{level}")
+        # Where most members lie in the windows of most pivots, splitting would only copy the region.
+        counts = cells.groupBy("parent").agg(F.count("*").alias("n"), F.countDistinct("doc").alias("docs"))
+        parted = written(counts.where("n <= 2 * docs").select("parent"), folder, f"parted{level}")
+        split = cells.join(parted, "parent", "left_semi").select("region", "doc", "distance", F.lit(False).alias("whole"))
+        kept = left.join(parted, F.col("region") == F.col("parent"), "left_anti").withColumn("whole", F.lit(True))
+        regions = written(split.unionByName(kept), folder, f"regions{level}")
+
+
+def new_pivots(large: DataFrame, slots: int, salt: int) -> DataFrame:
+    """Pivots of each region: the member of least hash in each of some hashed slots, so no region is sorted."""
+    slot = F.pmod(F.xxhash64("doc", F.lit(salt)), F.lit(slots))
+    least = F.min(F.struct(F.xxhash64("doc"), "doc", "component", "distance")).alias("m")
+    chosen = large.groupBy("region", slot.alias("slot")).agg(least)
+    return chosen.select("region", F.col("m.doc").alias("pivot"), F.col("m.component").alias("pivot_component"), F.col("m.distance").alias("pivot_distance"))
+
+
+def unordered(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    return pairs.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b"))
+
+
+def with_distance(spokes: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of the pivots' regions with their distance. The pivots are done with: they were measured with all."""
+    sides = spokes.withColumns({"a": F.least("pivot", "doc"), "b": F.greatest("pivot", "doc")})
+    return sides.join(found.select("a", "b", "distance"), ["a", "b"]).select("region", "doc", "pivot", "distance")
+
+
+def voronoi(spokes: DataFrame, found: DataFrame, radius: float) -> DataFrame:
+    """Each member in the region of its nearest pivot, and in all whose members may lie within the radius of it.
+
+    For x at home with p and y within r of x: d(y, p) <= d(x, p) + r <= d(y, q) + 2r for every pivot q of y.
+    """
+    pivots = spokes.select("region", F.col("pivot").alias("doc")).distinct()
+    members = with_distance(spokes.join(pivots, ["region", "doc"], "left_anti"), found)
+    home = members.groupBy("region", "doc").agg(F.min("distance").alias("home"))
+    members = members.join(home, ["region", "doc"]).where(F.col("distance") <= F.col("home") + 2 * radius + 1e-9)
+    return members.select(F.col("region").alias("parent"), F.xxhash64("region", "pivot").alias("region"), "doc", "distance")
+
+
+def still_open(regions: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members, their component, and the size of their region, in regions that hold more than one component."""
+    members = regions.join(labels.withColumnsRenamed({"node": "doc"}), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    size = members.groupBy("region").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return members.join(size.where("low < high").select("region", "size"), "region")
+
+
+def close_pairs(small: DataFrame, radius: float) -> DataFrame:
+    """Pairs of small regions, of different components, that the triangle inequality over the pivot does not part.
+
+    A region has at most SMALL members, so a member meets that many partners at most.
+    """
+    x, y = small.alias("x"), small.alias("y")
+    apart = (F.col("x.region") == F.col("y.region")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.component") != F.col("y.component"))
+    near = F.abs(F.col("x.distance") - F.col("y.distance")) <= radius + 1e-9
+    return x.join(y, apart & near).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
 
 
 def groups(documents: DataFrame) -> DataFrame:

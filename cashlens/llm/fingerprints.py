@@ -139,8 +139,10 @@ def next_ids(ids: DataFrame, name: str = "id", bits: int = 12) -> DataFrame:
 
 def with_next(documents: DataFrame) -> DataFrame:
     """doc_id, text, and of the next document: head (at most a quarter of this text's length) and paragraphs."""
-    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    lengths = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("id")).agg(F.max(F.length("text")).alias("n"))
+    everything = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # without null ids both joins below ask for the same exchange of the texts, so Spark makes it once
+    docs = everything.where("doc_id is not null")
+    lengths = docs.groupBy(F.col("doc_id").cast("bigint").alias("id")).agg(F.max(F.length("text")).alias("n"))
     first = lengths.agg(F.min("id")).first()[0]
     order = next_ids(lengths.select("id")).select("id", F.coalesce("next", F.lit(first)).alias("next"))
     # by the next id: whose next it is, and how much of it that one needs
@@ -158,6 +160,7 @@ def with_next(documents: DataFrame) -> DataFrame:
         )
     )
     joined = docs.join(donors, docs["doc_id"] == donors["_id"], "left").drop("_id")
+    joined = joined.unionByName(everything.where("doc_id is null"), allowMissingColumns=True)
     return joined.withColumn("head", F.coalesce("head", F.lit("")))
 
 

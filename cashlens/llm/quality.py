@@ -44,7 +44,8 @@ def features(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     low = LOWER[raw]
     rows, starts, ends = word_spans(low, at, LETTERS)
     words = span_hashes(low, starts, ends)
-    again = np.r_[False, (words[1:] == words[:-1]) & (rows[1:] == rows[:-1])]
+    again = np.zeros(len(words), bool)
+    again[1:] = (words[1:] == words[:-1]) & (rows[1:] == rows[:-1])
     shape = CLASSES[raw]
     tokens, first, last = word_spans(raw, at, NOT_SPACE)
     begins = np.zeros(len(raw) + 1, bool)

@@ -42,7 +42,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_toxicity")
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    field = toxicity.train(documents, table(spark, sf_dir, "labels"), max_rows=4000)
+    field = toxicity.train(documents, table(spark, sf_dir, "labels"), max_rows=3000)
     return toxicity.score(documents, field).select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),

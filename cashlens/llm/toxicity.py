@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from cashlens.llm.common import LETTERS, LOWER, U64, code_points, labelled_sample, span_hashes, text_slices, word_spans
+from cashlens.llm.common import LETTERS, LOWER, U64, code_points, labelled_sample, mix, span_hashes, text_slices, word_spans
 
 BUCKETS = 1 << 18
 #: Beginnings of words, in bytes, that are features beside the whole word. Bucket 0 stands for "no such beginning".
@@ -53,7 +53,7 @@ def words_of(raw: np.ndarray, at: np.ndarray):
         columns.append(part)
     buckets = np.stack(columns, 1) % U64(BUCKETS - 1) + U64(1)
     buckets[np.stack(columns, 1) == 0] = 0
-    return rows, starts, ends, buckets.astype(np.int64)
+    return rows, starts, ends, buckets.astype(np.int32)
 
 
 def matrices(field: Field, rows: np.ndarray, buckets: np.ndarray) -> np.ndarray:
@@ -115,12 +115,18 @@ def marginals(field: Field, rows: np.ndarray, buckets: np.ndarray) -> np.ndarray
 def label_words(rows: np.ndarray, buckets: np.ndarray, toxic: np.ndarray, purity: float = 0.75, least: int = 5) -> np.ndarray:
     """Features that stand in ``least`` or more groups of toxic texts and in few clean ones (share ``purity``).
 
-    Texts with the same smallest feature hash form a group, so that copies of one text count once.
+    Texts with the same smallest hash of three words in a row form a group, so that copies of one text count once.
     """
     head = np.full(len(toxic), np.iinfo(np.int64).max)
-    np.minimum.at(head, rows, buckets[:, 0] * 0x9E3779B1 % BUCKETS)
+    word = buckets[:, 0].astype(U64)
+    three = mix(word[:-2] * U64(BUCKETS) ** U64(2) + word[1:-1] * U64(BUCKETS) + word[2:]) >> U64(1)
+    np.minimum.at(head, rows[2:], three.astype(np.int64))
     group = np.unique(np.stack([head, toxic], 1), axis=0, return_inverse=True)[1].ravel()
-    pairs = np.unique((group[rows][:, None] * BUCKETS + buckets).ravel())
+    parts = [np.zeros(0, np.int64)]
+    for first in range(0, len(rows), 1 << 18):
+        part = slice(first, first + (1 << 18))
+        parts.append(np.unique((group[rows[part]].astype(np.int64)[:, None] * BUCKETS + buckets[part]).ravel()))
+    pairs = np.unique(np.concatenate(parts))
     owner, word = pairs // BUCKETS, pairs % BUCKETS
     bad = np.zeros(group.max() + 1, bool)
     bad[group[toxic]] = True
@@ -144,7 +150,8 @@ def training_chains(rows: np.ndarray, truth: np.ndarray, reach: int = 24) -> np.
 def fit(rows: np.ndarray, buckets: np.ndarray, toxic: np.ndarray, rounds: int = 40, rate: float = 0.5, ridge: float = 1e-4) -> Field:
     """Maximum likelihood of the labelled tokens; ``rows`` ascending document numbers of the words."""
     start = np.zeros((2, 2))
-    field = Field(np.zeros(BUCKETS), np.zeros((2, 2)), start, np.array([0.0, 0.0, 0.0, -6.0]))
+    # a word that no sample holds is rather plain
+    field = Field(np.full(BUCKETS, -0.3), np.zeros((2, 2)), start, np.array([0.0, 0.0, 0.0, -6.0]))
     if not len(buckets) or not toxic.any():
         field.start[:, 1] = field.steps[:, 1] = -30.0  # nothing is toxic
         return field
@@ -174,7 +181,10 @@ def fit(rows: np.ndarray, buckets: np.ndarray, toxic: np.ndarray, rounds: int =
         field.start += 4 * rate * (seen_start - np.array([(1 - p[head]).sum(), p[head].sum()])) / head.sum()
         np.clip(field.emission, -12, 12, out=field.emission)
         field.emission[0] = 0
-    field.document = fit_document(evidence(every_row, marginals(field, every_row, every_word), len(toxic)), toxic)
+    # evidence of all texts, some texts at a time
+    cuts = np.unique(np.searchsorted(every_row, every_row[:: 1 << 17]))
+    parts = [evidence(every_row[a:b], marginals(field, every_row[a:b], every_word[a:b]), len(toxic)) for a, b in zip(cuts, [*cuts[1:], len(every_row)], strict=True)]
+    field.document = fit_document(np.stack([join_evidence(parts, k) for k in range(3)] + [np.ones(len(toxic))], 1), toxic)
     return field
 
 
@@ -188,6 +198,11 @@ def evidence(rows: np.ndarray, p: np.ndarray, n: int) -> np.ndarray:
     return np.stack([best, np.log1p(total), np.log1p(200 * total / (size + 20.0)), np.ones(n)], 1)
 
 
+def join_evidence(parts: list[np.ndarray], column: int) -> np.ndarray:
+    """Evidence of texts that stand in one part each; elsewhere it is 0."""
+    return np.max([p[:, column] for p in parts], 0)
+
+
 def fit_document(x: np.ndarray, toxic: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     """Logistic regression by Newton steps."""
     w = np.zeros(x.shape[1])
@@ -203,7 +218,7 @@ def document_score(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
 
 
-def train(documents: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Field:
+def train(documents: DataFrame, labels: DataFrame, max_rows: int = 3000) -> Field:
     """Fit on up to ``max_rows`` labelled documents outside the held-out fold (a bounded sample, on the driver)."""
     rows_ = labelled_sample(documents, labels, "toxic", max_rows).select("text", "value").toPandas()
     toxic = (rows_["value"].to_numpy() > 0) if len(rows_) else np.zeros(0, bool)
@@ -223,7 +238,7 @@ def score(documents: DataFrame, field: Field, carry: tuple[str, ...] | None = No
     documents = documents.select("doc_id", "text", *(carry or ()))
     spans_type = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     kept = [f for f in documents.schema.fields if carry is not None or f.name == "doc_id"]
-    schema = T.StructType(kept).add("score", T.DoubleType()).add("toxic_spans", spans_type)
+    schema = T.StructType(list(kept)).add("score", T.DoubleType()).add("toxic_spans", spans_type)
     names = [f.name for f in schema.fields]
     indices = [documents.columns.index(f.name) for f in kept]
     shared = documents.sparkSession.sparkContext.broadcast(field)

@@ -81,14 +81,14 @@ def test_toxicity_held_out(field):
 
 def test_toxicity_spans_and_edges(field, documents):
     _, model = field
-    texts = [None, "", "!!! ---", "é snarkel ü", "x " * 30000 + "grumpfl", "é snarkel ü"]
+    texts = [None, "", "!!! ---", "é walks snarkel and river", "river " * 9000 + "grumpfl", "é walks snarkel and river"]
     got = toxicity.score(documents([(None, "grumpfl"), *enumerate(texts)]), model).collect()
     rows = {r["doc_id"]: r for r in got}
     assert len(got) == 7
     assert all(0 <= r["score"] <= 1 for r in got)
     assert [rows[k]["toxic_spans"] for k in (0, 1, 2)] == [[], [], []]
-    assert [(s["start"], s["end"]) for s in rows[3]["toxic_spans"]] == [(2, 9)]
-    assert [(s["start"], s["end"]) for s in rows[4]["toxic_spans"]] == [(60000, 60007)]
+    assert [(s["start"], s["end"]) for s in rows[3]["toxic_spans"]] == [(8, 15)]
+    assert [(s["start"], s["end"]) for s in rows[4]["toxic_spans"]] == [(54000, 54007)]
     assert rows[3]["score"] == rows[5]["score"] and rows[None]["toxic_spans"]
 
 

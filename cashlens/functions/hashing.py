@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,16 +68,25 @@ def has_non_finite(df: DataFrame) -> Column:
     return out
 
 
-SECRET_KEYS = r"(?i)(token|secret|password|credential|api_?key|cookie|authorization)"
-LOCAL_PATH = r"^(/|~/|[A-Za-z]:\\)"
-MAX_ITEMS = 100
-MAX_TEXT = 2000
+# Parts of keys that are left out, and what marks a local path.
+HIDDEN_KEYS = ("credential", "secret", "token", "private_key", "stderr", "jsonl")
+PATH_STARTS = ("/", "~/")
+PATH_PARTS = ("/home/", "/var/lib/")
+
+
+def public_summary(payload: Column, max_items: int | None = None, max_text: int | None = None) -> Column:
+    """Redacted map in input order: keys with a hidden part dropped, local paths masked.
+
+    ``max_items`` keeps the first entries, ``max_text`` the first characters; by default nothing is cut.
+    """
+
+    def hidden(key: Column) -> Column:
+        name = F.lower(key)
+        return reduce(or_, [F.contains(name, F.lit(part)) for part in HIDDEN_KEYS])
 
+    def shown(value: Column) -> Column:
+        path = reduce(or_, [F.startswith(value, F.lit(x)) for x in PATH_STARTS] + [F.contains(value, F.lit(x)) for x in PATH_PARTS])
+        return F.when(path, F.lit("[local path]")).otherwise(value if max_text is None else F.substring(value, 1, max_text))
 
-def public_summary(payload: Column) -> Column:
-    """Redacted map: credential-like keys dropped, local paths masked, long texts cut for display."""
-    kept = F.map_filter(payload, lambda k, _: ~k.rlike(SECRET_KEYS))
-    masked = F.transform_values(
-        kept, lambda _, v: F.when(v.rlike(LOCAL_PATH), F.lit("[local path]")).otherwise(F.substring(v, 1, MAX_TEXT))
-    )
-    return F.map_from_entries(F.slice(F.array_sort(F.map_entries(masked)), 1, MAX_ITEMS))
+    taken = payload if max_items is None else F.map_from_entries(F.slice(F.map_entries(payload), 1, max_items))
+    return F.transform_values(F.map_filter(taken, lambda k, _: ~hidden(k)), lambda _, v: shown(v))

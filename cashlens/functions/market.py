@@ -76,9 +76,20 @@ def quote_timestamp(raw: Column, quote_code: Column) -> Column:
     blank = text.isNull() | text.isin("", "N/A", "--")
     zone = F.when(F.substring_index(quote_code, ".", 1) == "US", "America/New_York").otherwise("Asia/Shanghai")
     zoned = text.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
-    return F.when(blank, F.lit(None).cast("timestamp")).when(
-        zoned, text.try_cast("timestamp")
-    ).otherwise(F.to_utc_timestamp(text.try_cast("timestamp_ntz").cast("timestamp"), zone))
+    # the zone is part of the text that is read, so the session's zone has no say
+    local = F.concat(text.try_cast("timestamp_ntz").cast("string"), F.lit(" "), zone)
+    return F.when(blank, F.lit(None).cast("timestamp")).when(zoned, text.try_cast("timestamp")).otherwise(
+        local.try_cast("timestamp")
+    )
+
+
+def utc_seconds(now: Column) -> Column:
+    return F.unix_seconds(now.cast("timestamp"))
+
+
+def utc_date(now: Column) -> Column:
+    """Date on the UTC clock, whatever the session's zone."""
+    return F.date_from_unix_date(F.floor(utc_seconds(now) / 86_400).cast("int"))
 
 
 def weekdays_between(start: Column, end: Column) -> Column:
@@ -93,14 +104,14 @@ def weekdays_between(start: Column, end: Column) -> Column:
 
 def expected_open(now: Column, market: Column) -> Column:
     """Inside a trading session of the market (UTC clock, lunch break out), on a weekday."""
-    seconds = F.hour(now) * 3600 + F.minute(now) * 60 + F.second(now)
+    seconds = F.pmod(utc_seconds(now), F.lit(86_400))
     inside = F.lit(False)
     for name, spans in SESSIONS.items():
         hit = F.lit(False)
         for low, high in spans:
             hit = hit | ((seconds >= low * 60) & (seconds <= high * 60))
         inside = inside | ((market == name) & hit)
-    return (F.weekday(now) < 5) & inside
+    return (F.weekday(utc_date(now)) < 5) & inside
 
 
 def seconds_between(start: Column, end: Column) -> Column:
@@ -112,7 +123,7 @@ def freshness(quote: Column, collected: Column, state: Column, market: Column, n
     """CURRENT, MARKET_CLOSED_CURRENT or STALE_LAST_GOOD."""
     age = seconds_between(quote, now)
     trading = F.lower(F.trim(state)).isin(*TRADING_WORDS) | expected_open(now, market)
-    quiet = (age <= CLOSED_MAX_SECONDS) & (weekdays_between(quote.cast("date"), now.cast("date")) <= 1)
+    quiet = (age <= CLOSED_MAX_SECONDS) & (weekdays_between(utc_date(quote), utc_date(now)) <= 1)
     return (
         F.when(quote.isNull() | collected.isNull() | (quote > now) | (collected > now), "STALE_LAST_GOOD")
         .when(trading & (age <= FRESH_SECONDS), "CURRENT")

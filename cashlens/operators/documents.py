@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cashlens.functions import text as X
 from cashlens.functions.hashing import evidence_id
 from cashlens.functions.numeric import let
-from cashlens.operators.scale import latest_by
+from cashlens.operators.scale import join_null_safe, latest_by
 
 c = F.col
 
@@ -469,7 +469,7 @@ def share_balance_rows(docs: DataFrame) -> DataFrame:
         F.max("cancelled").alias("_x"),
     )
     zero = lambda x: F.coalesce(c(x), F.lit(0))
-    j = docs.select(*keep).join(g, keep, "left")
+    j = join_null_safe(docs.select(*keep), g, keep, "left")
     return j.select(
         *keep,
         F.when(c("opening_rows") == 1, c("_o")).alias("opening_issued_shares"),

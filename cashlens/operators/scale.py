@@ -35,6 +35,13 @@ def earliest_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
     return picked.select(*keys, "_row.*").select(*df.columns)
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where a null equals a null, keeping the left side's key columns."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def lag_in_buckets(
     df: DataFrame,
     keys: Sequence[str],
@@ -60,7 +67,7 @@ def lag_in_buckets(
         "_bucket",
         F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_carry"),
     )
-    joined = local.join(carry, [*keys, "_bucket"], "left")
+    joined = join_null_safe(local, carry, [*keys, "_bucket"], "left")
     return joined.select(*df.columns, F.coalesce(F.col("_lag"), F.col("_carry"))["v"].alias(out))
 
 
@@ -98,7 +105,7 @@ def running_in_buckets(
             merged.append((F.coalesce(here, F.lit(0)) + F.coalesce(earlier, F.lit(0))).alias(name))
         else:
             merged.append(F.greatest(here, earlier).alias(name))
-    return local.join(carry, [*keys, "_bucket"], "left").select(*df.columns, *merged)
+    return join_null_safe(local, carry, [*keys, "_bucket"], "left").select(*df.columns, *merged)
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
@@ -130,7 +137,7 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Da
         ((F.col("_low") > F.col("_before")) & (F.col("_low") <= F.col("_before") + F.col("_cn")))
         | ((F.col("_high") > F.col("_before")) & (F.col("_high") <= F.col("_before") + F.col("_cn")))
     )
-    opened = celled.join(middle.select(*keys, "_cell", "_before", "_low", "_high"), [*keys, "_cell"])
+    opened = join_null_safe(celled, middle.select(*keys, "_cell", "_before", "_low", "_high"), [*keys, "_cell"])
     inside = Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     placed = opened.withColumn("_from", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
     covers = lambda p: (F.col(p) > F.col("_from")) & (F.col(p) <= F.col("_from") + F.col("_n"))
@@ -139,15 +146,6 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Da
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan over the cores before row-heavy work, only where it has fewer partitions than cores.
-
-    A large table already has more splits than cores and is left alone, so nothing is shuffled there.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once, with their count."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

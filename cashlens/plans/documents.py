@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from cashlens.functions import text as X
 from cashlens.operators import documents as DOC
-from cashlens.operators.scale import spread
 from cashlens.plans.registry import query
 from cashlens.plans.sqlparts import d, m, part, rnd, with_parts
 from cashlens.sources import domain as D
@@ -138,7 +137,7 @@ part(
     ),
 )
 def text_lines(spark, sf):
-    docs = spread(D.table(spark, sf, "documents").select("doc_id", "text"))
+    docs = D.table(spark, sf, "documents").select("doc_id", "text")
     # Counted inside the row: no line leaves its document.
     lines = docs.select("doc_id", F.flatten(F.transform(F.split("text", "\f"), DOC.page_lines)).alias("l")).where(F.size("l") > 0)
     return lines.select(
@@ -158,7 +157,7 @@ num AS (SELECT doc_id, regexp_extract(r, '^[0-9][0-9,]*(?:\\.[0-9]+)?', 0) AS v,
 SELECT doc_id, count(*) AS tokens FROM num GROUP BY 1""",
 )
 def text_amounts(spark, sf):
-    docs = spread(D.table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", X.amount_tokens(c("text")).alias("t"))
+    docs = D.table(spark, sf, "documents").select("doc_id", "text").select("doc_id", X.amount_tokens(c("text")).alias("t"))
     return docs.where(F.size("t") > 0).select("doc_id", F.size("t").cast("bigint").alias("tokens"))
 
 

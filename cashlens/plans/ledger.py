@@ -510,10 +510,10 @@ def distribution_totals(spark, sf):
 @query(
     "archive_coverage",
     """SELECT c_custkey AS company_id, coalesce(s, 0) AS selected, coalesce(v, 0) AS verified, coalesce(e, 0) AS errors, CASE WHEN coalesce(s, 0) > 0 AND s = v THEN 'VERIFIED' WHEN coalesce(v, 0) > 0 THEN 'PARTIAL' WHEN coalesce(e, 0) > 0 THEN 'ERROR' ELSE 'PENDING' END AS coverage_status
-FROM customer LEFT JOIN (SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus <> 'O') AS s, count(*) FILTER (WHERE o_orderstatus = 'F') AS v, count(*) FILTER (WHERE o_orderstatus = 'O') AS e FROM orders WHERE o_orderdate >= TIMESTAMP '2000-06-01' GROUP BY 1) ON c_custkey = o_custkey""",
+FROM customer LEFT JOIN (SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus <> 'O') AS s, count(*) FILTER (WHERE o_orderstatus = 'F') AS v, count(*) FILTER (WHERE o_orderstatus = 'O') AS e FROM orders GROUP BY 1) ON c_custkey = o_custkey""",
 )
 def archive_coverage(spark, sf):
-    o = D.table(spark, sf, "orders").where(c("o_orderdate") >= F.lit("2000-06-01").cast("timestamp_ntz"))
+    o = D.table(spark, sf, "orders")
     docs = o.select(
         c("o_custkey").alias("company_id"),
         (c("o_orderstatus") != "O").alias("selected"),

@@ -331,7 +331,7 @@ def resilience_score(spark, sf):
 part(
     "event_codes",
     """SELECT user_id AS company_id, list_sort(list_distinct(list(CASE event_type WHEN 'error' THEN 'PROFIT_WARNING' WHEN 'signup' THEN 'ASSET_SALE' ELSE 'ROUTINE_NEWS' END))) AS events,
-  max(ts) AS last_event FROM events WHERE value >= 30 GROUP BY 1""",
+  max(ts) AS last_event FROM events GROUP BY 1""",
 )
 part(
     "screen_base",
@@ -353,7 +353,7 @@ FROM (SELECT *, list_sort(list_filter(events, lambda x: x IN ('PROFIT_WARNING','
 
 def event_codes(spark, sf):
     """Distinct event codes per company; the set of codes is fixed, so the set per company stays tiny."""
-    e = D.table(spark, sf, "events").where(c("value") >= 30)
+    e = D.table(spark, sf, "events")
     code = (
         F.when(c("event_type") == "error", "PROFIT_WARNING")
         .when(c("event_type") == "signup", "ASSET_SALE")

@@ -17,6 +17,7 @@ def get_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # Keep all cores busy on small local data; a cluster keeps its own setting.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
+        .config("spark.sql.files.maxPartitionBytes", "4MB")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # Long generated expressions: skip the per-expression call-site capture.
@@ -37,6 +38,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         configured = tempfile.mkdtemp(prefix="run-", dir="/tmp")

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cashlens.functions.numeric import MONEY, WIDE, half_up, ratio
-from cashlens.operators.scale import spread
 
 AS_OF = "2001-11-04"
 
@@ -32,8 +31,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """lineitem with only the named columns, spread over the cores when the file is a single split."""
-    return spread(table(spark, sf_dir, "lineitem").select(*columns))
+    """lineitem with only the named columns."""
+    return table(spark, sf_dir, "lineitem").select(*columns)
 
 
 def money(c: str) -> Column:
@@ -100,7 +99,7 @@ def weekly_prices(
             raw = raw.where(F.col("l_shipdate") >= day(since))
         if before is not None:
             raw = raw.where(F.col("l_shipdate") < day(before))
-        li = spread(raw)
+        li = raw
         grouped = li.groupBy(
             F.col("l_suppkey").alias("security_id"),
             F.trunc(F.col("l_shipdate").cast("date"), "week").alias("week"),
@@ -380,7 +379,7 @@ def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     wording follows the status, and a share-change table.
     """
     narrow = ("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority", "o_totalprice")
-    o = spread(table(spark, sf_dir, "orders").select(*narrow))
+    o = table(spark, sf_dir, "orders").select(*narrow)
     year = F.year("o_orderdate")
     amount = F.format_number(money("o_totalprice"), 2)
     other = F.format_number((F.col("o_orderkey") + 1).cast(MONEY), 2)
@@ -437,7 +436,7 @@ def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report documents with titles in five forms, one per order."""
-    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice")
     year = F.year("o_orderdate") + 5
     y, p = year.cast("string"), F.col("o_orderpriority")
     cjk = F.translate(y, "0123456789", "〇一二三四五六七八九")
@@ -460,7 +459,7 @@ def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def share_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One Hong Kong share-capital note per order, with the balances of the order's own keys."""
-    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     y = F.year("o_orderdate").cast("string")
     first, cut = F.col("o_orderkey") + 1_000_000, F.col("o_custkey") + 1
     text = F.concat_ws(

@@ -1,44 +1,58 @@
-"""Streaming trigger state: one small state row per company, rows of a batch taken in time order."""
+"""Streaming trigger decisions: runs are classified by the batch expressions; a small state row holds the clock."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from cashlens.operators.triggers import DECISION_SCHEMA, EMPTY_STATE, rows_in_order, screening_step
+from cashlens.functions import policy as P
+from cashlens.operators.triggers import BACKLOG, DECISION_SCHEMA, classified
 
-STATE_SCHEMA = "in_zone boolean, last_price_at timestamp, backlog_done boolean"
+STATE_SCHEMA = "in_zone boolean, last_fire timestamp, backlog_done boolean"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+COLUMNS = ["company_id", "run_at", "fires", "mode", "trigger_type", "in_zone"]
 
 
-class ScreeningTrigger(StatefulProcessor):
-    """Keeps zone, last price trigger and backlog flag of a company."""
+class TriggerClock(StatefulProcessor):
+    """Zone, time of the last fire and backlog flag of a company; everything else comes classified."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("trigger", STATE_SCHEMA)
+        self.state = handle.getValueState("clock", STATE_SCHEMA)
+        self.wait = timedelta(days=P.THRESHOLDS["price_trigger_cooldown_days"])
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        kept = self.state.get() if self.state.exists() else None
-        state = dict(zip(EMPTY_STATE, kept)) if kept is not None else dict(EMPTY_STATE)
-        # One company's release rows of one micro-batch, bounded by the release clock.
+        zone, last, done = self.state.get() if self.state.exists() else (False, None, False)
+        # One company's runs of one micro-batch, bounded by the release clock.
+        runs = pd.concat(list(rows), ignore_index=True).sort_values("run_at", kind="stable").drop_duplicates("run_at")
         out = []
-        for row in rows_in_order(pd.concat(list(rows), ignore_index=True)):
-            decision, state = screening_step(state, row)
-            out.append({"company_id": row["company_id"], "run_at": row["run_at"], **decision, "in_zone": state["in_zone"]})
-        self.state.update(tuple(state[k] for k in EMPTY_STATE))
-        yield pd.DataFrame(out, columns=["company_id", "run_at", "fires", "mode", "trigger_type", "in_zone"])
+        for run in runs.itertuples():
+            if run.zone is not None and run.zone == run.zone:
+                zone = bool(run.zone)
+            fired = (False, None, None)
+            if isinstance(run.urgent, str):
+                fired = (True, "URGENT_RISK_REVIEW", run.urgent)
+            elif run.asks:
+                backlog = run.backlog and not done
+                waited = last is None or run.run_at.to_pydatetime() >= last + self.wait
+                if waited if backlog or run.price else run.rested:
+                    fired = (True, "PRICE_RISK_ANALYSIS", BACKLOG if backlog else run.kind)
+                    last, done = run.run_at.to_pydatetime(), done or backlog
+            out.append((run.company_id, run.run_at, *fired, zone))
+        self.state.update((zone, last, bool(done)))
+        yield pd.DataFrame(out, columns=COLUMNS)
 
     def close(self) -> None:
         pass
 
 
 def trigger_stream(runs: DataFrame) -> DataFrame:
-    """Decisions for a stream of collapsed company runs; needs the RocksDB state store."""
+    """Decisions for a stream of company runs; needs the RocksDB state store."""
     runs.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    return runs.groupBy("company_id").transformWithStateInPandas(
-        statefulProcessor=ScreeningTrigger(), outputStructType=DECISION_SCHEMA, outputMode="Append", timeMode="None"
+    return classified(runs).groupBy("company_id").transformWithStateInPandas(
+        statefulProcessor=TriggerClock(), outputStructType=DECISION_SCHEMA, outputMode="Append", timeMode="None"
     )

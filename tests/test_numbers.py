@@ -194,3 +194,32 @@ def test_policy_contract():
         P.check_policy(doc | {"extra": 1})
     with pytest.raises(ValueError):
         P.check_policy(doc | {"policy_version": "0"})
+
+
+def test_quote_times_do_not_follow_the_session_zone(spark):
+    from cashlens.functions.market import expected_open, quote_timestamp
+
+    df = spark.createDataFrame([("2026-08-03 10:00:00", "HK.00700"), ("2026-07-01 09:30:00", "US.A"), ("2026-08-03T02:00:00Z", "HK.1"), ("--", "HK.1")], "raw string, code string")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            at = quote_timestamp(F.col("raw"), F.col("code"))
+            got = [r.s for r in df.select(F.unix_seconds(at).alias("s")).collect()]
+            assert got == [1785722400, 1782912600, 1785722400, None]
+            open_ = df.limit(1).select(expected_open(F.timestamp_seconds(F.lit(1785722400)), F.lit("HK")).alias("x")).first().x
+            assert open_ is not None and open_ == (open_ if zone == "UTC" else first)
+            first = open_
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_public_summary_rules(spark):
+    from cashlens.functions.hashing import public_summary
+
+    m = {"Z": "see /home/u/a", "my_Private_Key": "x", "stderr": "x", "a": "~/b", "jsonl_path": "x", "note": "n" * 5000, "password": "kept"}
+    df = spark.range(1).select(F.create_map(*[F.lit(x) for pair in m.items() for x in pair]).alias("m"))
+    got = df.select(public_summary(F.col("m")).alias("y")).first().y
+    assert got == {"Z": "[local path]", "a": "[local path]", "note": "n" * 5000, "password": "kept"}
+    cut = df.select(public_summary(F.col("m"), max_items=1, max_text=3).alias("y")).first().y
+    assert list(cut) == list(m)[:1]

@@ -76,3 +76,17 @@ def test_latest_and_earliest(spark, rows):
     early = {r.k: r.seq for r in earliest_by(df, ["k"], [F.col("t"), F.col("seq")]).collect()}
     for k, g in by_key(rows).items():
         assert (late[k], early[k]) == (g[-1][2], g[0][2])
+
+
+def test_null_keys_keep_their_carry(spark):
+    from cashlens.operators.scale import exact_median, lag_in_buckets, running_in_buckets
+
+    rows = [(1, None, 1, 1.0), (1, None, 150, 3.0), (1, None, 250, 4.0), (1, "A", 5, 9.0)]
+    df = spark.createDataFrame(rows, "company_id int, security_id string, seq int, v double")
+    keys, bucket = ["company_id", "security_id"], F.floor(F.col("seq") / 100)
+    lagged = lag_in_buckets(df, keys, ["seq"], bucket, "v", "before").where("security_id is null").orderBy("seq").collect()
+    assert [r.before for r in lagged] == [None, 1.0, 3.0]
+    total = running_in_buckets(df, keys, ["seq"], bucket, {"n": ("sum", F.lit(1))}).where("security_id is null").orderBy("seq").collect()
+    assert [r.n for r in total] == [1, 2, 3]
+    median = {r.security_id: r.m for r in exact_median(df, ["security_id"], "v", "m").collect()}
+    assert median == {None: 3.0, "A": 9.0}

@@ -226,5 +226,5 @@ def test_fx(spark):
 def test_non_finite_and_redaction(spark):
     df = spark.createDataFrame([(1.0, ["x"], {"a": (1.0,)}), (float("nan"), ["x"], None), (1.0, ["-Infinity"], None), (1.0, None, {"a": (float("inf"),)})], "v double, t array<string>, m map<string,struct<d:double>>")
     assert [r.y for r in df.select(has_non_finite(df).alias("y")).collect()] == [False, True, True, True]
-    m = spark.createDataFrame([({"api_key": "k", "path": "/root/x", "note": "ok"},)], "m map<string,string>")
+    m = spark.createDataFrame([({"API_Token": "k", "path": "/root/x", "note": "ok"},)], "m map<string,string>")
     assert m.select(public_summary(F.col("m")).alias("y")).first().y == {"path": "[local path]", "note": "ok"}

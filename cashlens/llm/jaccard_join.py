@@ -18,6 +18,9 @@ pivots, the region stays whole and takes four times as many pivots at the next l
 other components that the triangle inequality does not part. The join is exact and ends, for every level takes its
 pivots out and a level has more of them.
 
+Before texts are fetched, a pair is bounded by its class counts (a projection that no distance outgrows): most pairs of
+unrelated documents that share one phrase end there, with a lower bound in place of the distance.
+
 The rarity order uses counts of shingles over all documents in hashed buckets; their number is fixed, so they may be
 broadcast. The order decides the work only, never the result. Texts are hashed to 64-bit shingles (a collision is a
 matter of 10**-9 per pair); exact copies share a 128-bit set digest, meet once per task, and are tied by that digest.
@@ -34,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cashlens.llm.common import LOWER, NOT_SPACE, U64, mix, scratch_dir, span_hashes, text_slices, word_spans, written
@@ -80,6 +83,26 @@ def digest(tokens: np.ndarray) -> tuple[int, int]:
     return int(np.add.reduce(tokens).astype(np.int64)), int(low.astype(np.int64))
 
 
+def class_counts(tokens: np.ndarray) -> bytes:
+    """How many shingles fall into each hashed class, about four per class, at most 255 counted."""
+    size = 1 << max(3, (len(tokens) // 4).bit_length())
+    counts = np.bincount((tokens & U64(size - 1)).astype(np.int64), minlength=size)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def distance_bound(x: bytes, n_x: int, y: bytes, n_y: int) -> float:
+    """No two sets with these class counts are nearer: each class differs in as many shingles as its counts differ."""
+    p, q = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    size = min(len(p), len(q))
+    if len(p) != len(q):
+        if max(p.max(), q.max()) == 255:
+            return 1 - min(n_x, n_y) / max(n_x, n_y)
+        p, q = p.reshape(-1, size).sum(0), q.reshape(-1, size).sum(0)
+    both = (n_x + n_y - int(np.abs(p - q).sum())) / 2
+    both = min(both, n_x, n_y)
+    return 1 - both / (n_x + n_y - both)
+
+
 def need(n: int) -> int:
     """The least intersection with any linked set, of a set of n shingles."""
     return -(-3 * n // 4)
@@ -92,13 +115,18 @@ def set_digests(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, high, low = (np.zeros(len(batch), np.int64) for _ in range(3))
+            classes = [b""] * len(batch)
             for row, tokens in sets_of(batch.column(1)):
                 n[row] = len(tokens)
                 high[row], low[row] = digest(tokens)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(high), pa.array(low)], names=["doc_id", "n_shingles", "high", "low"])
+                classes[row] = class_counts(tokens)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n), pa.array(high), pa.array(low), pa.array(classes, pa.binary())],
+                names=["doc_id", "n_shingles", "high", "low", "classes"],
+            )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, high bigint, low bigint")
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, high bigint, low bigint, classes binary")
 
 
 def bucket_counts(documents: DataFrame) -> np.ndarray:
@@ -210,8 +238,22 @@ def packed_texts(documents: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "doc bigint, body binary").join(ids, "doc", "left_semi")
 
 
-def measured(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """(a, b, distance, linked) of each pair; distance is 1 - J."""
+def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b, bound): the least distance that the class counts of each pair allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [batch.column(k).to_pylist() for k in range(2, 6)]
+            bounds = [distance_bound(*x) for x in zip(*sides, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bounds, pa.float64())], names=["a", "b", "bound"])
+
+    full = pairs.join(classes.withColumnsRenamed({"doc": "b", "n": "n_b", "classes": "classes_b"}), "b")
+    full = full.join(classes.withColumnsRenamed({"doc": "a", "n": "n_a", "classes": "classes_a"}), "a")
+    return full.select("a", "b", "classes_a", "n_a", "classes_b", "n_b").mapInArrow(run, "a bigint, b bigint, bound double")
+
+
+def exact(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(a, b, distance, linked) of each pair from the whole texts; distance is 1 - J."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent: dict[bytes, np.ndarray] = {}
@@ -236,28 +278,43 @@ def measured(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
                     union = len(s) + len(t) - both
                     distance.append(1 - both / union)
                     linked.append(100 * both >= 75 * union)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(distance), pa.array(linked)], names=["a", "b", "distance", "linked"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(distance, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "distance", "linked"])
 
     full = pairs.join(bodies.withColumnsRenamed({"doc": "b", "body": "body_b"}), "b")
     full = full.join(bodies.withColumnsRenamed({"doc": "a", "body": "body_a"}), "a")
     return full.select("a", "b", "body_a", "body_b").mapInArrow(run, "a bigint, b bigint, distance double, linked boolean")
 
 
+def measured(pairs: DataFrame, classes: DataFrame, bodies: DataFrame, radius: float, folder: str, name: str) -> DataFrame:
+    """(a, b, low, high, linked): bounds of each pair's distance.
+
+    Where the class counts alone put a pair beyond the radius, low is that bound and high is 1. All others are
+    measured from their texts: low and high are the distance.
+    """
+    bounds = written(bounded(pairs, classes), folder, f"{name}_bounds")
+    near = exact(bounds.where(F.col("bound") <= radius + 1e-9), bodies)
+    far = bounds.where(F.col("bound") > radius + 1e-9)
+    found = near.select("a", "b", F.col("distance").alias("low"), F.col("distance").alias("high"), "linked")
+    return written(found.unionByName(far.select("a", "b", F.col("bound").alias("low"), F.lit(1.0).alias("high"), F.lit(False).alias("linked"))), folder, name)
+
+
 # ---------------------------------------------------------------- the join
 
 
-def link(documents: DataFrame, folder: str, radius: float = 0.25) -> DataFrame:
+def link(documents: DataFrame, members: DataFrame, folder: str, radius: float = 0.25) -> DataFrame:
     """(a, b): linked documents, enough of them that components are those of all links between different texts."""
     stars_ = written(stars(region_rows(documents, bucket_counts(documents))).distinct(), folder, "stars")
     ids = stars_.select(F.explode(F.array("region", "doc")).alias("doc")).distinct()
     bodies = written(packed_texts(documents, ids), folder, "bodies")
-    found = written(measured(unordered(stars_, "region", "doc").distinct(), bodies), folder, "measured0")
+    classes = members.where("n_shingles > 0 and doc_id is not null")
+    classes = classes.select(F.col("doc_id").cast("bigint").alias("doc"), F.col("n_shingles").alias("n"), "classes")
+    found = measured(unordered(stars_, "region", "doc").distinct(), classes, bodies, radius, folder, "measured0")
     links = found.where("linked").select("a", "b")
     # A pair that meets in a shingle's region was measured against one and the same pivot: the region of a pivot from
     # here on is all that was. Far fewer rows than shingle regions, and each pair of documents meets once per pivot.
     # Pivots are done with: they were measured against all.
     regions = with_distance(stars_.withColumn("pivot", F.col("region")), found)
-    regions = written(regions.select("region", "doc", "distance", F.lit(False).alias("whole")), folder, "regions0")
+    regions = written(regions.select("region", "doc", "low", "high", F.lit(False).alias("whole")), folder, "regions0")
     level = 0
     while True:
         labels = components(links, folder, f"labels{level}")
@@ -267,19 +324,19 @@ def link(documents: DataFrame, folder: str, radius: float = 0.25) -> DataFrame:
         pivots = written(new_pivots(large, PIVOTS * 4 ** (level - 1), level), folder, f"pivots{level}")
         spokes = large.join(pivots, "region").where("doc <> pivot")
         # a region that its pivots do not part has no use of more distances than those that may link
-        apart = (F.col("component") != F.col("pivot_component")) & (F.abs(F.col("distance") - F.col("pivot_distance")) <= radius + 1e-9)
+        apart = (F.col("component") != F.col("pivot_component")) & may_meet("", "pivot_", radius)
         spokes = written(spokes.where(~F.col("whole") | apart).select("region", "doc", "pivot", "whole"), folder, f"spokes{level}")
         pairs = unordered(spokes, "pivot", "doc").unionByName(close_pairs(small, radius)).distinct()
-        found = written(measured(pairs, bodies), folder, f"measured{level}")
+        found = measured(pairs, classes, bodies, radius, folder, f"measured{level}")
         links = written(links.unionByName(found.where("linked").select("a", "b")), folder, f"links{level}")
         if pivots.isEmpty():
             return links
-        left = large.join(pivots.select("region", F.col("pivot").alias("doc")), ["region", "doc"], "left_anti").select("region", "doc", "distance", "whole")
+        left = large.join(pivots.select("region", F.col("pivot").alias("doc")), ["region", "doc"], "left_anti").select("region", "doc", "low", "high", "whole")
         cells = written(voronoi(spokes.where("not whole"), found, radius), folder, f"cells{level}")
         # Where most members lie in the windows of most pivots, splitting would only copy the region.
         counts = cells.groupBy("parent").agg(F.count("*").alias("n"), F.countDistinct("doc").alias("docs"))
         parted = written(counts.where("n <= 2 * docs").select("parent"), folder, f"parted{level}")
-        split = cells.join(parted, "parent", "left_semi").select("region", "doc", "distance", F.lit(False).alias("whole"))
+        split = cells.join(parted, "parent", "left_semi").select("region", "doc", "low", "high", F.lit(False).alias("whole"))
         kept = left.join(parted, F.col("region") == F.col("parent"), "left_anti").withColumn("whole", F.lit(True))
         regions = written(split.unionByName(kept), folder, f"regions{level}")
 
@@ -287,9 +344,15 @@ def link(documents: DataFrame, folder: str, radius: float = 0.25) -> DataFrame:
 def new_pivots(large: DataFrame, slots: int, salt: int) -> DataFrame:
     """Pivots of each region: the member of least hash in each of some hashed slots, so no region is sorted."""
     slot = F.pmod(F.xxhash64("doc", F.lit(salt)), F.lit(slots))
-    least = F.min(F.struct(F.xxhash64("doc"), "doc", "component", "distance")).alias("m")
+    least = F.min(F.struct(F.xxhash64("doc"), "doc", "component", "low", "high")).alias("m")
     chosen = large.groupBy("region", slot.alias("slot")).agg(least)
-    return chosen.select("region", F.col("m.doc").alias("pivot"), F.col("m.component").alias("pivot_component"), F.col("m.distance").alias("pivot_distance"))
+    return chosen.select("region", F.col("m.doc").alias("pivot"), F.col("m.component").alias("pivot_component"), F.col("m.low").alias("pivot_low"), F.col("m.high").alias("pivot_high"))
+
+
+def may_meet(x: str, y: str, radius: float) -> Column:
+    """The triangle inequality over a common pivot allows two members within the radius."""
+    low, high = (lambda p: F.col(f"{p}low")), (lambda p: F.col(f"{p}high"))
+    return (low(x) - high(y) <= radius + 1e-9) & (low(y) - high(x) <= radius + 1e-9)
 
 
 def unordered(pairs: DataFrame, left: str, right: str) -> DataFrame:
@@ -299,7 +362,7 @@ def unordered(pairs: DataFrame, left: str, right: str) -> DataFrame:
 def with_distance(spokes: DataFrame, found: DataFrame) -> DataFrame:
     """Members of the pivots' regions with their distance. The pivots are done with: they were measured with all."""
     sides = spokes.withColumns({"a": F.least("pivot", "doc"), "b": F.greatest("pivot", "doc")})
-    return sides.join(found.select("a", "b", "distance"), ["a", "b"]).select("region", "doc", "pivot", "distance")
+    return sides.join(found.select("a", "b", "low", "high"), ["a", "b"]).select("region", "doc", "pivot", "low", "high")
 
 
 def voronoi(spokes: DataFrame, found: DataFrame, radius: float) -> DataFrame:
@@ -309,9 +372,9 @@ def voronoi(spokes: DataFrame, found: DataFrame, radius: float) -> DataFrame:
     """
     pivots = spokes.select("region", F.col("pivot").alias("doc")).distinct()
     members = with_distance(spokes.join(pivots, ["region", "doc"], "left_anti"), found)
-    home = members.groupBy("region", "doc").agg(F.min("distance").alias("home"))
-    members = members.join(home, ["region", "doc"]).where(F.col("distance") <= F.col("home") + 2 * radius + 1e-9)
-    return members.select(F.col("region").alias("parent"), F.xxhash64("region", "pivot").alias("region"), "doc", "distance")
+    home = members.groupBy("region", "doc").agg(F.min("high").alias("home"))
+    members = members.join(home, ["region", "doc"]).where(F.col("low") <= F.col("home") + 2 * radius + 1e-9)
+    return members.select(F.col("region").alias("parent"), F.xxhash64("region", "pivot").alias("region"), "doc", "low", "high")
 
 
 def still_open(regions: DataFrame, labels: DataFrame) -> DataFrame:
@@ -328,15 +391,15 @@ def close_pairs(small: DataFrame, radius: float) -> DataFrame:
     """
     x, y = small.alias("x"), small.alias("y")
     apart = (F.col("x.region") == F.col("y.region")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.component") != F.col("y.component"))
-    near = F.abs(F.col("x.distance") - F.col("y.distance")) <= radius + 1e-9
-    return x.join(y, apart & near).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
+    return x.join(y, apart & may_meet("x.", "y.", radius)).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
 
 
 def groups(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row (component null only for a row without id)."""
     folder = scratch_dir(documents.sparkSession)
     members = written(set_digests(documents), folder, "members")
-    links = link(documents, folder)
+    links = link(documents, members, folder)
+    members = members.drop("classes")
     # copies: every document is tied to the smallest one with the same set
     least = members.where("n_shingles > 0 and doc_id is not null").groupBy("high", "low", "n_shingles").agg(F.min("doc_id").cast("bigint").alias("first"))
     least = written(least, folder, "least")

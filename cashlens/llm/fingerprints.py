@@ -1,7 +1,7 @@
 """Document fingerprints in DataFrame functions only: invertible Bloom lookup sketches of paragraph digests.
 
-A paragraph is a line, cut further behind sentence ends and list marks; a text's paragraphs are a set of 64-bit
-digests. Each digest falls into one cell of each of three tables; a cell holds the number, the xor of the digests and
+A paragraph is a line; a long line is cut further, at those sentence ends and list marks that one of the letters A to
+D follows, a place that the text itself names. A text's paragraphs are a set of 64-bit digests. Each digest falls into one cell of each of three tables; a cell holds the number, the xor of the digests and
 the xor of their check values. Two sketches subtract cell by cell, and peeling takes out cells that hold one digest
 until nothing is left: the digests that differ. Where the base sketch is too small for the difference, it is sketched
 again larger: in blocks of digests, as many as the two texts' sizes ask for, then twice and four times as many. The
@@ -22,10 +22,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Cells per table: of the base sketch (the fingerprint), and of a block of a larger one.
-BASE, BLOCK = 12, 16
+BASE, BLOCK = 16, 16
 #: Expected digests per block; a block's three tables of 16 cells peel well beyond it.
 BLOCK_LOAD = 16
-PARAGRAPH = r"\n+|(?<=[.!?|*])\x20+"
+PARAGRAPH = r"\n+|(?<=[.!?|*])\x20+(?=[A-Da-d])"
 
 _number = count()
 

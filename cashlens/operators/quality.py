@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cashlens.functions import policy as P
 from cashlens.functions.numeric import reconciles
-from cashlens.operators.scale import duplicate_keys, lag_in_buckets
+from cashlens.operators.scale import duplicate_keys, join_null_safe, lag_in_buckets
 
 c = F.col
 # Fixed values.
@@ -379,3 +379,36 @@ def last_valid(candidate: DataFrame, stored: DataFrame) -> DataFrame:
         .otherwise("CURRENT")
         .alias("update_status"),
     )
+
+
+def candidate_verdict(tolerance: float = 0.0001) -> Column:
+    """Status of a text candidate against the prior report: (match_count, value, comparative_value, currency, unit)
+    of the candidate, and prior_value, prior_currency, prior_unit of the same field a year before.
+
+    A candidate counts when it is the only one of its field and its comparative column agrees with the prior report
+    within the relative tolerance (of the larger amount, at least 1).
+    """
+    scale = F.greatest(F.abs(c("comparative_value")), F.abs(c("prior_value")), F.lit(1))
+    apart = F.abs(c("comparative_value") - c("prior_value")) > scale * F.lit(str(tolerance)).cast("decimal(9,6)")
+    comparable = (
+        c("value").isNotNull()
+        & c("comparative_value").isNotNull()
+        & c("prior_value").isNotNull()
+        & F.coalesce(c("currency") == c("prior_currency"), F.lit(False))
+        & F.coalesce(c("unit") == c("prior_unit"), F.lit(False))
+    )
+    unique = F.coalesce(c("match_count") == 1, F.lit(False)) & F.coalesce(c("status") != "CONFLICT", F.lit(True))
+    return (
+        F.when(~unique, "CONFLICT")
+        .when(~comparable, "REVIEW_REQUIRED")
+        .when(apart, "CONFLICT")
+        .when(c("value") == 0, "KNOWN_ZERO")
+        .otherwise("VALID")
+    )
+
+
+def text_candidate_check(candidates: DataFrame, prior: DataFrame, keys: list[str], tolerance: float = 0.0001) -> DataFrame:
+    """Candidates with their verdict in ``status``. ``prior`` has one row per key: value, currency, unit."""
+    before = prior.select(*keys, c("value").alias("prior_value"), c("currency").alias("prior_currency"), c("unit").alias("prior_unit"))
+    joined = join_null_safe(candidates, before, keys, "left")
+    return joined.withColumn("status", candidate_verdict(tolerance)).select(*candidates.columns)

@@ -547,3 +547,38 @@ def market_points(spark, sf):
         c("security_id").alias("company_id"), "security_id", "pe_ttm", "pb", c("dividend_yield_pct").alias("dividend_yield_ttm_pct")
     )
     return L.market_points(f)
+
+
+@query(
+    "text_candidate_check",
+    f"""WITH y AS (SELECT o_custkey AS company_id, year(o_orderdate) AS fiscal_year, sum({AMT}) AS value,
+    sum(CASE WHEN o_orderstatus <> 'P' THEN {AMT} ELSE 0 END) AS settled, count(DISTINCT o_orderpriority) AS kinds FROM orders GROUP BY 1, 2)
+SELECT a.company_id, a.fiscal_year, CASE WHEN a.kinds > 3 THEN 'CONFLICT' WHEN b.value IS NULL OR b.settled IS NULL THEN 'REVIEW_REQUIRED'
+  WHEN abs(b.settled - b.value) > greatest(abs(b.settled), abs(b.value), 1) * 0.0001 THEN 'CONFLICT' WHEN a.value = 0 THEN 'KNOWN_ZERO' ELSE 'VALID' END AS status
+FROM y a LEFT JOIN y b ON a.company_id = b.company_id AND b.fiscal_year = a.fiscal_year - 1""",
+)
+def text_candidate_check(spark, sf):
+    """A year's total with the settled part of the year before as its comparative, against that year's own total."""
+    amount = D.money("o_totalprice")
+    years = (
+        D.table(spark, sf, "orders")
+        .groupBy(c("o_custkey").alias("company_id"), F.year("o_orderdate").alias("fiscal_year"))
+        .agg(
+            F.sum(amount).alias("value"),
+            F.sum(F.when(c("o_orderstatus") != "P", amount).otherwise(0)).alias("settled"),
+            F.countDistinct("o_orderpriority").alias("kinds"),
+        )
+    )
+    said = years.select("company_id", (c("fiscal_year") + 1).alias("fiscal_year"), c("settled").alias("comparative_value"))
+    prior = years.select("company_id", (c("fiscal_year") + 1).alias("fiscal_year"), "value", F.lit("CNY").alias("currency"), F.lit("yuan").alias("unit"))
+    candidates = years.join(said, ["company_id", "fiscal_year"], "left").select(
+        "company_id",
+        "fiscal_year",
+        "value",
+        "comparative_value",
+        F.when(c("kinds") > 3, 2).otherwise(1).alias("match_count"),
+        F.lit("CNY").alias("currency"),
+        F.lit("yuan").alias("unit"),
+        F.lit(None).cast("string").alias("status"),
+    )
+    return Q.text_candidate_check(candidates, prior, ["company_id", "fiscal_year"]).select("company_id", "fiscal_year", "status")

@@ -260,3 +260,28 @@ def test_bank_never_falls_back(spark):
     assert (got[1].coverage_status, list(got[1].missing_fields)) == ("INSUFFICIENT_DATA", ["credit_cost"])
     assert got[2].sustainable == pytest.approx(45.0)
     assert list(got[3].missing_fields) == ["industry_specific_coverage_adapter"]
+
+
+def test_text_candidates_against_the_prior_report(spark):
+    from cashlens.operators.quality import text_candidate_check
+
+    kind = "f string, value decimal(20,4), comparative_value decimal(20,4), match_count int, currency string, unit string, status string"
+    from decimal import Decimal as N
+
+    rows = [
+        ("a", N(5), N(10000), 1, "CNY", "yuan", None),
+        ("b", N(0), N(10001), 1, "CNY", "yuan", None),
+        ("c", N(5), N(10002), 1, "CNY", "yuan", None),
+        ("d", N(5), N(10000), 2, "CNY", "yuan", None),
+        ("e", N(5), N(10000), 1, "HKD", "yuan", None),
+        ("f", None, N(10000), 1, "CNY", "yuan", None),
+        ("g", N(5), N(10000), 1, "CNY", "yuan", "CONFLICT"),
+        (None, N(5), N(10000), 1, "CNY", "yuan", None),
+        ("none", N(5), N(10000), 1, "CNY", "yuan", None),
+    ]
+    prior = [(k, N(10000), "CNY", "yuan") for k in ("a", "b", "c", "d", "e", "f", "g", None)]
+    got = text_candidate_check(
+        spark.createDataFrame(rows, kind), spark.createDataFrame(prior, "f string, value decimal(20,4), currency string, unit string"), ["f"]
+    )
+    want = {"a": "VALID", "b": "KNOWN_ZERO", "c": "CONFLICT", "d": "CONFLICT", "e": "REVIEW_REQUIRED", "f": "REVIEW_REQUIRED", "g": "CONFLICT", None: "VALID", "none": "REVIEW_REQUIRED"}
+    assert {r.f: r.status for r in got.collect()} == want

@@ -113,7 +113,7 @@ def marginals(field: Field, rows: np.ndarray, buckets: np.ndarray) -> np.ndarray
 
 
 def label_words(rows: np.ndarray, buckets: np.ndarray, toxic: np.ndarray, purity: float = 0.75, least: int = 5) -> np.ndarray:
-    """Features that stand in ``least`` or more groups of toxic texts and in few clean ones (share ``purity``).
+    """Features that stand in ``least`` or more groups of toxic texts, beyond chance, and in few clean ones (``purity``).
 
     Texts with the same smallest hash of three words in a row form a group, so that copies of one text count once.
     """
@@ -132,7 +132,12 @@ def label_words(rows: np.ndarray, buckets: np.ndarray, toxic: np.ndarray, purity
     bad[group[toxic]] = True
     bad_count = np.bincount(word[bad[owner]], minlength=BUCKETS)
     count = np.bincount(word, minlength=BUCKETS)
-    chosen = (bad_count >= least) & (bad_count >= purity * count)
+    # beyond chance: the likelihood ratio against the share of toxic groups, for as many words as could be tested
+    base, share = min(max(bad.mean(), 1e-6), 1 - 1e-6), bad_count / np.maximum(count, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.nan_to_num(share * np.log(share / base)) + np.nan_to_num((1 - share) * np.log((1 - share) / (1 - base)))
+    sure = count * gain >= 3 + np.log(max(1, (count >= least).sum()))
+    chosen = (bad_count >= least) & (bad_count >= purity * count) & sure
     chosen[0] = False
     return np.flatnonzero(chosen)
 

@@ -100,7 +100,7 @@ def replace_spans(text: str, spans: str, mark: str) -> Column:
            concat(a, array(named_struct('start', x.start, 'end', x.end)))))"""
     gaps = f"zip_with(concat(array(0L), transform({merged}, s -> s.end)), concat(transform({merged}, s -> s.start), array(cast(length({text}) as bigint))), (a, b) -> named_struct('a', a, 'b', b))"
     pieces = f"transform({gaps}, p -> substring({text}, cast(p.a as int) + 1, cast(p.b - p.a as int)))"
-    return F.expr(f"if(size({spans}) = 0, {text}, array_join({pieces}, '{mark}'))")
+    return F.expr(f"if(size({spans}) = 0 or {text} is null, {text}, array_join({pieces}, '{mark}'))")
 
 
 # ---------------------------------------------------------------- words of many texts at once

@@ -126,13 +126,14 @@ def next_ids(ids: DataFrame, name: str = "id", bits: int = 12) -> DataFrame:
         if level == 0:
             everything = Window.partitionBy(F.lit(0)).orderBy(value)
             return df.withColumn("next", F.lead(value).over(everything))
-        ranged = df.withColumn("_range", F.shiftright(value, bits))
-        inside = Window.partitionBy("_range").orderBy(value)
+        block, head = f"_range{level}", f"_head{level}"
+        ranged = df.withColumn(block, F.shiftright(value, bits))
+        inside = Window.partitionBy(block).orderBy(value)
         ranged = ranged.withColumn("_lead", F.lead(value).over(inside))
-        heads = ranged.groupBy("_range").agg(F.min(value).alias("_head"))
-        order = following(heads.select("_range"), "_range", level - 1).where("next is not null")
-        after = order.join(heads.withColumnsRenamed({"_range": "next"}), "next").select("_range", "_head")
-        return ranged.join(after, "_range", "left").select(value, F.coalesce("_lead", "_head").alias("next"))
+        heads = ranged.groupBy(block).agg(F.min(value).alias(head))
+        order = following(heads.select(block), block, level - 1).where("next is not null")
+        after = order.join(heads.withColumnsRenamed({block: "next"}), "next").select(block, head)
+        return ranged.join(after, block, "left").select(value, F.coalesce("_lead", head).alias("next"))
 
     return following(ids, name, 2)
 

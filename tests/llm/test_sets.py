@@ -176,10 +176,5 @@ def test_spans_and_carried_columns(spark, documents):
     assert restored(carried(docs), docs).columns == docs.columns
 
 
-def test_scratch_follows_the_session(spark):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", "/tmp/shared-by-all")
-    try:
-        assert scratch_dir(spark).startswith("/tmp/shared-by-all/")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
+def test_local_scratch(spark):
+    assert scratch_dir(spark).startswith("/tmp/") and scratch_dir(spark) != scratch_dir(spark)

@@ -1,7 +1,9 @@
 """Document fingerprints in DataFrame functions only: invertible Bloom lookup sketches of paragraph digests.
 
-A paragraph is a line; a long line is cut further, at those sentence ends and list marks that one of the letters A to
-D follows, a place that the text itself names. A text's paragraphs are a set of 64-bit digests. Each digest falls into one cell of each of three tables; a cell holds the number, the xor of the digests and
+A paragraph is a line, cut further behind sentence ends and list marks. A run of more than ``LONG`` characters without
+any is cut where its own words say so: behind a word (or, in runs without blanks, a character) whose hash with the one
+before it is a multiple of ``CHUNK``, so an edit moves the cuts beside it only. A text's paragraphs are a set of 64-bit
+digests. Each digest falls into one cell of each of three tables; a cell holds the number, the xor of the digests and
 the xor of their check values. Two sketches subtract cell by cell, and peeling takes out cells that hold one digest
 until nothing is left: the digests that differ. Where the base sketch is too small for the difference, it is sketched
 again larger: in blocks of digests, as many as the two texts' sizes ask for, then twice and four times as many. The
@@ -25,7 +27,10 @@ from pyspark.sql import functions as F
 BASE, BLOCK = 16, 16
 #: Expected digests per block; a block's three tables of 16 cells peel well beyond it.
 BLOCK_LOAD = 16
-PARAGRAPH = r"\n+|(?<=[.!?|*])\x20+(?=[A-Da-d])"
+PARAGRAPH = r"\n+|(?<=[.!?|*])\x20+"
+#: A longer paragraph is cut by its content, behind one in CHUNK of its TOKENs: words, and single characters far from a blank.
+LONG, CHUNK = 1000, 16
+TOKEN = r"(?<=\x20)|(?<=\S{32})(?![\uDC00-\uDFFF])"
 
 _number = count()
 
@@ -39,10 +44,27 @@ def hashes(h: str) -> str:
     return f"array(hash({h}, 1), hash({h}, 2), hash({h}, 3))"
 
 
+def by_content(piece: Column) -> Column:
+    """A long paragraph in chunks that its own words part; a paragraph holds no line end, so that can mark the cuts."""
+
+    def marked(tokens: Column) -> Column:
+        ends = lambda w, i: F.pmod(F.xxhash64(w, F.get(tokens, i - 1)), F.lit(CHUNK)) == 0
+        return F.array_join(F.transform(tokens, lambda w, i: F.when(ends(w, i), F.concat(w, F.lit("\n"))).otherwise(w)), "")
+
+    # an array of one, so that the tokens are made once
+    return F.split(F.get(F.transform(F.array(F.split(piece, TOKEN, -1)), marked), F.lit(0)), "\n", -1)
+
+
+def pieces(text: str) -> Column:
+    """The paragraphs of a text in order."""
+    parts = F.split(F.col(text), PARAGRAPH, -1)
+    parts = F.flatten(F.transform(parts, lambda p: F.when(F.length(p) > LONG, by_content(p)).otherwise(F.array(p))))
+    return F.filter(parts, lambda p: p != "")
+
+
 def paragraphs(text: str) -> Column:
     """The distinct paragraphs: digest h, check k, table hashes x and block hash b."""
-    pieces = F.filter(F.split(F.col(text), PARAGRAPH, -1), lambda p: p != "")
-    digests = F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
+    digests = F.array_distinct(F.transform(pieces(text), lambda p: F.xxhash64(p)))
     return F.transform(
         digests,
         lambda h: F.struct(
@@ -54,13 +76,23 @@ def paragraphs(text: str) -> Column:
     )
 
 
+def fold(units: str, start: str, width: int, sign: str, number: str) -> str:
+    """SQL: ``start`` (three tables of ``width`` cells) with every unit added (+) or taken out (-), in one pass.
+
+    A unit replaces one cell of each table; the cells between are copied as they are. ``number`` is the unit's n.
+    """
+    u, a, e = _v("u"), _v("a"), _v("e")
+    placed = f"""transform({units}, {u} -> named_struct('n', {number.format(u=u)}, 'h', {u}.h, 'k', {u}.k,
+        'p', pmod({u}.x[0], {width}), 'q', pmod({u}.x[1], {width}) + {width}, 'r', pmod({u}.x[2], {width}) + {2 * width}))"""
+    cell = lambda at: f"array(named_struct('n', {a}[{at}].n {sign} {e}.n, 'h', {a}[{at}].h ^ {e}.h, 'k', {a}[{at}].k ^ {e}.k))"
+    return f"""aggregate({placed}, {start}, ({a}, {e}) -> concat(
+        slice({a}, 1, {e}.p), {cell(f"{e}.p")}, slice({a}, {e}.p + 2, {e}.q - {e}.p - 1), {cell(f"{e}.q")},
+        slice({a}, {e}.q + 2, {e}.r - {e}.q - 1), {cell(f"{e}.r")}, slice({a}, {e}.r + 2, {3 * width - 1} - {e}.r)))"""
+
+
 def cells(units: str, width: int) -> str:
     """SQL: the three tables of ``width`` cells (n, h, k) one after the other."""
-    i, u, a = _v("i"), _v("u"), _v("a")
-    return f"""transform(sequence(0, {3 * width - 1}), {i} -> aggregate(
-        filter({units}, {u} -> pmod({u}.x[cast({i} div {width} as int)], {width}) = {i} % {width}),
-        named_struct('n', 0, 'h', 0L, 'k', 0),
-        ({a}, {u}) -> named_struct('n', {a}.n + 1, 'h', {a}.h ^ {u}.h, 'k', {a}.k ^ {u}.k)))"""
+    return fold(units, f"array_repeat(named_struct('n', 0, 'h', 0L, 'k', 0), {3 * width})", width, "+", "1")
 
 
 def subtract(left: str, right: str) -> str:
@@ -70,12 +102,10 @@ def subtract(left: str, right: str) -> str:
 
 def peel(difference: str, width: int, rounds: int = 40) -> str:
     """SQL: struct(ok, found): the digests taken out, and whether no cell is left."""
-    s, r, t, pure, c, i, p, a = (_v(x) for x in ("s", "r", "t", "pure", "c", "i", "p", "a"))
+    s, r, t, pure, c, p = (_v(x) for x in ("s", "r", "t", "pure", "c", "p"))
     single = f"""array_distinct(transform(filter({s}.cells, {c} -> abs({c}.n) = 1 and {c}.k = hash({c}.h, 77)),
         {c} -> named_struct('n', {c}.n, 'h', {c}.h, 'k', {c}.k, 'x', {hashes(f"{c}.h")})))"""
-    rest = f"""transform({t}.cells, ({c}, {i}) -> aggregate(
-        filter({pure}, {p} -> pmod({p}.x[cast({i} div {width} as int)], {width}) = {i} % {width}), {c},
-        ({a}, {p}) -> named_struct('n', {a}.n - {p}.n, 'h', {a}.h ^ {p}.h, 'k', {a}.k ^ {p}.k)))"""
+    rest = fold(pure, f"{t}.cells", width, "-", "{u}.n")
     return f"""aggregate(sequence(1, {rounds}),
         named_struct('cells', {difference}, 'found', cast(array() as array<bigint>), 'go', true),
         ({s}, {r}) -> if(not {s}.go, {s}, aggregate(array({single}), {s}, ({t}, {pure}) -> if(size({pure}) = 0,

@@ -158,6 +158,33 @@ def test_fingerprint_edges(documents):
     assert len(got) == 4
 
 
+SENTENCES = re.compile(r"\n+|(?<=[.!?|*])\x20+")
+
+
+@pytest.mark.parametrize("starts", ["Then", "w", "Жук", "字"])
+def test_every_sentence_end_cuts(documents, starts):
+    """Sentences in one line, whatever they start with: the three quarters that an edit leaves stay common."""
+    rows = [" ".join(f"{starts} {j} of {i} is so." for j in range(60)) for i in range(2)]
+    for i, r in enumerate(sorted(fingerprints.compare(documents(rows)).collect(), key=lambda r: r["doc_id"])):
+        text, m = rows[i], len(rows[i]) // 4
+        new = text[: len(text) - m] + rows[1 - i][:m]
+        a, b = set(SENTENCES.split(text)), set(SENTENCES.split(new))
+        assert r["near_edited"] == pytest.approx(len(a & b) / len(a | b)) and r["near_edited"] > 0.5
+
+
+@pytest.mark.parametrize("blank", [" ", ""])
+def test_long_runs_are_cut_by_content(spark, documents, blank):
+    """No line or sentence ends at all: the cuts follow the content, also behind an insertion, and lose nothing."""
+    rng = random.Random(7)
+    parts = [rng.choice(WORDS) if blank else chr(rng.choice([*range(0x4E00, 0x4F00), 0x1F600])) for _ in range(4000)]
+    text = blank.join(parts)
+    df = spark.createDataFrame([(text, "new " + text)], "a string, b string")
+    one, two = df.select(fingerprints.pieces("a"), fingerprints.pieces("b")).first()
+    assert "".join(one) == text and "".join(two) == "new " + text
+    assert len(one) > 100 and len(set(one) & set(two)) >= len(set(one)) - 4
+    assert fingerprints.compare(documents([text, "other"])).where("doc_id = 0").first()["near_edited"] > 0.5
+
+
 def test_next_ids(spark):
     rng = random.Random(6)
     ids = sorted({rng.randrange(-(10**6), 10**8) for _ in range(400)} | {0, 1, 4095, 4096})

@@ -23,6 +23,8 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cashlens.llm.common import scratch_dir, written
+
 #: Cells per table: of the base sketch (the fingerprint), and of a block of a larger one.
 BASE, BLOCK = 16, 16
 #: Expected digests per block; a block's three tables of 16 cells peel well beyond it.
@@ -145,27 +147,18 @@ def as_text(cells_: str) -> Column:
 # ---------------------------------------------------------------- the next document
 
 
-def next_ids(ids: DataFrame, name: str = "id", bits: int = 12) -> DataFrame:
+def next_ids(ids: DataFrame, name: str = "id") -> DataFrame:
     """(id, next): the next larger id, null for the last. ``ids`` are distinct integers.
 
-    Ids are dealt by ranges of 4,096; the last id of a range gets the first of the next range that has any, and that
-    is the same question about ranges, asked twice. The final window holds a row per 16 million ids of range.
+    Ids are dealt by sorted ranges of about equal numbers of rows, and written, so that the ranges are drawn once. The
+    last id of a range gets the first of the next range: that final window holds a row per range, whatever the ids are.
     """
-
-    def following(df: DataFrame, value: str, level: int) -> DataFrame:
-        if level == 0:
-            everything = Window.partitionBy(F.lit(0)).orderBy(value)
-            return df.withColumn("next", F.lead(value).over(everything))
-        block, head = f"_range{level}", f"_head{level}"
-        ranged = df.withColumn(block, F.shiftright(value, bits))
-        inside = Window.partitionBy(block).orderBy(value)
-        ranged = ranged.withColumn("_lead", F.lead(value).over(inside))
-        heads = ranged.groupBy(block).agg(F.min(value).alias(head))
-        order = following(heads.select(block), block, level - 1).where("next is not null")
-        after = order.join(heads.withColumnsRenamed({block: "next"}), "next").select(block, head)
-        return ranged.join(after, block, "left").select(value, F.coalesce("_lead", head).alias("next"))
-
-    return following(ids, name, 2)
+    ranges = ids.select(name).repartitionByRange(name).select(name, F.spark_partition_id().alias("_range"))
+    ranges = written(ranges, scratch_dir(ids.sparkSession), "ids")
+    heads = ranges.groupBy("_range").agg(F.min(name).alias("_head"))
+    after = heads.select("_range", F.lead("_head").over(Window.partitionBy(F.lit(0)).orderBy("_range")).alias("_head"))
+    inside = Window.partitionBy("_range").orderBy(name)
+    return ranges.withColumn("_lead", F.lead(name).over(inside)).join(after, "_range", "left").select(name, F.coalesce("_lead", "_head").alias("next"))
 
 
 def with_next(documents: DataFrame) -> DataFrame:

@@ -192,6 +192,25 @@ def test_next_ids(spark):
     assert got == dict(zip(ids, [*ids[1:], None], strict=True))
 
 
+def plan_nodes(plan):
+    yield plan
+    inner = [plan.executedPlan()] if plan.nodeName() == "AdaptiveSparkPlan" else [plan.plan()] if "QueryStage" in plan.nodeName() else []
+    children = plan.children()
+    for child in inner + [children.apply(i) for i in range(children.size())]:
+        yield from plan_nodes(child)
+
+
+def test_next_of_sparse_ids(spark):
+    """Ids spread over 64 bits: a single task reads a row per partition, not a row per id."""
+    rng = random.Random(8)
+    ids = sorted({rng.randrange(-(2**63), 2**63) for _ in range(2000)})
+    df = fingerprints.next_ids(spark.createDataFrame([(i,) for i in ids], "id bigint"))
+    rows = df.collect()
+    assert {r["id"]: r["next"] for r in rows} == dict(zip(ids, [*ids[1:], None], strict=True))
+    single = [p for p in plan_nodes(df._jdf.queryExecution().executedPlan()) if p.nodeName() == "Exchange" and p.outputPartitioning().numPartitions() == 1]
+    assert single and max(p.metrics().apply("shuffleRecordsWritten").value() for p in single) <= 4
+
+
 # ---------------------------------------------------------------- helpers
 
 

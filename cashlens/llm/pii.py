@@ -1,10 +1,13 @@
 """Personal data by bootstrapped contextual extraction.
 
 Entities of four fixed forms are the seeds. Around every candidate (a run with digits or an at sign) lexical patterns
-are read: its shape with the word before it, with the word after it, and alone with its marks. Spark joins patterns and
-instances into a graph and scores it by turns: a pattern is as good as the share of its instances that are known to be
-of a kind, damped by its support; an instance is as good as its patterns together. Candidates that no fixed form
-takes, but that reach ``threshold`` at the end, are discovered identifiers.
+are read: its shape alone with its marks, with the word before it and with the word after it; the words alone (one or
+two before it, one or two after it, one on each side), which reach values of any shape; and its coarse shape, without
+lengths. Spark joins patterns and instances into a graph and scores it by turns: a pattern is as good as the share of
+its instances that are known to be of a kind, damped by its support; an instance is as good as its patterns together.
+Of the words the best of each side counts, or the best of both sides; a coarse shape alone says nothing and adds at
+most what the words say. An instance stands for its kind in the next turn only from a score of ``BAR``. Candidates that
+no fixed form takes, but that reach ``threshold`` at the end, are discovered identifiers.
 
 The text is read once, by a task-side helper that emits spans and candidates; a candidate is a few numbers, and texts
 are never shuffled. All grouping of the graph is by pattern or by instance with partial sums, so a pattern that stands
@@ -95,6 +98,12 @@ def shape(value: str) -> str:
     return RUNS.sub(short, value)[:80]
 
 
+def coarse(value: str) -> str:
+    """Digits, letters, at sign and marks without lengths; groups of digits with marks between them are one form."""
+    classes = re.sub(r"[^a9@]+", "-", re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", "9", value)))
+    return re.sub(r"(?:9-)+9", "9-9", classes)[:40]
+
+
 def context_word(text: str) -> str:
     """A neighbour as a pattern: its letters in lower case, or its marks."""
     letters = "".join(c for c in text.lower() if c.isalpha())
@@ -124,12 +133,18 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple]:
         right = context_word(after[0]) if after else "$"
         form = shape(value)
         # an address is known by its parts, not by their letters
-        patterns = [f"s {form}", f"l {left} {form}", f"r {form} {right}"]
+        patterns = [f"s {form}", f"l {left} {form}", f"r {form} {right}", f"C {coarse(value)}"]
+        patterns += [f"L {' '.join(map(context_word, before[-n:]))}" for n in (1, 2) if len(before) >= n]
+        patterns += [f"R {' '.join(map(context_word, after[:n]))}" for n in (1, 2) if len(after) >= n]
+        if before and after:
+            patterns.append(f"B {left} _ {right}")
         digest = hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).digest()
         out.append((a, b, kind, int.from_bytes(digest, "big", signed=True), patterns))
     return out
 
 
+#: From this score on an instance adds to its patterns in the next turn.
+BAR = 0.5
 SCHEMA = (
     "text_key binary, base array<struct<start:bigint,kind:int,end:bigint>>, "
     "found array<struct<start:bigint,end:bigint,kind:int,instance:bigint,patterns:array<string>>>"
@@ -180,18 +195,22 @@ def score_graph(found: DataFrame, folder: str, rounds: int = 3, damping: float =
     known = seeds
     for turn in range(rounds):
         patterns = (
-            edges.join(known, "instance")
+            edges.join(known.where(F.col("score") >= BAR), "instance")
             .groupBy("pattern", "kind")
             .agg(F.sum("score").alias("mass"))
             .join(support, "pattern")
             .select("pattern", "kind", (F.col("mass") / (F.col("support") + damping)).alias("trust"))
             .where("trust >= 0.05")
         )
+        family, trust = F.substring("pattern", 1, 1), F.least("trust", F.lit(0.999))
+        best = [F.coalesce(F.max(F.when(family == f, trust)), F.lit(0.0)).alias(f"_{f}") for f in "LRBC"]
+        words = F.greatest("_B", 1 - (1 - F.col("_L")) * (1 - F.col("_R")))
         others = (
             edges.where("seed < 0")
             .join(patterns, "pattern")
             .groupBy("instance", "kind")
-            .agg((1 - F.exp(F.sum(F.log(1 - F.least("trust", F.lit(0.999)))))).alias("score"))
+            .agg(F.sum(F.when(family.isin("s", "l", "r"), F.log(1 - trust)).otherwise(0.0)).alias("_shapes"), *best)
+            .select("instance", "kind", (1 - F.exp("_shapes") * (1 - words) * (1 - F.least("_C", words))).alias("score"))
         )
         known = written(seeds.unionByName(others), folder, f"scores{turn}")
     best = known.join(edges.where("seed >= 0").select("instance").distinct(), "instance", "left_anti")

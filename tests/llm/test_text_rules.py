@@ -125,6 +125,16 @@ def test_bootstrapped_pii(documents):
     assert got[0]["base"] == got[44]["base"]
 
 
+def test_unseen_shapes_in_seeded_contexts(documents):
+    """No seed has these shapes; the words around them are those of seeds. Elsewhere the same values stay alone."""
+    texts = [f"you can phone +1 (555) {i:03}-20{i:02} for an answer" for i in range(15)] + [f"please phone +49 {i:02} 1234{i:03} at night" for i in range(15)]
+    texts += ["you can phone 555-123-4567 for an answer", "or phone KX-7742-0911 when late", "part 555-987-6543 is sold", "set KX-7742-0912 aside"]
+    got = {r["doc_id"]: r["extra"] for r in pii.extract(documents(texts)).collect()}
+    assert [(x["start"], x["kind"], x["end"]) for x in got[30]] == [(14, 3, 26)]
+    assert [(x["start"], x["kind"], x["end"]) for x in got[31]] == [(9, 3, 21)]
+    assert not got[32] and not got[33] and not any(got[i] for i in range(30))
+
+
 def test_pii_edges(documents):
     twice = documents([(None, "a@b.c"), (None, None), (1, "a@b.c"), (1, "a@b.c")])
     assert sorted(len(r["base"]) for r in pii.extract(twice).collect()) == [0, 1, 1, 1]

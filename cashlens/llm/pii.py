@@ -40,7 +40,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: What may be an identifier: digits with marks between them, or a word with digits or an at sign in it.
 CANDIDATE = re.compile(r"\+?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+|[A-Za-z0-9][A-Za-z0-9._%+@-]{5,}+")
-NUMBERED = re.compile(r"[0-9]{4}|@")
+#: Every candidate holds an at sign or six digits; a text without is passed over.
+NUMBERED = re.compile(r"(?:[0-9][^0-9]*+){6}|@")
 
 
 def luhn(digits: str) -> bool:

@@ -135,6 +135,12 @@ def test_unseen_shapes_in_seeded_contexts(documents):
     assert not got[32] and not got[33] and not any(got[i] for i in range(30))
 
 
+@pytest.mark.parametrize("value", ["06 12 34 56 78", "555-123-456-789", "KX-774-20-911", "someone@host"])
+def test_candidates_without_four_digits_in_a_row(value):
+    assert [(a, b) for a, b, *_ in pii.candidates(f"ring {value} please", [])] == [(5, 5 + len(value))]
+    assert not pii.NUMBERED.search("in 1999, or 1 word")
+
+
 def test_pii_edges(documents):
     twice = documents([(None, "a@b.c"), (None, None), (1, "a@b.c"), (1, "a@b.c")])
     assert sorted(len(r["base"]) for r in pii.extract(twice).collect()) == [0, 1, 1, 1]

@@ -13,8 +13,8 @@ at ``shard_words`` words, so memory is bounded by that and by the longest docume
 The benchmark is the stated query set: it is cut into blocks of at most ``block_windows`` distinct windows, and
 each block is one broadcast of bounded size and one pass over the documents.
 
-Defined cases: null or word-free texts have 0 words and no hits; null item texts and item ids are left out; an
-empty benchmark hits nothing; repeated documents and repeated items count each; extra columns are ignored.
+Defined cases: null or word-free texts have 0 words and no hits; null item texts are left out, and null item ids unless
+``unnamed`` is set (the query and the pipeline set it: all such items stand as one null, last in the items); an empty benchmark hits nothing; repeated documents and repeated items count each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -215,11 +215,11 @@ def spans_of(hit: np.ndarray, rows: np.ndarray, starts: np.ndarray, ends: np.nda
     return out
 
 
-def benchmark_blocks(benchmark: DataFrame, window: int, block_windows: int) -> Iterator[list[tuple[str, str]]]:
+def benchmark_blocks(benchmark: DataFrame, window: int, block_windows: int, unnamed: bool = False) -> Iterator[list[tuple[str | None, str]]]:
     """The query set in blocks; the driver holds one block at a time."""
     block, size = [], 0
     items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t"))
-    for row in items.where("i is not null and t is not null").toLocalIterator():
+    for row in items.where("t is not null" if unnamed else "i is not null and t is not null").toLocalIterator():
         count = len(row.t) // 2 + 1  # no text has more words, so none has more windows
         if block and size + count > block_windows:
             yield block
@@ -236,6 +236,7 @@ def find_leaks(
     shard_words: int = 1_000_000,
     block_windows: int = 1_000_000,
     carry: tuple[str, ...] = (),
+    unnamed: bool = False,
 ) -> DataFrame:
     """doc_id, text, ``carry``, n_words, items (ids of items with occurring windows), hits (hit words) and spans (hit
     characters) per row. With more than one block ``merge_blocks`` unites what the blocks found.
@@ -245,7 +246,7 @@ def find_leaks(
     schema = T.StructType(list(documents.schema.fields))
     schema = schema.add("n_words", T.LongType()).add("items", T.ArrayType(T.StringType())).add("hits", spans_type).add("spans", spans_type)
     frames = []
-    for items in benchmark_blocks(benchmark, window, block_windows):
+    for items in benchmark_blocks(benchmark, window, block_windows, unnamed):
         shared = documents.sparkSession.sparkContext.broadcast(Windows(items, window))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -275,7 +276,7 @@ def close(held: list[tuple], windows: Windows) -> Iterator[pa.RecordBatch]:
     base = np.r_[0, np.cumsum(counts)]
     rows = np.concatenate([x[3] + b for x, b in zip(held, base, strict=False)])
     hit, pairs = shard_hits(np.concatenate([x[6] for x in held]), rows, windows)
-    items: dict[int, set[str]] = {}
+    items: dict[int, set[str | None]] = {}
     for row, item in pairs:
         items.setdefault(row, set()).add(windows.ids[item])
     word = 0
@@ -297,7 +298,7 @@ def close(held: list[tuple], windows: Windows) -> Iterator[pa.RecordBatch]:
             [
                 *batch.columns,
                 pa.array(n_words, pa.int64()),
-                pa.array([sorted(items.get(k + int(b), ())) for k in range(len(batch))], pa.list_(pa.string())),
+                pa.array([sorted(items.get(k + int(b), ()), key=lambda x: (x is None, x)) for k in range(len(batch))], pa.list_(pa.string())),
                 as_pairs(hits),
                 as_pairs(spans),
             ],

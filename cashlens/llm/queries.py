@@ -120,7 +120,7 @@ FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 
 @query("op9_decontaminate", OP9_SQL)
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), unnamed=True)
     return found.select(
         "doc_id",
         "n_words",

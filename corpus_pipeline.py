@@ -37,7 +37,7 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.find_leaks(carried(docs), table(spark, sf_dir, "benchmark"), carry=("_row",))
+    found = decontaminate.find_leaks(carried(docs), table(spark, sf_dir, "benchmark"), carry=("_row",), unnamed=True)
     left = found.where((F.size("hits") == 0) | (decontaminate.hit_words() < F.col("n_words")))
     return restored(left, docs, decontaminate.cut("text", "spans"))
 

@@ -221,6 +221,26 @@ def test_leaks(spark, documents, shard, block):
         assert (r["n_words"], r["h"], r["items"]) == brute_leaks(texts[r["doc_id"]], known)
 
 
+@pytest.mark.parametrize("block", [1_000_000, 3])
+def test_items_without_an_id_are_searched(spark, tmp_path, block):
+    """The query counts and the pipeline cuts what an item without an id holds; its SQL counts the null as one item."""
+    import corpus_pipeline
+    from cashlens.llm import queries
+
+    schema = "doc_id bigint, text string"
+    docs = spark.createDataFrame([(1, "x leak one y"), (2, "x leak two leak one"), (3, "z")], schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bench = spark.createDataFrame([(None, "leak one"), (None, "leak  one"), (5, "leak two"), (None, None)], "item_id int, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["doc_id"]: r for r in queries.op9_decontaminate(spark, str(tmp_path)).collect()}
+    assert {i: (r["n_hit"], r["n_items"], r["contaminated"]) for i, r in got.items()} == {1: (2, 1, True), 2: (4, 2, True), 3: (0, 0, False)}
+    assert got[2]["items_sha256"] == hashlib.sha256(b"5").hexdigest() and got[1]["items_sha256"] == hashlib.sha256(b"").hexdigest()
+    found = decontaminate.find_leaks(docs, bench, block_windows=block, unnamed=True)
+    assert {r["doc_id"]: r["items"] for r in found.collect()} == {1: [None], 2: ["5", None], 3: []}
+    cut = {r["doc_id"]: r["text"] for r in corpus_pipeline.decontaminate_stage(spark, docs, str(tmp_path)).collect()}
+    assert set(cut) == {1, 2, 3} and "leak" not in cut[1] + cut[2]
+
+
 def test_cut_removes_the_spans(spark, documents):
     bench = spark.createDataFrame([(1, " ".join(f"b{i}" for i in range(12)))], "item_id int, text string")
     text = "é start " + " ".join(f"B{i}," for i in range(12)) + " end"

@@ -39,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cashlens.llm.common import LOWER, NOT_SPACE, U64, mix, scratch_dir, span_hashes, text_slices, word_spans, written
 from cashlens.llm.components import components
@@ -129,6 +130,22 @@ def set_digests(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, high bigint, low bigint, classes binary")
 
 
+def with_digests(documents: DataFrame) -> DataFrame:
+    """All columns of ``documents`` and the 128-bit digest of the row's shingle set (_high, _low; 0 for no shingles)."""
+    at = documents.columns.index("text")
+    schema = T.StructType([*documents.schema.fields, T.StructField("_high", T.LongType()), T.StructField("_low", T.LongType())])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            high, low = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+            for row, tokens in sets_of(batch.column(at)):
+                high[row], low[row] = digest(tokens)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(high), pa.array(low)], names=names)
+
+    return documents.mapInArrow(run, schema)
+
+
 def bucket_counts(documents: DataFrame) -> np.ndarray:
     """How many distinct shingles of documents fall into each bucket, over all documents; a fixed 2 MB."""
 

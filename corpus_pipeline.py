@@ -8,12 +8,13 @@
 
 Each stage takes (spark, docs, sf_dir) and gets all that the stage before kept. All but the last return the columns of
 ``documents``, in their order; where a stage changes a text, ``n_chars`` follows. Rows with a null id or text pass
-through (a null text counts as empty once a stage changes texts); of rows with one id the Jaccard stage keeps one.
+through (a null text counts as empty once a stage changes texts). Rows with one id stay or go together in the Jaccard
+stage; of those that stay, rows with the same shingles are one: the first by text, then by the other columns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cashlens.llm import bpe, decontaminate, jaccard_join, secrets_scan, toxicity
@@ -32,8 +33,12 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = jaccard_join.groups(docs)
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    # the digests come before the join, so that join and window share one shuffle of the texts
+    rows = jaccard_join.with_digests(carried(docs)).join(kept, "doc_id", "left_semi")
+    order = [F.col("_row")[f.name] for f in docs.schema.fields if f.name != "text" and "map<" not in f.dataType.simpleString()]
+    same = Window.partitionBy("doc_id", "_high", "_low").orderBy("text", *order)
+    first = rows.withColumn("_n", F.row_number().over(same)).where("_n = 1")
+    return restored(first, docs).unionByName(docs.where("doc_id is null"))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

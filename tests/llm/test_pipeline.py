@@ -78,3 +78,16 @@ def test_run_equals_the_stages(spark, world):
     got = corpus_pipeline.run(spark, folder)
     assert {r["doc_id"] for r in got.select("doc_id").collect()} == {i for i in texts if kinds.get(i) not in ("toxic", "copy", "only leak")}
     assert got.where(F.size("ids") != F.col("n_tokens")).count() == 0
+
+
+def test_rows_of_one_id_with_different_texts_stay(spark, tmp_path):
+    """Rows equal in id and shingles are one, the first by text; other rows of a kept id are no copies."""
+    rng = random.Random(9)
+    one, two, three = (" ".join(rng.choice(COMMON) + str(rng.randrange(99)) for _ in range(40)) for _ in range(3))
+    rows = [(1, one, "en"), (1, two, "en"), (1, two.upper(), "en"), (1, two, "de"), (1, None, "en"), (2, three, "en"), (3, three, "en"), (None, one, "en"), (None, one, "en")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id bigint, text string, lang string").repartition(3)
+        got = corpus_pipeline.jaccard_stage(spark, docs, str(tmp_path))
+        assert got.schema == docs.schema
+        want = [(1, None, "en"), (1, one, "en"), (1, min(two, two.upper()), "en"), (2, three, "en"), (None, one, "en"), (None, one, "en")]
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)

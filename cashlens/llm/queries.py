@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cashlens.llm import bpe, decontaminate, fingerprints, html_text, jaccard_join, pii, quality, secrets_scan, toxicity, url_filter
+from cashlens.llm import bpe, centroids, decontaminate, fingerprints, html_text, jaccard_join, pii, quality, secrets_scan, substring_dedup, toxicity, url_filter, vector_codes
 from cashlens.llm.common import held_out, table, vocabulary
+from cashlens.llm.vectors import FLOOR_DIV
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -203,6 +204,103 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.groups(table(spark, sf_dir, "documents"))
 
 
+# ---------------------------------------------------------------- 11
+
+
+def lloyd_sql(rounds: int) -> str:
+    """Lloyd's rounds over ``x`` (row, part, v) from ``c0`` (part, entry, c): one statement per round, ending in ``final``."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""d{r} AS MATERIALIZED (
+  SELECT x.row, x.part, c.entry, list_sum(list_transform(list_zip(x.v, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d
+  FROM x JOIN c{r} c USING (part)),
+a{r} AS MATERIALIZED (
+  SELECT row, part, arg_min(entry, d * 256 + entry) AS entry, CAST(min(d) AS BIGINT) AS d FROM d{r} GROUP BY row, part)""")
+        if r < rounds:
+            mean = FLOOR_DIV.format(a="sum(u.v)", b="count(*)")
+            steps.append(f"""m{r} AS MATERIALIZED (
+  SELECT part, entry, list(m ORDER BY i) AS c FROM (
+    SELECT u.part, u.entry, u.i, {mean} AS m FROM (
+      SELECT a.part, a.entry, unnest(x.v) AS v, unnest(range(len(x.v))) AS i FROM a{r} a JOIN x USING (row, part)) u
+    GROUP BY u.part, u.entry, u.i) GROUP BY part, entry),
+c{r + 1} AS MATERIALIZED (
+  SELECT part, entry, coalesce(m.c, c.c) AS c FROM c{r} c LEFT JOIN m{r} m USING (part, entry))""")
+    return ",\n".join(steps) + f",\nfinal AS (SELECT * FROM a{rounds}), books AS (SELECT * FROM c{rounds})"
+
+
+OP11_SQL = f"""
+WITH x AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS row, vec_id, 0 AS part,
+    list_transform(embedding, lambda e: CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+c0 AS MATERIALIZED (
+  SELECT 0 AS part, row_number() OVER (ORDER BY sha256('1:' || vec_id), row) - 1 AS entry, v AS c
+  FROM x QUALIFY entry < 16),
+{lloyd_sql(3)},
+digests AS (SELECT entry, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM books)
+SELECT vec_id, CAST(entry AS INTEGER) AS cluster, d AS distance,
+  CAST(sum(d) OVER (PARTITION BY entry) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM final JOIN x USING (row) JOIN digests USING (entry)
+"""
+
+
+@query("op11_centroids", OP11_SQL)
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+# ---------------------------------------------------------------- 12
+
+OP12_SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS row, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+grams AS MATERIALIZED (
+  SELECT row, doc_id, i, sha256(array_to_string(w[i : i + 12], ' ')) AS g FROM (
+    SELECT row, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) >= 13)),
+first AS (SELECT g, min(doc_id) AS least FROM grams GROUP BY g),
+gone AS (
+  SELECT row, list(DISTINCT p) AS gone FROM (
+    SELECT row, unnest(range(i, i + 13)) AS p FROM grams JOIN first USING (g) WHERE least < doc_id) GROUP BY row),
+kept AS (
+  SELECT row, string_agg(word, ' ' ORDER BY p) AS t FROM (
+    SELECT row, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM w) LEFT JOIN gone USING (row)
+  WHERE NOT coalesce(list_contains(gone, p), false) GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN gone USING (row) LEFT JOIN kept USING (row)
+"""
+
+
+@query("op12_substring_dedup", OP12_SQL)
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+# ---------------------------------------------------------------- 13
+
+OP13_SQL = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS row, vec_id, label,
+    list_transform(embedding, lambda e: CAST(floor(4096 * CAST(e AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = len(embedding)),
+x AS MATERIALIZED (
+  SELECT row, part, v[part * len(v) // 8 + 1 : (part + 1) * len(v) // 8] AS v FROM (SELECT row, v, unnest(range(8)) AS part FROM kept)),
+c0 AS MATERIALIZED (SELECT part, row - 1 AS entry, v AS c FROM x WHERE row <= 16),
+{lloyd_sql(6)},
+codes AS (
+  SELECT row, string_agg(printf('%02x', CAST(entry AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM final GROUP BY row)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM books) AS codebooks_sha256
+FROM codes JOIN kept USING (row)
+"""
+
+
+@query("op13_vector_codes", OP13_SQL)
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 # ---------------------------------------------------------------- all together
 
 

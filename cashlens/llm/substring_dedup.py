@@ -3,7 +3,7 @@
 Matching statistics from a compressed FM-index per shard: the Burrows-Wheeler column of a shard's word sequences lies in
 a wavelet tree of packed bits, and streamed sequences walk backwards through its ranks. The walk from a word goes left as
 long as the matched words stand in a document of smaller id (a range minimum over the suffix rows tells), so it ends with
-the longest earlier match that ends there. Matches of at least ``window`` words are the intervals to remove.
+the longest earlier match that ends there, the statistic of that word. Matches of at least ``window`` words are the intervals to remove.
 
 Shards are not runs of documents, which would ask every document of every shard. Each window is sent by its anchor, the
 least hash among its ``GRAM``-word sequences: equal windows have equal anchors and meet in one shard. Neighbouring windows
@@ -36,9 +36,9 @@ from cashlens.llm.common import NOT_SPACE, U64, mix, span_hashes, text_slices, w
 
 WINDOW, GRAM = 13, 4
 #: Bytes of a word's hash in a segment; words that close a shard; documents of an anchor beyond which windows go singly.
-WORD_BYTES, SHARD_WORDS, CROWD = 5, 400_000, 5_000
+WORD_BYTES, SHARD_WORDS, CROWD = 5, 500_000, 5_000
 #: Windows of a segment; longer runs with one anchor (repeated text) travel as several.
-RUN = 128
+RUN = 32
 FACTOR = U64(0xD1342543DE82EF95)
 
 # ---------------------------------------------------------------- the index
@@ -91,34 +91,36 @@ class CompressedIndex:
             self.bits.append(PackedBits(bit))
             self.zeros.append(int(len(bit) - bit.sum()))
             column = np.r_[column[bit == 0], column[bit == 1]]
-        self.least = [owner[order]]  # least owner of every run of 1, 2, 4, ... rows
-        while 2 << (len(self.least) - 1) <= n:
-            last, half = self.least[-1], 1 << (len(self.least) - 1)
-            self.least.append(np.minimum(last[:-half], last[half:]))
+        # from the place where a symbol's leaf begins to where its suffixes begin
+        symbols = np.arange(len(self.first) - 1)
+        self.shift = self.first[:-1] - self.descend(symbols, np.zeros(len(symbols), np.int64))
+        ids, owner = np.unique(owner[order], return_inverse=True)
+        self.ids = ids
+        levels = n.bit_length()
+        self.least = np.empty((levels, n), np.int32)  # least owner of every run of 1, 2, 4, ... rows
+        self.least[0] = owner
+        for k in range(1, levels):
+            half = 1 << (k - 1)
+            np.minimum(self.least[k - 1, : n - half], self.least[k - 1, half:], out=self.least[k, : n - half])
+
+    def descend(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Each place taken down to its symbol's leaf of the tree."""
+        top = len(self.bits) - 1
+        for level, (bits, zeros) in enumerate(zip(self.bits, self.zeros, strict=True)):
+            ones = bits.ones(at)
+            at = np.where((symbol >> (top - level)) & 1, zeros + ones, at - ones)
+        return at
 
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the suffixes that put ``symbol`` in front of those in [low, high)."""
-        base = np.zeros(len(symbol), np.int64)
-        top = len(self.bits) - 1
-        for level, (bits, zeros) in enumerate(zip(self.bits, self.zeros, strict=True)):
-            one = ((symbol >> (top - level)) & 1).astype(bool)
-            moved = []
-            for at in (base, low, high):
-                ones = bits.ones(at)
-                moved.append(np.where(one, zeros + ones, at - ones))
-            base, low, high = moved
-        start = self.first[symbol]
-        return start + low - base, start + high - base
+        both = self.descend(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
+        start = self.shift[symbol]
+        return start + both[: len(low)], start + both[len(low) :]
 
     def least_owner(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The smallest document of the rows [low, high), which are not empty."""
         level = np.frexp((high - low).astype(np.float64))[1] - 1
-        out = np.empty(len(low), np.int64)
-        for k in np.unique(level).tolist():
-            rows = np.flatnonzero(level == k)
-            table = self.least[k]
-            out[rows] = np.minimum(table[low[rows]], table[high[rows] - (1 << k)])
-        return out
+        return self.ids[np.minimum(self.least[level, low], self.least[level, high - (1 << level.astype(np.int64))])]
 
 
 def suffixes(text: np.ndarray, longest: int) -> np.ndarray:
@@ -140,32 +142,45 @@ def suffixes(text: np.ndarray, longest: int) -> np.ndarray:
     return order
 
 
+def longest_earlier(index: CompressedIndex, words: np.ndarray, first: np.ndarray, end: np.ndarray, owners: np.ndarray, most: int) -> np.ndarray:
+    """Where the longest match that ends at each ``end`` and stands in a document below the owner begins.
+
+    A walk goes left as far as ``first``, and ``most`` words at most; all walk together.
+    """
+    at = end.copy()
+    going, low, high = np.arange(len(end)), np.zeros(len(end), np.int64), np.full(len(end), index.n, np.int64)
+    for _ in range(most):
+        more = at[going] > first[going]
+        going, low, high = going[more], low[more], high[more]
+        if not len(going):
+            break
+        low, high = index.step(words[at[going] - 1], low, high)
+        held = np.flatnonzero(low < high)
+        held = held[index.least_owner(low[held], high[held]) < owners[going[held]]]
+        going, low, high = going[held], low[held], high[held]
+        at[going] -= 1
+    return at
+
+
 def earlier_matches(index: CompressedIndex, words: np.ndarray, starts: np.ndarray, owners: np.ndarray, window: int) -> list[tuple[np.ndarray, ...]]:
     """(sequence, start, end): intervals of at least ``window`` words that a document below the sequence's own holds.
 
-    All sequences walk together, from the end backwards. A walk that reaches a sequence's start ends its search, as what
-    ends further left is matched as well; one that breaks off goes on one word further left.
+    First every sequence is walked from its end. Where the walk reaches the start, whatever ends further left is matched
+    as well. Where it breaks off, all other ends are asked, each for the words of a window.
     """
-    sizes = np.diff(np.r_[starts, len(words)])
-    found = []
-    active, end = np.arange(len(starts)), sizes.copy()
-    while len(active):
-        low, high = np.zeros(len(active), np.int64), np.full(len(active), index.n, np.int64)
-        at = end[active].copy()
-        going = np.arange(len(active))
-        while len(going):
-            symbol = words[starts[active[going]] + at[going] - 1]
-            a, b = index.step(symbol, low[going], high[going])
-            held = np.flatnonzero(a < b)
-            held = held[index.least_owner(a[held], b[held]) < owners[active[going[held]]]]
-            going, a, b = going[held], a[held], b[held]
-            low[going], high[going] = a, b
-            at[going] -= 1
-            going = going[at[going] > 0]
-        long = end[active] - at >= window
-        found.append((active[long], at[long], end[active][long]))
-        end[active] -= 1
-        active = active[(at > 0) & (end[active] >= window)]
+    ends = np.r_[starts[1:], len(words)]
+    every = np.arange(len(starts))
+    at = longest_earlier(index, words, starts, ends, owners, int((ends - starts).max()))
+    long = ends - at >= window
+    found = [(every[long], (at - starts)[long], (ends - starts)[long])]
+    broken = np.flatnonzero((at > starts) & (ends - 1 - starts >= window))
+    counts = (ends - starts - window)[broken]
+    sequence = np.repeat(broken, counts)
+    end = starts[sequence] + window + np.arange(len(sequence)) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = longest_earlier(index, words, end - window, end, owners[sequence], window)
+    full = end - at == window
+    sequence, end = sequence[full], end[full] - starts[sequence[full]]
+    found.append((sequence, end - window, end))
     return found
 
 

@@ -8,7 +8,7 @@ the longest earlier match that ends there, the statistic of that word. Matches o
 Shards are not runs of documents, which would ask every document of every shard. Each window is sent by its anchor, the
 least hash among its ``GRAM``-word sequences: equal windows have equal anchors and meet in one shard. Neighbouring windows
 with one anchor travel as one segment, and only segments whose anchor stands in several documents travel at all. Texts
-are dealt by id once; both joins of texts use that exchange.
+are dealt by id once, compressed; both joins of texts use that exchange.
 
 An anchor in more than ``crowd`` documents, as of a line that a third of all texts hold, would be one crowded shard. Its
 windows are compared one by one, by 128-bit hashes: the smallest id per window is found with partial sums on the mappers
@@ -234,7 +234,8 @@ def anchored(words: np.ndarray, rows: np.ndarray, window: int) -> tuple[np.ndarr
     for k in range(1, window - GRAM + 1):
         np.minimum(least, grams[k : n + k], out=least)
     at = np.flatnonzero(rows[:n] == rows[window - 1 :])
-    return at, least[at].view(np.int64)
+    # 48 bits are enough: an anchor only says where windows meet
+    return at, (least[at] >> U64(16)).view(np.int64)
 
 
 def sliced(batch: pa.RecordBatch, text: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -244,6 +245,39 @@ def sliced(batch: pa.RecordBatch, text: int) -> Iterator[tuple[pa.RecordBatch, n
         yield batch.slice(first, end - first), raw, rows, starts, ends
 
 
+def packed(texts: DataFrame) -> DataFrame:
+    """``texts`` with each text compressed, for the one shuffle that carries them."""
+    schema = T.StructType([T.StructField("body", T.BinaryType()) if f.name == "text" else f for f in texts.schema.fields])
+    place = texts.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=3)
+        for batch in batches:
+            for part in (batch.slice(i, 1000) for i in range(0, len(batch), 1000)):
+                texts = [(t or "").encode() for t in part.column(place).to_pylist()]
+                bodies = [len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in texts]
+                columns = [pa.array(bodies, pa.binary()) if i == place else x for i, x in enumerate(part.columns)]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return texts.mapInArrow(run, schema)
+
+
+def unpacked(batch: pa.RecordBatch, place: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with their texts again, of about 4 MB of texts each."""
+    codec = pa.Codec("zstd")
+    held, size, first = [], 0, 0
+    bodies = batch.column(place).to_pylist()
+    for i, body in enumerate(bodies):
+        n = int.from_bytes(body[:8], "little")
+        held.append(codec.decompress(body[8:], n, asbytes=True) if n else b"")
+        size += n
+        if size >= 4 << 20 or i == len(bodies) - 1:
+            texts = pa.array(held, pa.large_binary()).cast(pa.large_string())
+            part = batch.slice(first, len(held))
+            yield part.set_column(place, "text", texts)
+            held, size, first = [], 0, i + 1
+
+
 def anchors(documents: DataFrame, window: int) -> DataFrame:
     """(anchor, doc, key): the distinct anchors of every row with an id."""
 
@@ -275,8 +309,8 @@ def segments(documents: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                asked = pc.and_(batch.column(3), pc.is_valid(batch.column(4)))
-                for part, raw, rows, starts, ends in sliced(batch.filter(asked), 1):
+                asked = batch.filter(pc.and_(batch.column(3), pc.is_valid(batch.column(4))))
+                for part, raw, rows, starts, ends in (x for texts in unpacked(asked, 1) for x in sliced(texts, 1)):
                     words = span_hashes(raw, starts, ends)
                     at, anchor = anchored(words, rows, window)
                     if not len(at):
@@ -314,7 +348,7 @@ def segments(documents: DataFrame, window: int) -> DataFrame:
         )
 
     # all columns of the exchange, so that none is pruned from it and both joins can share it
-    return documents.select("doc", "text", "key", "known", "shared", "crowded", "_row").mapInArrow(run, SEGMENT)
+    return documents.select("doc", "body", "key", "known", "shared", "crowded", "_row").mapInArrow(run, SEGMENT)
 
 
 def matches(rows: DataFrame, window: int, shard_words: int) -> DataFrame:
@@ -362,7 +396,7 @@ def kept_words(documents: DataFrame, schema: T.StructType) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, raw, rows, starts, ends in sliced(batch, 1):
+            for part, raw, rows, starts, ends in (x for texts in unpacked(batch, 1) for x in sliced(texts, 1)):
                 n_words = np.bincount(rows, minlength=len(part))
                 head = np.cumsum(n_words) - n_words
                 lists = part.column(len(part.schema.names) - 1)
@@ -419,7 +453,7 @@ def dedup(documents: DataFrame, window: int = WINDOW, shard_words: int = SHARD_W
     known = F.col("doc_id").isNotNull()
     # no key of a join below is null, so Spark puts no filter under one of them and both read one exchange of the texts
     texts = documents.select(F.when(known, F.col("doc_id").cast("bigint")).otherwise(0).alias("doc"), "text", F.hash("text").alias("key"), known.alias("known"), row)
-    dealt = texts.repartition("doc", "key")
+    dealt = packed(texts).repartition("doc", "key")
     pairs = anchors(texts.where("known"), window)
     common = pairs.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n")).where("low < high")
     shared = pairs.join(common.select("anchor", "n"), "anchor")
@@ -436,7 +470,7 @@ def dedup(documents: DataFrame, window: int = WINDOW, shard_words: int = SHARD_W
     spans = found.groupBy("doc", "key").agg(F.collect_list(F.struct("start", "end")).alias("found"))
     full = dealt.join(spans, ["doc", "key"], "left")
     none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-    full = full.select("doc", "text", "_row", F.when(F.col("known") & F.col("found").isNotNull(), F.col("found")).otherwise(none).alias("found"))
+    full = full.select("doc", "body", "_row", F.when(F.col("known") & F.col("found").isNotNull(), F.col("found")).otherwise(none).alias("found"))
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([T.StructField("_row", full.schema["_row"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("text", T.StringType()), T.StructField("spans", span)])
     return kept_words(full, schema).select("_row.*", "n_words", "n_removed", "text", "spans")

@@ -149,3 +149,15 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Da
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once, with their count."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def first_at_or_after(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, value: str, out: str) -> DataFrame:
+    """The first non-null ``value`` at or behind each row per key, in two levels as ``lag_in_buckets``."""
+    staged = df.withColumn("_bucket", bucket)
+    inner = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+    local = staged.withColumn("_here", F.first(value, ignorenulls=True).over(inner))
+    heads = staged.groupBy(*keys, "_bucket").agg(F.min_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_head"))
+    later = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
+    carry = heads.select(*keys, "_bucket", F.first("_head", ignorenulls=True).over(later).alias("_later"))
+    joined = join_null_safe(local, carry, [*keys, "_bucket"], "left")
+    return joined.select(*df.columns, F.coalesce("_here", "_later").alias(out))

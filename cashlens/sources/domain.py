@@ -299,7 +299,11 @@ CONFLICT_ABOVE = 400_000
 
 def raw_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Provenance points: one per order; the status decides source and data status."""
-    o = table(spark, sf_dir, "orders")
+    return points_of(table(spark, sf_dir, "orders"))
+
+
+def points_of(o: DataFrame) -> DataFrame:
+    """Points of order rows, of a table or a stream."""
     status, amount = F.col("o_orderstatus"), money("o_totalprice")
     field = F.lit(None).cast("string")
     for priority, name in FIELD_OF_PRIORITY.items():

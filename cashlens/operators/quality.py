@@ -321,23 +321,60 @@ def reviewed_score_issues(df: DataFrame) -> DataFrame:
     return df.withColumn("issues", issues(*rules))
 
 
-def analysis_output_issues(df: DataFrame, blocked_hosts: tuple[str, ...] = ("localhost", "127.0.0.1")) -> DataFrame:
-    """Analysis payload: identity and trigger equal to the request, public https sources, verdict rule."""
-    host = lambda u: F.try_parse_url(u, F.lit("HOST"))
-    bad_url = F.exists(
-        "source_urls",
-        lambda u: ~F.coalesce(u.startswith("https://"), F.lit(False)) | host(u).isNull() | host(u).isin(*blocked_hosts),
-    )
-    return df.withColumn(
-        "issues",
-        issues(
-            ("COMPANY_MISMATCH", c("company_id") != c("expected_company_id")),
-            ("TRIGGER_MISMATCH", ~c("trigger_type").eqNullSafe(c("expected_trigger_type"))),
-            ("SOURCES_EMPTY", F.coalesce(F.size("source_urls"), F.lit(0)) == 0),
-            ("SOURCE_URL_INVALID", bad_url),
-            ("VERDICT_WITHOUT_EVIDENCE", (c("verdict") == "HIGH_RISK") & (F.size("source_urls") < 2)),
-        ),
-    )
+# Fixed values.
+IDENTITY_FIELDS = (
+    "schema_version", "prompt_version", "model", "reasoning_effort", "analysis_id", "analysis_mode", "company_id",
+    "input_snapshot_hash", "calculation_version",
+)
+SNAPSHOT_FIELDS = ("company_name", "ticker", "market", "as_of_date")
+PLACEHOLDER_HOSTS = ("localhost", "example.com", "www.example.com")
+PLACEHOLDER_ENDINGS = (".local", ".invalid")
+URGENT_MODES = ("URGENT_VETO_REVIEW", "URGENT_RISK_REVIEW")
+
+
+def source_url_issue(url: Column) -> Column:
+    """SOURCE_SCHEME without http or https or a host, SOURCE_NOT_PUBLIC for local and placeholder hosts, else null."""
+    known = F.coalesce(url, F.lit(""))
+    place = F.regexp_extract(known, r"^(?i:https?)://([^/?#]*)", 1)
+    # user and port are no part of the host; a host in brackets keeps its colons
+    host = F.lower(F.regexp_extract(F.regexp_replace(place, r"^.*@", ""), r"^(\[[^\]]*\]|[^:]*)", 1))
+    ending = F.endswith(host, F.lit(PLACEHOLDER_ENDINGS[0])) | F.endswith(host, F.lit(PLACEHOLDER_ENDINGS[1]))
+    return F.when(place == "", "SOURCE_SCHEME").when(host.isin(*PLACEHOLDER_HOSTS) | ending, "SOURCE_NOT_PUBLIC")
+
+
+def analysis_output_issues(payloads: DataFrame, jobs: DataFrame, snapshots: DataFrame | None = None) -> DataFrame:
+    """Analysis payloads with the rules they break, sorted in the order of the rules.
+
+    ``payloads``: the identity and snapshot fields, trigger_type, report_markdown, source_urls, verdict,
+    data_issue_detected, data_issue_notes. ``jobs`` has one row per analysis_id with the expected identity and
+    trigger_type; ``snapshots`` one per company_id with the snapshot fields, of which null ones ask for nothing.
+    A payload without its job breaks JOB_UNKNOWN. Each payload meets one job and one snapshot.
+    """
+    expected = [x for x in IDENTITY_FIELDS if x != "analysis_id"]
+    # a null id meets no job, and its own rows stay
+    queued = jobs.select(c("analysis_id").alias("_job"), *[c(x).alias(f"_e_{x}") for x in [*expected, "trigger_type"]])
+    j = payloads.join(queued, c("analysis_id") == c("_job"), "left")
+    rules: list[tuple[str, Column]] = [("JOB_UNKNOWN", c("_job").isNull())]
+    found = c("_job").isNotNull()
+    rules += [(f"IDENTITY:{x}", found & ~c(x).eqNullSafe(c(f"_e_{x}"))) for x in expected]
+    rules.append(("TRIGGER_MISMATCH", found & ~c("trigger_type").eqNullSafe(c("_e_trigger_type"))))
+    if snapshots is not None:
+        shown = snapshots.select(c("company_id").alias("_company"), *[c(x).alias(f"_s_{x}") for x in SNAPSHOT_FIELDS])
+        j = j.join(shown, c("company_id") == c("_company"), "left")
+        rules += [(f"SNAPSHOT:{x}", c(f"_s_{x}").isNotNull() & ~c(x).eqNullSafe(c(f"_s_{x}"))) for x in SNAPSHOT_FIELDS]
+    urls = F.coalesce("source_urls", F.array().cast("array<string>"))
+    broken = F.transform(urls, source_url_issue)
+    has = lambda code: F.exists(broken, lambda x: F.coalesce(x == code, F.lit(False)))
+    notes = F.coalesce(F.size("data_issue_notes"), F.lit(0)) > 0
+    rules += [
+        ("RAW_HTML", F.coalesce(c("report_markdown"), F.lit("")).rlike("[<>]")),
+        ("SOURCE_SCHEME", has("SOURCE_SCHEME")),
+        ("SOURCE_NOT_PUBLIC", has("SOURCE_NOT_PUBLIC")),
+        ("URGENT_SCALE_IN", c("analysis_mode").isin(*URGENT_MODES) & (c("verdict") == "SCALE_IN")),
+        ("DATA_ISSUE_DISAGREES", F.coalesce(c("data_issue_detected"), F.lit(False)) != notes),
+    ]
+    extra = [x for x in j.columns if x.startswith(("_e_", "_s_")) or x in ("_job", "_company")]
+    return j.withColumn("issues", issues(*rules)).drop(*extra)
 
 
 def document_checks(df: DataFrame, names: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cashlens.plans import assembly, documents, events, feeds, history, ledger, rotation, screening, triggers, valuation, watchlist  # noqa: F401
+from cashlens.plans import assembly, documents, events, feeds, history, ledger, records, rotation, screening, triggers, valuation, watchlist  # noqa: F401
 from cashlens.plans.registry import PLANS, SQL
 
 __all__ = ["PLANS", "SQL"]

@@ -383,7 +383,8 @@ def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     wording follows the status, and a share-change table.
     """
     narrow = ("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority", "o_totalprice")
-    o = table(spark, sf_dir, "orders").select(*narrow)
+    # a file may be one unsplittable block: the narrow rows are dealt out before they become texts
+    o = table(spark, sf_dir, "orders").select(*narrow).repartition("o_orderkey")
     year = F.year("o_orderdate")
     amount = F.format_number(money("o_totalprice"), 2)
     other = F.format_number((F.col("o_orderkey") + 1).cast(MONEY), 2)
@@ -440,7 +441,8 @@ def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report documents with titles in five forms, one per order."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice")
+    narrow = ("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice")
+    o = table(spark, sf_dir, "orders").select(*narrow).repartition("o_orderkey")
     year = F.year("o_orderdate") + 5
     y, p = year.cast("string"), F.col("o_orderpriority")
     cjk = F.translate(y, "0123456789", "〇一二三四五六七八九")
@@ -463,7 +465,7 @@ def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def share_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One Hong Kong share-capital note per order, with the balances of the order's own keys."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate").repartition("o_orderkey")
     y = F.year("o_orderdate").cast("string")
     first, cut = F.col("o_orderkey") + 1_000_000, F.col("o_custkey") + 1
     text = F.concat_ws(

@@ -1,14 +1,15 @@
 """Vector code compression: a product quantiser whose codebooks are trained by member-resident Lloyd rounds.
 
 A vector is cut into equal parts; each part position has its own codebook. Training parts live with the owner of their
-entry: rows are partitioned by (position, entry, salt) and written once. In a round every owner reads its residents in
+entry: rows, each a block of up to ``BLOCK`` parts, are partitioned by (position, entry, salt) and written once. In a round every owner reads its residents in
 place and gives the sums of those that stay; only parts whose nearest entry has changed are emitted and shuffled to
 their new owner. They are written as a generation of their own: nothing that stays is ever written again.
 
 A part of generation g with entry e is a resident at round t if e is its nearest entry under all codebooks after g up
 to t. Codebooks are a bounded ``parts * entries`` rows, so that history travels in the task's closure, and a lost
-executor's work is redone from written tables. Salts deal identical and crowded parts evenly: they are a running number
-of a task's rows, and there are enough of them that an owner has at most ``members`` parts even if one entry holds all.
+executor's work is redone from written tables. Salts deal identical and crowded parts evenly: they are a running
+number of a task's runs of vectors, and there are enough of them that an owner has about ``members`` parts even if one
+entry holds all.
 
 Codes come from one pass over the vectors under the last codebooks, without a shuffle.
 
@@ -35,6 +36,8 @@ from cashlens.llm.vectors import LONG_MAX, finite_vectors, floored_means, whole
 
 #: Owners hold at most this many parts on average of any split; label sums up to this many rows are broadcast.
 MEMBERS, FEW_LABELS = 250_000, 10_000
+#: Parts of a row, and vectors of a run that share a salt.
+BLOCK, RUN = 64, 512
 GENERATION = "position int, entry int, salt int, part binary, n bigint, sums array<bigint>"
 
 
@@ -64,14 +67,33 @@ def first_books(vectors: DataFrame, parts: int, entries: int, scale: int) -> np.
 # ---------------------------------------------------------------- generations
 
 
-def batch_of(position, entry, salt, parts: np.ndarray | None, n=None, sums=None) -> pa.RecordBatch:
-    rows = len(position)
-    bodies = [None] * rows if parts is None else [p.tobytes() for p in parts.astype(np.int32)]
-    columns = [pa.array(np.asarray(c, np.int32)) for c in (position, entry, salt)]
-    columns += [pa.array(bodies, pa.binary()), pa.array(n if n is not None else [None] * rows, pa.int64()), pa.array(sums if sums is not None else [None] * rows, pa.list_(pa.int64()))]
+def blocks(position: np.ndarray, entry: np.ndarray, salt: np.ndarray, parts: np.ndarray) -> pa.RecordBatch:
+    """Parts as rows of up to BLOCK parts of one owner."""
+    order = np.lexsort((salt, entry, position))
+    position, entry, salt, parts = position[order], entry[order], salt[order], parts[order]
+    owner = np.r_[True, (np.diff(position) != 0) | (np.diff(entry) != 0) | (np.diff(salt) != 0)] if len(order) else np.zeros(0, bool)
+    first = np.flatnonzero(owner)
+    if len(order):
+        owner |= (np.arange(len(order)) - first[np.cumsum(owner) - 1]) % BLOCK == 0
+        first = np.flatnonzero(owner)
+    ends = np.r_[first, len(order)] * (parts.shape[1] * 4)
+    bodies = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(parts.astype(np.int32).tobytes())])
+    return rows_of(position[first], entry[first], salt[first], bodies, pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.list_(pa.int64())))
+
+
+def rows_of(position, entry, salt, bodies: pa.Array, n: pa.Array, sums: pa.Array) -> pa.RecordBatch:
+    columns = [*(pa.array(np.asarray(x, np.int32)) for x in (position, entry, salt)), bodies, n, sums]
     return pa.RecordBatch.from_arrays(columns, names=["position", "entry", "salt", "part", "n", "sums"])
 
 
+def parts_of(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, ...]:
+    """Position, entry, salt and components of every part of a batch of blocks."""
+    bodies = batch.column(3).to_pylist()
+    counts = np.array([len(x) for x in bodies], np.int64) // (4 * width)
+    parts = np.frombuffer(b"".join(bodies), np.int32).astype(np.int64).reshape(-1, width)
+    return *(np.repeat(batch.column(k).to_numpy().astype(np.int64), counts) for k in range(3)), parts
+
+
 def first_owners(vectors: DataFrame, books: np.ndarray, scale: int, salts: int) -> DataFrame:
     """The parts of all vectors, each with the nearest entry of the first codebooks and its salt."""
     positions, _, width = books.shape
@@ -80,10 +102,10 @@ def first_owners(vectors: DataFrame, books: np.ndarray, scale: int, salts: int)
         number = TaskContext.get().partitionId()
         for batch in batches:
             x = whole(finite_vectors(batch.column(0), positions * width)[1], scale).reshape(-1, positions, width)
-            salt = (number + np.arange(len(x))) % salts
-            number += len(x)
+            salt = (number + np.arange(len(x)) // RUN) % salts
+            number += -(-len(x) // RUN)
             for p in range(positions):
-                yield batch_of(np.full(len(x), p), nearest(x[:, p], books[p])[0], salt, x[:, p])
+                yield blocks(np.full(len(x), p), nearest(x[:, p], books[p])[0], salt, x[:, p])
 
     return vectors.select("embedding").mapInArrow(run, GENERATION)
 
@@ -115,22 +137,22 @@ def turn(generation: DataFrame, born: int, history: list[np.ndarray]) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, counts = np.zeros(shape, np.int64), np.zeros(shape[:2], np.int64)
         for batch in batches:
-            position, entry, salt = (batch.column(k).to_numpy().astype(np.int64) for k in range(3))
-            parts = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int32).astype(np.int64).reshape(-1, shape[2])
+            position, entry, salt, parts = parts_of(batch, shape[2])
             rows = still_there(position, entry, parts, past)
             position, entry, salt, parts = position[rows], entry[rows], salt[rows], parts[rows]
             if now is not None:
                 new = nearest_at(position, parts, now)
                 leave = np.flatnonzero(new != entry)
                 if len(leave):
-                    yield batch_of(position[leave], new[leave], salt[leave], parts[leave])
+                    yield blocks(position[leave], new[leave], salt[leave], parts[leave])
                 stay = new == entry
                 position, entry, parts = position[stay], entry[stay], parts[stay]
             np.add.at(sums, (position, entry), parts)
             np.add.at(counts, (position, entry), 1)
         position, entry = np.nonzero(counts)
         if len(position):
-            yield batch_of(position, entry, np.zeros(len(position)), None, counts[position, entry].tolist(), sums[position, entry].tolist())
+            added = pa.array(sums[position, entry].tolist(), pa.list_(pa.int64()))
+            yield rows_of(position, entry, np.zeros(len(position)), pa.nulls(len(position), pa.binary()), pa.array(counts[position, entry]), added)
 
     return generation.where("part is not null").mapInArrow(run, GENERATION)
 

@@ -182,7 +182,7 @@ def test_only_leavers_are_written_again(spark, vectors, monkeypatch):
     rng = random.Random(4)
     rows = [(i, as_float(rng.gauss(0, 0.2) for _ in range(16)), 1) for i in range(200)]
     vector_codes.train(vectors(rows), parts=2, entries=4, rounds=5)
-    counts = [df.where("part is not null").count() for name, df in written if name.startswith("generation")]
+    counts = [df.selectExpr("coalesce(sum(length(part) div 32), 0L)").first()[0] for name, df in written if name.startswith("generation")]  # parts of 8 numbers
     points = [[math.floor(4096 * x) for x in v] for _, v, _ in rows]
     moved = [0] * 4
     for p in range(2):

@@ -14,9 +14,14 @@ Level 1 and up. Members of different components remain open. A small region comp
 triangle inequality over the pivot, |d(x,p) - d(y,p)| <= r. A larger one takes several new document pivots, measures
 them against all members, deals each member to its nearest pivot's Voronoi region and replicates it into every region
 with d(x,p') <= d(x,p) + 2r, and recurs; its pivots are done with. Where these windows hold most members of most
-pivots, the region stays whole and takes four times as many pivots at the next level, measured only against members of
-other components that the triangle inequality does not part. The join is exact and ends, for every level takes its
-pivots out and a level has more of them.
+pivots, as with documents that share a passage and little else, shingles are its pivots once more, ordered by their
+counts in the region alone: what only the passage held together falls apart. A region of that second kind that document
+pivots do not part stays whole and takes four times as many at the next level, measured only against members of other
+components that neither the triangle inequality nor their places in the order part. The join is exact and ends, for
+every level takes its pivots out and a level has more of them.
+
+Pivots are chosen for being central, with the most common shingles: in a family of near copies that is the document the
+others came from, which links most of them at once.
 
 Before texts are fetched, a pair is bounded by its class counts (a projection that no distance outgrows): most pairs of
 unrelated documents that share one phrase end there, with a lower bound in place of the distance.
@@ -173,7 +178,11 @@ def bucket_counts(documents: DataFrame) -> np.ndarray:
 
 
 def region_rows(documents: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(region, doc): each document in the regions of its first shingles. Of copies in a task, one goes on."""
+    """(region, doc, n, central): each document in the regions of its first shingles. Of copies in a task, one goes on.
+
+    n is the size of its set, central how common its shingles are on average: in a family of near copies the one that the
+    others were made from has the most common ones, for each edit brings shingles of its own.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +190,7 @@ def region_rows(documents: DataFrame, counts: np.ndarray) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            regions, docs, held = [], [], 0
+            regions, docs, sizes, centrals, held = [], [], [], [], 0
             for row, tokens in sets_of(batch.column(1)):
                 n = len(tokens)
                 if not n or not known[row]:
@@ -201,41 +210,46 @@ def region_rows(documents: DataFrame, counts: np.ndarray) -> DataFrame:
                     order = slice(None)
                 regions.append(tokens[order].astype(np.int64))
                 docs.append(np.full(take, ids[row], np.int64))
+                sizes.append(np.full(take, n, np.int32))
+                centrals.append(np.full(take, int(100 * np.log2(rarity).mean()), np.int32))
                 held += take
                 if held > 1 << 17:
-                    yield pack(regions, docs)
-                    regions, docs, held = [], [], 0
+                    yield pack(regions, docs, sizes, centrals)
+                    regions, docs, sizes, centrals, held = [], [], [], [], 0
             if held:
-                yield pack(regions, docs)
+                yield pack(regions, docs, sizes, centrals)
 
-    def pack(regions, docs):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (regions, docs)], names=["region", "doc"])
+    def pack(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], names=["region", "doc", "n", "central"])
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "region bigint, doc bigint")
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "region bigint, doc bigint, n int, central int")
 
 
 def stars(rows: DataFrame) -> DataFrame:
-    """(region, doc): the spokes of every shingle region with more than one document; region is its pivot document.
+    """(region, n_pivot, doc, n, central): the spokes of every shingle region; region is its pivot document.
 
     The rows of a region come one after the other and are never held together.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, pivot = None, 0
+        last, pivot, pivot_n = None, 0, 0
         for batch in batches:
-            region, doc = (batch.column(k).to_numpy() for k in range(2))
+            region, doc, n, central = (batch.column(k).to_numpy() for k in range(4))
             if not len(region):
                 continue
             new = np.r_[last is None or region[0] != last, region[1:] != region[:-1]]
             at = np.maximum.accumulate(np.where(new, np.arange(len(region)), -1))
-            pivots = np.where(at >= 0, doc[at], pivot)
-            last, pivot = region[-1], pivots[-1]
-            spokes = np.unique(np.stack([pivots, doc], 1)[~new & (doc != pivots)], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(spokes[:, 0]), pa.array(spokes[:, 1])], names=["region", "doc"])
+            pivots, sizes = np.where(at >= 0, doc[at], pivot), np.where(at >= 0, n[at], pivot_n)
+            last, pivot, pivot_n = region[-1], pivots[-1], sizes[-1]
+            spokes = np.stack([pivots, sizes, doc, n, central], 1)[~new & (doc != pivots)]
+            spokes = np.unique(spokes, axis=0)
+            columns = [pa.array(spokes[:, k].astype(t)) for k, t in enumerate((np.int64, np.int32, np.int64, np.int32, np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["region", "n_pivot", "doc", "n", "central"])
 
-    # the pivot is the document of least hash, so that few documents are pivots of many regions
-    ordered = rows.repartition("region").sortWithinPartitions("region", F.xxhash64("doc"), "doc")
-    return ordered.mapInArrow(run, "region bigint, doc bigint")
+    # The most central document is the pivot: the middle of a family links most of it at once, and few documents are
+    # pivots of many regions.
+    ordered = rows.repartition("region").sortWithinPartitions("region", F.desc("central"), F.xxhash64("doc"), "doc")
+    return ordered.mapInArrow(run, "region bigint, n_pivot int, doc bigint, n int, central int")
 
 
 # ---------------------------------------------------------------- exact distances
@@ -325,45 +339,96 @@ def link(documents: DataFrame, members: DataFrame, folder: str, radius: float =
     bodies = written(packed_texts(documents, ids), folder, "bodies")
     classes = members.where("n_shingles > 0 and doc_id is not null")
     classes = classes.select(F.col("doc_id").cast("bigint").alias("doc"), F.col("n_shingles").alias("n"), "classes")
-    found = measured(unordered(stars_, "region", "doc").distinct(), classes, bodies, radius, folder, "measured0")
+    # sets of too different sizes are apart by their sizes alone, before anything is joined
+    fit = sizes_fit(F.col("n_pivot"), F.col("n"), radius)
+    found = measured(unordered(stars_.where(fit), "region", "doc").distinct(), classes, bodies, radius, folder, "measured0")
     links = found.where("linked").select("a", "b")
+    beyond = stars_.where(~fit).withColumn("low", 1 - F.least("n_pivot", "n") / F.greatest("n_pivot", "n"))
+    beyond = beyond.select(F.least("region", "doc").alias("a"), F.greatest("region", "doc").alias("b"), "low", F.lit(1.0).alias("high"), F.lit(False).alias("linked"))
+    found = found.unionByName(beyond.distinct())
+    facts = written(stars_.select("doc", "n", "central").distinct(), folder, "facts")
     # A pair that meets in a shingle's region was measured against one and the same pivot: the region of a pivot from
     # here on is all that was. Far fewer rows than shingle regions, and each pair of documents meets once per pivot.
     # Pivots are done with: they were measured against all.
     regions = with_distance(stars_.withColumn("pivot", F.col("region")), found)
-    regions = written(regions.select("region", "doc", "low", "high", F.lit(False).alias("whole")), folder, "regions0")
+    regions = written(regions.select("region", "doc", "low", "high", F.lit(False).alias("whole"), F.lit(0).alias("place")), folder, "regions0")
     level = 0
     while True:
         labels = components(links, folder, f"labels{level}")
         level += 1
-        members = written(still_open(regions, labels), folder, f"members{level}")
+        members = written(still_open(regions, labels, facts), folder, f"members{level}")
         small, large = members.where(F.col("size") <= SMALL), members.where(F.col("size") > SMALL)
-        pivots = written(new_pivots(large, PIVOTS * 4 ** (level - 1), level), folder, f"pivots{level}")
+        pivots = written(new_pivots(large, level), folder, f"pivots{level}")
         spokes = large.join(pivots, "region").where("doc <> pivot")
         # a region that its pivots do not part has no use of more distances than those that may link
-        apart = (F.col("component") != F.col("pivot_component")) & may_meet("", "pivot_", radius)
+        apart = (F.col("component") != F.col("pivot_component")) & may_meet("", "pivot_", radius) & places_fit("", "pivot_", radius)
         spokes = written(spokes.where(~F.col("whole") | apart).select("region", "doc", "pivot", "whole"), folder, f"spokes{level}")
         pairs = unordered(spokes, "pivot", "doc").unionByName(close_pairs(small, radius)).distinct()
         found = measured(pairs, classes, bodies, radius, folder, f"measured{level}")
         links = written(links.unionByName(found.where("linked").select("a", "b")), folder, f"links{level}")
         if pivots.isEmpty():
             return links
-        left = large.join(pivots.select("region", F.col("pivot").alias("doc")), ["region", "doc"], "left_anti").select("region", "doc", "low", "high", "whole")
+        left = large.join(pivots.select("region", F.col("pivot").alias("doc")), ["region", "doc"], "left_anti")
         cells = written(voronoi(spokes.where("not whole"), found, radius), folder, f"cells{level}")
         # Where most members lie in the windows of most pivots, splitting would only copy the region.
         counts = cells.groupBy("parent").agg(F.count("*").alias("n"), F.countDistinct("doc").alias("docs"))
         parted = written(counts.where("n <= 2 * docs").select("parent"), folder, f"parted{level}")
-        split = cells.join(parted, "parent", "left_semi").select("region", "doc", "low", "high", F.lit(False).alias("whole"))
-        kept = left.join(parted, F.col("region") == F.col("parent"), "left_anti").withColumn("whole", F.lit(True))
-        regions = written(split.unionByName(kept), folder, f"regions{level}")
+        split = cells.join(parted, "parent", "left_semi").select("region", "doc", "low", "high", F.lit(False).alias("whole"), F.lit(0).alias("place"))
+        stuck = written(left.join(parted, F.col("region") == F.col("parent"), "left_anti"), folder, f"stuck{level}")
+        kept = stuck.where("whole").select(*split.columns)
+        again = shingle_regions(stuck.where("not whole").select("region", "doc"), bodies, folder, level)
+        regions = written(split.unionByName(kept).unionByName(again), folder, f"regions{level}")
+
 
+def shingle_regions(members: DataFrame, bodies: DataFrame, folder: str, level: int) -> DataFrame:
+    """Regions dealt out by shingles again: each document to its first ones in the order of their counts in the region.
 
-def new_pivots(large: DataFrame, slots: int, salt: int) -> DataFrame:
-    """Pivots of each region: the member of least hash in each of some hashed slots, so no region is sorted."""
-    slot = F.pmod(F.xxhash64("doc", F.lit(salt)), F.lit(slots))
-    least = F.min(F.struct(F.xxhash64("doc"), "doc", "component", "low", "high")).alias("m")
+    ``place`` is the number of shingles before; low and high say nothing yet. A shingle in one document is no region.
+    """
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, len(batch), 256):
+                part = batch.slice(first, 256)
+                texts = pa.array([zlib.decompress(x).decode() for x in part.column(2).to_pylist()], pa.large_string())
+                sets = [x for _, x in sets_of(texts)]
+                row = pa.array(np.repeat(np.arange(len(part)), [len(x) for x in sets]))
+                shingle = pa.array(np.concatenate(sets).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), shingle], names=["region", "doc", "shingle"])
+
+    held = members.distinct().join(bodies, "doc").select("region", "doc", "body").mapInArrow(tokens, "region bigint, doc bigint, shingle bigint")
+    held = written(held, folder, f"tokens{level}")
+    counts = held.groupBy("region", "shingle").agg(F.count("*").alias("count"))
+    # one document's shingles, so the list is as long as its text
+    listed = held.join(counts, ["region", "shingle"]).groupBy("region", "doc").agg(F.array_sort(F.collect_list(F.struct("count", "shingle"))).alias("order"))
+    take = F.size("order") - F.ceil(F.size("order") * 0.75).cast("int") + 1
+    placed = listed.select("region", "doc", F.posexplode(F.slice("order", F.lit(1), take)).alias("place", "s")).where("s.count > 1")
+    return placed.select(
+        F.xxhash64("region", "s.shingle").alias("region"), "doc", F.lit(0.0).alias("low"), F.lit(1.0).alias("high"), F.lit(True).alias("whole"), "place"
+    )
+
+
+def new_pivots(large: DataFrame, level: int) -> DataFrame:
+    """Pivots of each region: the most central member of each of some hashed slots, so no region is sorted."""
+    slot = F.pmod(F.xxhash64("doc", F.lit(level)), F.lit(PIVOTS * 4 ** (level - 1)))
+    least = F.min(F.struct(-F.col("central"), F.xxhash64("doc"), "doc", "component", "low", "high", "n", "place")).alias("m")
     chosen = large.groupBy("region", slot.alias("slot")).agg(least)
-    return chosen.select("region", F.col("m.doc").alias("pivot"), F.col("m.component").alias("pivot_component"), F.col("m.low").alias("pivot_low"), F.col("m.high").alias("pivot_high"))
+    return chosen.select("region", F.col("m.doc").alias("pivot"), *[F.col(f"m.{x}").alias(f"pivot_{x}") for x in ("component", "low", "high", "n", "place")])
+
+
+def places_fit(x: str, y: str, radius: float) -> Column:
+    """Two members of a shingle's region may be within the radius, by their sizes and by what stands before the shingle.
+
+    If it is the first shingle they share, no more than the rest of each set is common to both.
+    """
+    n, place = (lambda p: F.col(f"{p}n")), (lambda p: F.col(f"{p}place"))
+    common = (1 - radius) / (2 - radius) * (n(x) + n(y)) - 1e-6
+    return sizes_fit(n(x), n(y), radius) & (n(x) - place(x) >= common) & (n(y) - place(y) >= common)
+
+
+def sizes_fit(x: Column, y: Column, radius: float) -> Column:
+    """Sets of these sizes may be within the radius."""
+    return F.least(x, y) >= (1 - radius - 1e-9) * F.greatest(x, y)
 
 
 def may_meet(x: str, y: str, radius: float) -> Column:
@@ -394,9 +459,9 @@ def voronoi(spokes: DataFrame, found: DataFrame, radius: float) -> DataFrame:
     return members.select(F.col("region").alias("parent"), F.xxhash64("region", "pivot").alias("region"), "doc", "low", "high")
 
 
-def still_open(regions: DataFrame, labels: DataFrame) -> DataFrame:
+def still_open(regions: DataFrame, labels: DataFrame, facts: DataFrame) -> DataFrame:
     """Members, their component, and the size of their region, in regions that hold more than one component."""
-    members = regions.join(labels.withColumnsRenamed({"node": "doc"}), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    members = regions.join(facts, "doc").join(labels.withColumnsRenamed({"node": "doc"}), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     size = members.groupBy("region").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
     return members.join(size.where("low < high").select("region", "size"), "region")
 
@@ -408,7 +473,7 @@ def close_pairs(small: DataFrame, radius: float) -> DataFrame:
     """
     x, y = small.alias("x"), small.alias("y")
     apart = (F.col("x.region") == F.col("y.region")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.component") != F.col("y.component"))
-    return x.join(y, apart & may_meet("x.", "y.", radius)).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
+    return x.join(y, apart & may_meet("x.", "y.", radius) & places_fit("x.", "y.", radius)).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
 
 
 def groups(documents: DataFrame) -> DataFrame:

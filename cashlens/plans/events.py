@@ -315,25 +315,6 @@ def refresh_due(spark, sf):
     return T.refresh_due(rows, now).select("company_id", "in_zone", "refresh_days", "refresh_due")
 
 
-def decision_input(runs):
-    """Run rows in the shape of the trigger state machine."""
-    return runs.select(
-        "company_id",
-        "run_at",
-        F.when(c("eri") > 200, F.array(F.lit("PROFIT_WARNING"))).otherwise(F.array().cast("array<string>")).alias("event_codes"),
-        (c("raw_yield") >= 0.04).alias("eligible"),
-        (c("raw_yield") >= 0.04).alias("in_observation_zone"),
-        F.when(c("ssy") >= 0.04, "DIVIDEND_YIELD_TTM").otherwise("COMBINED_SCREEN").alias("trigger_type"),
-        F.lit(False).alias("has_report"),
-    )
-
-
-@query("trigger_decisions")
-def trigger_decisions(spark, sf):
-    rows = T.screening_decisions(decision_input(D.company_runs(spark, sf)))
-    return rows.withColumn("run_at", stamp(c("run_at")))
-
-
 def event_files(spark, sf):
     """The events table as a file stream."""
     schema = D.table(spark, sf, "events").schema

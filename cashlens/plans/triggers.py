@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cashlens.operators import legacy_triggers as L
+from cashlens.operators import triggers as T
 from cashlens.plans import events  # noqa: F401 - its SQL parts
 from cashlens.plans.registry import query
 from cashlens.plans.sqlparts import part, with_parts
@@ -51,6 +52,11 @@ def legacy_runs(spark, sf):
     return L.with_success(runs, done.withColumn("version", version(c("at"))))
 
 
+def successes(spark, sf):
+    done = D.table(spark, sf, "events").where((c("event_type") == "purchase") & (c("value") > 100))
+    return done.select(c("user_id").alias("company_id"), stretched(c("ts").cast("timestamp")).alias("at"), F.lit("1").alias("version"))
+
+
 def late(x: str) -> str:
     return f"TIMESTAMP '{START}' + 12 * ({x} - TIMESTAMP '{START}')"
 
@@ -141,3 +147,45 @@ def legacy_trigger_decisions(spark, sf):
             "reasons": F.array_join("reasons", ","),
         }
     )
+
+
+# ---------------------------------------------------------------- screening decisions
+
+SCREEN_STEP = f"""
+SELECT company_id, rn, at_, CASE WHEN urgent THEN true WHEN eligible THEN eligible ELSE zone END AS zone, CASE WHEN goes THEN at_ ELSE price END AS price, done OR (goes AND first) AS done,
+  urgent OR goes AS fires, CASE WHEN urgent THEN 'URGENT_RISK_REVIEW' WHEN goes THEN 'PRICE_RISK_ANALYSIS' END AS mode, CASE WHEN urgent THEN 'PROFIT_WARNING' WHEN goes AND first THEN 'INITIAL_TRIGGER_BACKLOG' WHEN goes THEN kind END AS trigger_type
+FROM (SELECT *, NOT urgent AND eligible AND CASE WHEN first OR kind IN ('DIVIDEND_YIELD_TTM', 'COMBINED_SCREEN') THEN price IS NULL OR at_ >= price + INTERVAL 7 DAY ELSE coalesce(at_ >= success + INTERVAL 30 DAY, true) END AS goes
+  FROM (SELECT s.*, w.zone, w.price, w.done, s.success IS NULL AND NOT w.done AS first FROM walk w JOIN screen_run s ON s.company_id = w.company_id AND s.rn = w.rn + 1))"""
+
+part(
+    "screen_run",
+    f"""
+SELECT *, (SELECT max(s.t_at) FROM legacy_success s WHERE s.company_id = r.company_id AND s.t_at <= r.at_) AS success, row_number() OVER (PARTITION BY company_id ORDER BY at_) AS rn
+FROM (SELECT company_id, {late('run_at')} AS at_, eri > 200 AS urgent, raw_yield >= 0.04 AS eligible,
+  CASE WHEN list_contains(kinds, 'signup') THEN 'FUNDAMENTAL_CHANGE' WHEN ssy >= 0.04 THEN 'DIVIDEND_YIELD_TTM' ELSE 'COMBINED_SCREEN' END AS kind FROM run) r""",
+    "run",
+    "legacy_success",
+)
+SCREEN_SQL = (
+    "WITH RECURSIVE "
+    + with_parts("screen_run", "")[len("WITH ") :].rstrip()
+    + f""",
+walk AS (
+SELECT DISTINCT company_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS TIMESTAMP) AS at_, false AS zone, CAST(NULL AS TIMESTAMP) AS price, false AS done, false AS fires, CAST(NULL AS VARCHAR) AS mode, CAST(NULL AS VARCHAR) AS trigger_type FROM screen_run
+UNION ALL {SCREEN_STEP})
+SELECT company_id, strftime(at_, '%Y-%m-%d %H:%M:%S.%f') AS run_at, fires, mode, trigger_type, zone AS in_zone FROM walk WHERE rn > 0"""
+)
+
+
+@query("trigger_decisions", SCREEN_SQL)
+def trigger_decisions(spark, sf):
+    runs = D.company_runs(spark, sf).select(
+        "company_id",
+        stretched(c("run_at")).alias("run_at"),
+        F.when(c("eri") > 200, F.array(F.lit("PROFIT_WARNING"))).otherwise(F.array().cast("array<string>")).alias("event_codes"),
+        (c("raw_yield") >= 0.04).alias("eligible"),
+        (c("raw_yield") >= 0.04).alias("in_observation_zone"),
+        F.when(F.array_contains("kinds", "signup"), "FUNDAMENTAL_CHANGE").when(c("ssy") >= 0.04, "DIVIDEND_YIELD_TTM").otherwise("COMBINED_SCREEN").alias("trigger_type"),
+    )
+    rows = T.screening_decisions(L.with_success(runs, successes(spark, sf)))
+    return rows.withColumn("run_at", F.date_format("run_at", STAMP))

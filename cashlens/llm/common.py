@@ -62,6 +62,18 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, value: str, max_row
     return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull())
 
 
+def hashed_sample(rows: DataFrame, key: str, text: str, max_rows: int) -> DataFrame:
+    """(key, text) of the ``max_rows`` keys with the smallest hash; of a key's several texts the first in order.
+
+    Keys are chosen before any text is read, and one text per key is left on every mapper, so neither a task nor the
+    driver holds more texts than the sample has.
+    """
+    known = rows.where(F.col(key).isNotNull() & F.col(text).isNotNull())
+    chosen = known.groupBy(key).agg(F.lit(1).alias("_one")).orderBy(F.xxhash64(key), key).limit(max_rows).select(key)
+    # at most max_rows keys: a proven bound for the broadcast
+    return known.select(key, text).join(F.broadcast(chosen), key, "left_semi").groupBy(key).agg(F.min(text).alias(text))
+
+
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     """Path of a public tokenizer's file; the files are installed beside Python and never copied."""
     import public_tokenizers

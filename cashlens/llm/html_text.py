@@ -26,7 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cashlens.llm.common import hashed_sample
+
 PATHS, WORDS, PATH_DIM, WORD_DIM, HIDDEN = 4096, 2048, 16, 4, 12
+#: Blocks of a chain that is fitted at once.
+CHAIN = 120
 
 # ---------------------------------------------------------------- blocks
 
@@ -351,9 +355,11 @@ def weak_labels(sequence: list[tuple[tuple[str, ...], str]]) -> np.ndarray:
 
 
 def train(pages: DataFrame, max_pages: int = 150, layouts: int = 900) -> Labeller:
-    """Fit on the ``max_pages`` pages with the smallest hash of their id (a bounded sample, on the driver)."""
-    sample = pages.where(F.col("html").isNotNull()).select("page_id", "html")
-    rows = sample.orderBy(F.xxhash64("page_id"), "page_id").limit(max_pages).collect()
+    """Fit on the ``max_pages`` pages with the smallest hash of their id (a bounded sample, on the driver).
+
+    Whole pages are fitted; a longer one than ``CHAIN`` blocks as several chains, one behind the other.
+    """
+    rows = hashed_sample(pages, "page_id", "html", max_pages).orderBy(F.xxhash64("page_id"), "page_id").collect()
     rng = np.random.default_rng(5)
     real = [x for x in (blocks(r["html"]) for r in rows) if x]
     known = [(x, weak_labels(x)) for x in real]
@@ -362,9 +368,10 @@ def train(pages: DataFrame, max_pages: int = 150, layouts: int = 900) -> Labelle
     others = [t for x, ys in known for (_, t), y in zip(x, ys, strict=True) if not y] or ["a b", "c d e"]
     known = [(x, y) for x, y in known if y.any()]
     for _ in range(layouts):
-        known.append(layout(mains[rng.integers(len(mains))][:40], others, rng))
+        known.append(layout(mains[rng.integers(len(mains))], others, rng))
+    chains = [(x[i : i + CHAIN], y[i : i + CHAIN]) for x, y in known for i in range(0, len(x), CHAIN)]
     model = Labeller()
-    model.fit([numbers(x[:120]) for x, _ in known], [y[:120] for _, y in known])
+    model.fit([numbers(x) for x, _ in chains], [y for _, y in chains])
     return model
 
 

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cashlens.llm.common import replace_spans
+from cashlens.llm.common import hashed_sample, replace_spans
 
 # The forms of the contract. Where a run must have a least length, a run of that length matches the same
 # places as matching all runs and dropping the short ones; for assignments the value's length is tested afterwards.
@@ -107,7 +107,7 @@ def training_samples(documents: DataFrame, max_rows: int = 2000) -> DataFrame:
     random: values of secrets in them, and as many digests of numbers in hexadecimal, base 64 and upper case.
     plain: their words outside of secrets, alone and joined into identifiers.
     """
-    chosen = documents.where(F.col("text").isNotNull()).select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    chosen = hashed_sample(documents, "doc_id", "text", max_rows)
     key = F.sha2(F.col("id").cast("string"), 256)
     values = F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(1))
     digests = F.array(key, F.base64(F.unhex(key)), F.substring(F.upper(F.base64(F.unhex(F.reverse(key)))), 1, 24))

@@ -142,14 +142,21 @@ def label_words(rows: np.ndarray, buckets: np.ndarray, toxic: np.ndarray, purity
     return np.flatnonzero(chosen)
 
 
-def training_chains(rows: np.ndarray, truth: np.ndarray, reach: int = 24) -> np.ndarray:
-    """The words that the field is fitted on: those near a labelled one, and the first of every text."""
+def training_chains(rows: np.ndarray, truth: np.ndarray, reach: int = 24, stretch: int = 32, one_in: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """The words that the field is fitted on, and what each counts.
+
+    Words near a labelled one count once. Of all others, wherever they stand in a text, one stretch in ``one_in`` is
+    taken by a hash of its place and counts for that many, so that the whole texts stay what is fitted.
+    """
     near = np.zeros(len(rows) + 1, np.int64)
     at = np.flatnonzero(truth)
     np.add.at(near, np.maximum(at - reach, 0), 1)
     np.add.at(near, np.minimum(at + reach + 1, len(rows)), -1)
-    first = np.searchsorted(rows, rows)
-    return np.flatnonzero((np.cumsum(near)[:-1] > 0) | (np.arange(len(rows)) - first < reach))
+    near = np.cumsum(near)[:-1] > 0
+    with np.errstate(over="ignore"):
+        chosen = mix((np.arange(len(rows)) // stretch).astype(np.uint64)) % np.uint64(one_in) == 0
+    kept = np.flatnonzero(near | chosen)
+    return kept, np.where(near[kept], 1.0, float(one_in))
 
 
 def fit(rows: np.ndarray, buckets: np.ndarray, toxic: np.ndarray, rounds: int = 40, rate: float = 0.5, ridge: float = 1e-4) -> Field:
@@ -162,15 +169,17 @@ def fit(rows: np.ndarray, buckets: np.ndarray, toxic: np.ndarray, rounds: int =
         return field
     every_row, every_word = rows, buckets
     truth = np.isin(buckets, label_words(rows, buckets, toxic)).any(1).astype(np.int64)
-    kept = training_chains(rows, truth)
+    kept, weight = training_chains(rows, truth)
     chain = np.cumsum(np.r_[True, (np.diff(kept) > 1) | (np.diff(rows[kept]) > 0)])
     buckets, truth = buckets[kept], truth[kept]
     inner = chain[1:] == chain[:-1]
     seen_steps, seen_start = np.zeros((2, 2)), np.zeros(2)
-    np.add.at(seen_steps, (truth[:-1][inner], truth[1:][inner]), 1)
-    np.add.at(seen_start, truth[np.r_[True, ~inner]], 1)
+    head = np.r_[True, ~inner]
+    np.add.at(seen_steps, (truth[:-1][inner], truth[1:][inner]), weight[1:][inner])
+    np.add.at(seen_start, truth[head], weight[head])
     flat, width = buckets.ravel(), buckets.shape[1]
-    scale = np.maximum(np.bincount(flat, minlength=BUCKETS), 1) + 1.0
+    scale = np.maximum(np.bincount(flat, weights=np.repeat(weight, width), minlength=BUCKETS), 1) + 1.0
+    within = max(1.0, weight[1:][inner].sum())
     for _ in range(rounds):
         steps = matrices(field, chain, buckets)
         ahead, back = forward_backward(steps)
@@ -179,11 +188,11 @@ def fit(rows: np.ndarray, buckets: np.ndarray, toxic: np.ndarray, rounds: int =
         joint = ahead[:-1, :, None] * steps[1:] * back[1:, None, :]
         joint /= joint.sum((1, 2), keepdims=True)
         # mean residual per feature, so that rare and common words learn alike
-        residual = np.bincount(flat, weights=np.repeat(truth - p, width), minlength=BUCKETS) / scale
+        residual = np.bincount(flat, weights=np.repeat(weight * (truth - p), width), minlength=BUCKETS) / scale
         field.emission += 4 * rate * residual - ridge * field.emission
-        field.steps += 4 * rate * (seen_steps - joint[inner].sum(0)) / max(1, inner.sum())
-        head = np.r_[True, ~inner]
-        field.start += 4 * rate * (seen_start - np.array([(1 - p[head]).sum(), p[head].sum()])) / head.sum()
+        field.steps += 4 * rate * (seen_steps - (weight[1:, None, None] * joint)[inner].sum(0)) / within
+        expected = np.array([(weight * (1 - p))[head].sum(), (weight * p)[head].sum()])
+        field.start += 4 * rate * (seen_start - expected) / weight[head].sum()
         np.clip(field.emission, -12, 12, out=field.emission)
         field.emission[0] = 0
     # evidence of all texts, some texts at a time

@@ -15,8 +15,8 @@ triangle inequality over the pivot, |d(x,p) - d(y,p)| <= r. A larger one takes s
 them against all members, deals each member to its nearest pivot's Voronoi region and replicates it into every region
 with d(x,p') <= d(x,p) + 2r, and recurs; its pivots are done with. Where these windows hold most members of most
 pivots, as with documents that share a passage and little else, shingles are its pivots once more, ordered by their
-counts in the region alone: what only the passage held together falls apart. A region of that second kind that document
-pivots do not part stays whole and takes four times as many at the next level, measured only against members of other
+counts in the region alone: what only the passage held together falls apart. A region of that second kind, or of at most
+BIG members, that document pivots do not part stays whole and takes four times as many at the next level, measured only against members of other
 components that neither the triangle inequality nor their places in the order part. The join is exact and ends, for
 every level takes its pivots out and a level has more of them.
 
@@ -53,6 +53,8 @@ SIZE = 5
 BUCKETS = 1 << 18
 #: Regions of at most this many documents compare pairs directly; larger ones take new pivots.
 SMALL, PIVOTS = 16, 8
+#: Regions beyond this that document pivots do not part are dealt out by shingles again; smaller ones take more pivots.
+BIG = 256
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
@@ -375,8 +377,9 @@ def link(documents: DataFrame, members: DataFrame, folder: str, radius: float =
         parted = written(counts.where("n <= 2 * docs").select("parent"), folder, f"parted{level}")
         split = cells.join(parted, "parent", "left_semi").select("region", "doc", "low", "high", F.lit(False).alias("whole"), F.lit(0).alias("place"))
         stuck = written(left.join(parted, F.col("region") == F.col("parent"), "left_anti"), folder, f"stuck{level}")
-        kept = stuck.where("whole").select(*split.columns)
-        again = shingle_regions(stuck.where("not whole").select("region", "doc"), bodies, folder, level)
+        again = ~F.col("whole") & (F.col("size") > BIG)
+        kept = stuck.where(~again).withColumn("whole", F.lit(True)).select(*split.columns)
+        again = shingle_regions(stuck.where(again).select("region", "doc"), bodies, folder, level)
         regions = written(split.unionByName(kept).unionByName(again), folder, f"regions{level}")
 
 

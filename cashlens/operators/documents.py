@@ -214,7 +214,9 @@ def dividend_evidence(docs: DataFrame) -> DataFrame:
 
     ``docs``: doc_id, company_id, fiscal_year, market, sha256, text.
     """
-    p = pages_of(docs)
+    # a page without any of the terms has no line with them: most pages end here, before they are cut into lines
+    squeezed_page = X.compact(c("page_text"))
+    p = pages_of(docs).where(X.any_of(squeezed_page, X.DIVIDEND_TERMS) & X.any_of(squeezed_page, X.ACTION_TERMS))
     keep = [x for x in docs.columns if x not in ("text", "currency")]
     pairs = F.transform(
         "lines",

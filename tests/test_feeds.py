@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -121,6 +122,64 @@ def test_late_rows_are_counted_apart(spark, tmp_path):
     assert got == [2.0, 3.0, 4.0] and restatement_stream.late_rows(query) == 1
 
 
+class Handle:
+    """A group's state value and timers, with the calls counted."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def listTimers(self):
+        self.calls += 1
+        return iter(sorted(self.timers))
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+class Watermark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_state_calls_do_not_grow_with_identities():
+    """A thousand identities of one group cost as many state calls as one; a passed place leaves the state."""
+    handle, processor = Handle(), restatement_stream.NewestRow(["v"])
+    processor.init(handle)
+
+    def handed(watermark, *batches):
+        frames = [pd.DataFrame(rows, columns=["high", "low", "fetch_us", "ingest_no", "v"]) for rows in batches]
+        return sorted(v for out in processor.handleInputRows((1,), iter(frames), Watermark(watermark)) for v in out["v"])
+
+    many = [(n, -n, 5_000, n, n) for n in range(1000)]
+    assert handed(0, many, [(3, -3, 6_000, 9, 5000), (3, -3, 4_000, 9, 5001)]) == sorted([5000, *(n for n in range(1000) if n != 3)])
+    assert handle.calls == 4 and handle.timers == {7}
+    # older and equal rows stay behind, on equal time the smaller ingest number is newer, other halves of a hash are others
+    assert handed(0, [(4, -4, 4_999, 0, 1), (5, -5, 5_000, 5, 2), (6, -6, 5_000, 5, 3), (7, -8, 1, 1, 4)]) == [3, 4]
+    assert handed(6, [(8, -8, 9_000, 1, 5)]) == [5] and len(handle.value[0]) == 2 * restatement_stream.PLACE.itemsize
+    assert handle.timers == {10}
+
+
 # ---------------------------------------------------------------- the feed
 
 OBSERVED = "event_key string, payload_hash string, observed_at timestamp, batch_seq bigint"

@@ -132,28 +132,49 @@ RECONCILIATION_FIELDS = (
 def required_field_ids(
     years: DataFrame, classes: DataFrame, cash_years: DataFrame, companies: DataFrame, balance_years: DataFrame
 ) -> DataFrame:
-    """All (company_id, field_id) pairs the current calculation needs a source for."""
-    arr = lambda xs: F.array(*[F.lit(x) for x in xs])
-    fy = F.concat(F.lit("FY"), c("fiscal_year").cast("string"), F.lit("."))
-    annual = years.select("company_id", F.explode(F.transform(arr(ANNUAL_FIELDS), lambda f: F.concat(fy, f))).alias("field_id"))
-    sec = c("security_id").cast("string")
-    pairs = F.array(
-        F.concat(F.lit("MARKET."), sec, F.lit(".price")),
-        F.concat(F.lit("MARKET."), sec, F.lit(".fx_to_base")),
-        F.concat(F.lit("SECURITY."), sec, F.lit(".issued_shares")),
-        F.concat(F.lit("SECURITY."), sec, F.lit(".economic_rights_factor")),
+    """All (company_id, field_id) pairs the current calculation needs a source for.
+
+    Years, share classes and companies are made distinct before they unfold to field ids: no two of them share an id,
+    so the many pairs are distinct without a shuffle or a hash table of their own. Without a year or a security the id
+    is null, one for both.
+    """
+    arr = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+
+    def needs(df: DataFrame, scope: str, part: Column, need: Column) -> DataFrame:
+        part = part.cast("string")
+        return df.select("company_id", F.when(part.isNull(), "NONE").otherwise(scope).alias("_scope"), part.alias("_part"), need.alias("_need"))
+
+    year, kind = c("fiscal_year"), c("industry_kind")
+    flows = cash_years.join(companies.where(kind == "NON_FINANCIAL").select("company_id"), "company_id", "left_semi")
+    every = (
+        needs(years, "FY", year, F.lit("annual"))
+        .unionByName(needs(classes.where(F.coalesce(c("material"), F.lit(True))), "SECURITY", c("security_id"), F.lit("market")))
+        .unionByName(needs(flows, "FY", year, F.lit("flows")))
+        .unionByName(needs(companies, "COMPANY", F.lit(""), F.when(kind == "BANK", "bank").when(kind == "INSURANCE", "insurance").otherwise("fixed")))
+        .unionByName(needs(balance_years, "FY", year, F.lit("debt")))
+    )
+    needed = lambda name: F.max(c("_need") == name).alias(name)
+    scopes = every.groupBy("company_id", "_scope", "_part").agg(*map(needed, ("annual", "flows", "debt", "bank", "insurance")))
+    fields = lambda name, xs: F.when(c(name), arr(xs)).otherwise(arr([]))
+    of_year = F.concat(fields("annual", ANNUAL_FIELDS), fields("flows", CASH_FLOW_FIELDS), fields("debt", ["net_debt"]))
+    of_security = F.array(
+        F.concat(F.lit("MARKET."), c("_part"), F.lit(".price")),
+        F.concat(F.lit("MARKET."), c("_part"), F.lit(".fx_to_base")),
+        F.concat(F.lit("SECURITY."), c("_part"), F.lit(".issued_shares")),
+        F.concat(F.lit("SECURITY."), c("_part"), F.lit(".economic_rights_factor")),
+    )
+    of_company = F.concat(
+        fields("bank", [f"CURRENT.{f}" for f in BANK_FIELDS]),
+        fields("insurance", [f"CURRENT.{f}" for f in INSURANCE_FIELDS]),
+        arr(["VALUATION.current", "VALUATION.historical_median", *[f"RECONCILIATION.{f}" for f in RECONCILIATION_FIELDS]]),
     )
-    market = classes.where(F.coalesce(c("material"), F.lit(True))).select("company_id", F.explode(pairs).alias("field_id"))
-    flows = cash_years.join(companies.where(c("industry_kind") == "NON_FINANCIAL").select("company_id"), "company_id", "left_semi").select(
-        "company_id", F.explode(F.transform(arr(CASH_FLOW_FIELDS), lambda f: F.concat(fy, f))).alias("field_id")
+    ids = (
+        F.when(c("_scope") == "FY", F.transform(of_year, lambda f: F.concat(F.lit("FY"), c("_part"), F.lit("."), f)))
+        .when(c("_scope") == "SECURITY", of_security)
+        .when(c("_scope") == "COMPANY", of_company)
+        .otherwise(F.array(F.lit(None).cast("string")))
     )
-    current = F.when(c("industry_kind") == "BANK", arr([f"CURRENT.{f}" for f in BANK_FIELDS])).when(
-        c("industry_kind") == "INSURANCE", arr([f"CURRENT.{f}" for f in INSURANCE_FIELDS])
-    ).otherwise(F.array().cast("array<string>"))
-    fixed = arr(["VALUATION.current", "VALUATION.historical_median", *[f"RECONCILIATION.{f}" for f in RECONCILIATION_FIELDS]])
-    company = companies.select("company_id", F.explode(F.concat(current, fixed)).alias("field_id"))
-    debt = balance_years.select("company_id", F.concat(fy, F.lit("net_debt")).alias("field_id"))
-    return annual.unionByName(market).unionByName(flows).unionByName(company).unionByName(debt).distinct()
+    return scopes.select("company_id", F.explode(ids).alias("field_id"))
 
 
 def accounting_identities(df: DataFrame) -> DataFrame:

@@ -285,3 +285,24 @@ def test_text_candidates_against_the_prior_report(spark):
     )
     want = {"a": "VALID", "b": "KNOWN_ZERO", "c": "CONFLICT", "d": "CONFLICT", "e": "REVIEW_REQUIRED", "f": "REVIEW_REQUIRED", "g": "CONFLICT", None: "VALID", "none": "REVIEW_REQUIRED"}
     assert {r.f: r.status for r in got.collect()} == want
+
+
+def test_required_fields_of_doubled_and_empty_keys(spark):
+    """Repeated years, classes and companies and empty keys; the ids are distinct and no aggregate holds them."""
+    from cashlens.operators import quality as Q
+
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    years = frame([(1, 2020), (1, 2020), (1, None), (2, 2021), (None, 2020)], "company_id bigint, fiscal_year int")
+    classes = frame([(1, 7, True), (1, 7, None), (1, None, True), (2, 8, False)], "company_id bigint, security_id bigint, material boolean")
+    kinds = [(1, "NON_FINANCIAL"), (1, "BANK"), (2, "INSURANCE"), (3, None)]
+    need = Q.required_field_ids(years, classes, years, frame(kinds, "company_id bigint, industry_kind string"), years.limit(1))
+    want = {(k, None if y is None else f"FY{y}.{f}") for k, y in {(1, 2020), (1, None), (2, 2021), (None, 2020)} for f in Q.ANNUAL_FIELDS}
+    want |= {(1, f"FY2020.{f}") for f in (*Q.CASH_FLOW_FIELDS, "net_debt")}
+    want |= {(1, f) for f in ("MARKET.7.price", "MARKET.7.fx_to_base", "SECURITY.7.issued_shares", "SECURITY.7.economic_rights_factor")}
+    want |= {(1, f"CURRENT.{f}") for f in Q.BANK_FIELDS} | {(2, f"CURRENT.{f}") for f in Q.INSURANCE_FIELDS}
+    fixed = ["VALUATION.current", "VALUATION.historical_median", *[f"RECONCILIATION.{f}" for f in Q.RECONCILIATION_FIELDS]]
+    want |= {(k, f) for k in (1, 2, 3) for f in fixed}
+    got = [tuple(r) for r in need.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    plan = need._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate" in line and "field_id" in line]

@@ -194,9 +194,9 @@ def any_of(c: Column, terms: Sequence[str]) -> Column:
 
 def amount(token: Column) -> Column:
     """Decimal of a number token: separators dropped, brackets or a minus sign make it negative."""
-    plain = F.regexp_replace(F.translate(F.trim(token), "−（）", "-()"), ",", "")
+    plain = F.translate(F.trim(token), "−（）,", "-()")  # a character without a counterpart is dropped
     bracketed = plain.startswith("(") & plain.endswith(")")
-    digits = F.regexp_replace(plain, r"[() ]", "").try_cast(WIDE)
+    digits = F.translate(plain, "() ", "").try_cast(WIDE)
     return F.when(bracketed, -digits).otherwise(digits)
 
 
@@ -280,10 +280,10 @@ def ascii_digits(c: Column) -> Column:
     return F.translate(c, CJK_DIGITS, CJK_DIGITS_ASCII)
 
 
-def years_mentioned(c: Column) -> Column:
-    """Distinct years of this century in a text, in digits or CJK numerals."""
+def years_mentioned(c: Column, flat: Column | None = None) -> Column:
+    """Distinct years of this century in a text, in digits or CJK numerals; ``flat``: the text made compact, if there is one."""
     plain = F.regexp_extract_all(c, F.lit(r"(?<!\d)(20\d{2})(?!\d)"), 1)
-    cjk = F.transform(F.regexp_extract_all(compact(c), F.lit("([二〇零一三四五六七八九]{4})"), 1), ascii_digits)
+    cjk = F.transform(F.regexp_extract_all(compact(c) if flat is None else flat, F.lit("([二〇零一三四五六七八九]{4})"), 1), ascii_digits)
     return F.array_distinct(F.concat(plain, F.filter(cjk, lambda y: y.startswith("20"))))
 
 

@@ -27,15 +27,19 @@ def page_lines(page: Column) -> Column:
     )
 
 
-def pages_of(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per page with its number, lines and global line offset; a map-side explode."""
-    pages = F.split(c(text), "\f")
-    staged = docs.withColumn("_pages", pages).withColumn("_sizes", F.transform("_pages", lambda p: F.size(page_lines(p))))
-    offsets = F.transform(
+def pages_of(docs: DataFrame, text: str = "text", offsets: bool = True) -> DataFrame:
+    """One row per page with its number, lines and, with ``offsets``, global line offset; a map-side explode."""
+    keep = [x for x in docs.columns if x != text]
+    staged = docs.withColumn("_pages", F.split(c(text), "\f"))
+    if not offsets:
+        return staged.select(*keep, F.posexplode("_pages").alias("i", "page_text")).select(
+            *keep, (c("i") + 1).alias("page"), "page_text", page_lines(c("page_text")).alias("lines")
+        )
+    staged = staged.withColumn("_sizes", F.transform("_pages", lambda p: F.size(page_lines(p))))
+    starts = F.transform(
         "_sizes", lambda _, i: F.aggregate(F.slice(c("_sizes"), F.lit(1), i), F.lit(0), lambda a, x: a + x + 1)
     )
-    keep = [x for x in docs.columns if x != text]
-    return staged.select(*keep, F.posexplode(F.arrays_zip(c("_pages").alias("p"), offsets.alias("o"))).alias("i", "z")).select(
+    return staged.select(*keep, F.posexplode(F.arrays_zip(c("_pages").alias("p"), starts.alias("o"))).alias("i", "z")).select(
         *keep, (c("i") + 1).alias("page"), c("z.p").alias("page_text"), page_lines(c("z.p")).alias("lines"), c("z.o").alias("line_offset")
     )
 
@@ -408,43 +412,53 @@ def issued_lines(lines: Column, back: int = LOOK_BACK) -> Column:
 def share_balance_rows(docs: DataFrame) -> DataFrame:
     """Opening, closing and cancelled shares of a Hong Kong share-capital note.
 
-    ``docs``: doc_id, fiscal_year, text and keys.  Pages are picked and matching lines exploded on the
-    map side; only those few lines are aggregated per document.
+    ``docs``: doc_id, fiscal_year, text and keys.  Pages are picked and, of the lines under an issued heading, those with
+    an opening, closing or cancellation term exploded on the map side; only those few lines are parsed and aggregated per
+    document.  What several rules read is a column of its own select, so it is computed once per line.
     """
     keep = [x for x in docs.columns if x != "text"]
     squeezed = F.regexp_replace("page_text", r"\s+", "")
     heading = F.exists("lines", lambda x: x.rlike(r"^\s*\d+(?:\.\d+)?[.、]?\s*(?:發\s*行\s*)?股\s*本"))
     capital = X.any_of(squeezed, X.ISSUED_LABELS) & (heading | X.any_of(squeezed, X.CAPITAL_CHANGE_TERMS))
-    pages = pages_of(docs).where(capital)
-    zipped = F.filter(
+    pages = pages_of(docs, offsets=False).where(capital).select(
+        *keep, "lines", X.share_multiplier(c("page_text")).alias("mult"), X.any_of(squeezed, X.CANCEL_PHRASES).alias("explicit")
+    )
+    issued = F.filter(
         F.transform(
             F.arrays_zip(c("lines").alias("x"), issued_lines(c("lines")).alias("on")),
-            lambda z, j: F.struct(
-                (j + 1).alias("page_line"),
-                z["x"].alias("line"),
-                F.concat_ws(" ", F.trim(z["x"]), F.trim(F.get(c("lines"), j + 1))).alias("both"),
-                F.concat_ws(" ", F.slice(c("lines"), F.greatest(j - 4, F.lit(1)), F.least(j + 1, F.lit(6)))).alias("before"),
-                z["on"].alias("on"),
-            ),
+            lambda z, j: F.struct(j.alias("j"), F.when(z["on"], X.compact(z["x"])).alias("flat_line")),
         ),
-        lambda z: z["on"],
+        lambda z: X.any_of(z["flat_line"], (*X.OPENING_TERMS, *X.CLOSING_TERMS, *X.CANCEL_LABELS)),
     )
-    hits = pages.select(
-        *keep,
-        "page",
-        X.share_multiplier(c("page_text")).alias("mult"),
-        X.any_of(squeezed, X.CANCEL_PHRASES).alias("explicit"),
-        F.explode(zipped).alias("z"),
-    ).select(*keep, "page", "mult", "explicit", "z.*")
+    line_at = lambda j: F.get(c("lines"), j)
+    told = F.transform(
+        issued,
+        lambda z: F.struct(
+            line_at(z["j"]).alias("line"),
+            z["flat_line"].alias("flat_line"),
+            F.concat_ws(" ", F.trim(line_at(z["j"])), F.trim(line_at(z["j"] + 1))).alias("both"),
+            F.concat_ws(" ", F.slice(c("lines"), F.greatest(z["j"] - 4, F.lit(1)), F.least(z["j"] + 1, F.lit(6)))).alias("before"),
+        ),
+    )
+    hits = pages.select(*keep, "mult", "explicit", F.explode(told).alias("z")).select(*keep, "mult", "explicit", "z.*")
+    flat = hits.withColumns({"flat": X.compact(c("both")), "starts": X.any_of(c("flat_line"), X.OPENING_TERMS)})
     year = c("fiscal_year").cast("string")
-    line, both = X.compact(c("line")), X.compact(c("both"))
-    mentioned = X.years_mentioned(c("both"))
-    in_scope = (F.size(mentioned) == 0) | F.array_contains(mentioned, year)
-    digits = X.ascii_digits(both)
-    december = F.contains(digits, F.concat(year, F.lit("年十2月3十1日"))) | F.contains(digits, F.concat(year, F.lit("年12月31日")))
-    starts = X.any_of(line, X.OPENING_TERMS)
-    ends = X.any_of(line, X.CLOSING_TERMS) & ((F.size(mentioned) == 0) | december)
-    spans = starts & december & both.rlike("[至及]")
+    digits = X.ascii_digits(c("flat"))
+    read = flat.withColumns(
+        {
+            "mentioned": X.years_mentioned(c("both"), c("flat")),
+            "december": F.contains(digits, F.concat(year, F.lit("年十2月3十1日"))) | F.contains(digits, F.concat(year, F.lit("年12月31日"))),
+            "before": F.when(c("explicit") & X.any_of(c("flat_line"), X.CANCEL_LABELS), X.years_mentioned(c("before"))),
+        }
+    )
+    unnamed = F.size("mentioned") == 0
+    scoped = read.withColumns(
+        {
+            "in_scope": unnamed | F.array_contains("mentioned", year),
+            "ends": (X.any_of(c("flat_line"), X.CLOSING_TERMS) & (unnamed | c("december"))) | (c("starts") & c("december") & c("flat").rlike("[至及]")),
+            "cancels": c("before").isNotNull() & ((F.size("before") == 0) | F.array_contains("before", year)),
+        }
+    )
     undated = F.regexp_replace("both", X.DATE_PATTERN, " ")
     whole = lambda t: F.filter(F.transform(X.amount_tokens(t), X.amount), lambda v: v == F.floor(v))
     minimum = F.when(c("mult") > 1, 1_000).otherwise(100_000)
@@ -452,14 +466,12 @@ def share_balance_rows(docs: DataFrame) -> DataFrame:
         whole(undated), lambda v: (v >= minimum) & (v != c("fiscal_year")) & (v != c("fiscal_year") - 1)
     )
     negative = F.filter(whole(c("line")), lambda v: v < 0)
-    before = X.years_mentioned(c("before"))
-    cancels = c("explicit") & X.any_of(line, X.CANCEL_LABELS) & ((F.size(before) == 0) | F.array_contains(before, year))
-    rows = hits.select(
+    rows = scoped.select(
         *keep,
-        F.when(in_scope, (F.get(sized, F.lit(0)) * c("mult")).cast("bigint")).alias("value"),
-        starts.alias("starts"),
-        (ends | spans).alias("ends"),
-        F.when(in_scope & cancels, (-F.get(negative, F.lit(0)) * c("mult")).cast("bigint")).alias("cancelled"),
+        F.when(c("in_scope") & (c("starts") | c("ends")), (F.get(sized, F.lit(0)) * c("mult")).cast("bigint")).alias("value"),
+        "starts",
+        "ends",
+        F.when(c("in_scope") & c("cancels"), (-F.get(negative, F.lit(0)) * c("mult")).cast("bigint")).alias("cancelled"),
     )
     opening, closing = F.when(c("starts"), c("value")), F.when(c("ends"), c("value"))
     g = rows.groupBy(*keep).agg(

@@ -169,6 +169,22 @@ def test_share_note(spark):
     assert DOC.share_balance_rows(docs(spark, "nothing")).first().cancel_status == "MISSING"
 
 
+def test_share_note_lines_are_parsed_once(spark):
+    """Only lines with a term are parsed, each rule's input once; a line without a term, another page and no year change nothing."""
+    other = "附註\n已發行及繳足\n於二〇二四年一月一日 9,500,000"
+    text = NOTE.replace("\n回購", "\n其他 2,000,000\n回購") + "\f" + other
+    noted = docs(spark, text, market="HK")
+    found = DOC.share_balance_rows(noted)
+    r = found.first()
+    assert (r.opening_issued_shares, r.closing_issued_shares, r.cancelled_shares_candidate) == (1500000, 1000000, 500000)
+    twice = DOC.share_balance_rows(docs(spark, NOTE + "\f" + NOTE, market="HK")).first()
+    assert (twice.opening_issued_shares, twice.status, twice.cancel_status) == (None, "CONFLICT", "CONFLICT")
+    unknown = DOC.share_balance_rows(noted.withColumn("fiscal_year", F.lit(None).cast("int"))).first()
+    assert (unknown.opening_issued_shares, unknown.closing_issued_shares, unknown.cancel_status) == (None, None, "MISSING")
+    # the years of a line and of the lines before it
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("二〇零一三四五六七八九]{4}") == 2
+
+
 def test_line_numbers(spark):
     rows = DOC.lines_of(docs(spark, "a\nb\n\fc").select("doc_id", "text")).orderBy("text_line").collect()
     assert [(r.page, r.page_line, r.text_line, r.line) for r in rows] == [(1, 1, 1, "a"), (1, 2, 2, "b"), (2, 1, 4, "c")]

@@ -122,16 +122,17 @@ def label_words(rows: np.ndarray, buckets: np.ndarray, toxic: np.ndarray, purity
     three = mix(word[:-2] * U64(BUCKETS) ** U64(2) + word[1:-1] * U64(BUCKETS) + word[2:]) >> U64(1)
     np.minimum.at(head, rows[2:], three.astype(np.int64))
     group = np.unique(np.stack([head, toxic], 1), axis=0, return_inverse=True)[1].ravel()
-    parts = [np.zeros(0, np.int64)]
-    for first in range(0, len(rows), 1 << 18):
-        part = slice(first, first + (1 << 18))
-        parts.append(np.unique((group[rows[part]].astype(np.int64)[:, None] * BUCKETS + buckets[part]).ravel()))
-    pairs = np.unique(np.concatenate(parts))
-    owner, word = pairs // BUCKETS, pairs % BUCKETS
     bad = np.zeros(group.max() + 1, bool)
     bad[group[toxic]] = True
-    bad_count = np.bincount(word[bad[owner]], minlength=BUCKETS)
-    count = np.bincount(word, minlength=BUCKETS)
+    # one group's features at a time: nothing as large as all words is held beside the words
+    bad_count, count = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    first = np.searchsorted(rows, np.arange(len(toxic) + 1))
+    members = np.argsort(group, kind="stable")
+    for texts in np.split(members, np.flatnonzero(np.diff(group[members])) + 1):
+        word = np.unique(np.concatenate([buckets[first[k] : first[k + 1]].ravel() for k in texts]))
+        count[word] += 1
+        if bad[group[texts[0]]]:
+            bad_count[word] += 1
     # beyond chance: the likelihood ratio against the share of toxic groups, for as many words as could be tested
     base, share = min(max(bad.mean(), 1e-6), 1 - 1e-6), bad_count / np.maximum(count, 1)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -168,7 +169,11 @@ def fit(rows: np.ndarray, buckets: np.ndarray, toxic: np.ndarray, rounds: int =
         field.start[:, 1] = field.steps[:, 1] = -30.0  # nothing is toxic
         return field
     every_row, every_word = rows, buckets
-    truth = np.isin(buckets, label_words(rows, buckets, toxic)).any(1).astype(np.int64)
+    labelled = np.zeros(BUCKETS, bool)
+    labelled[label_words(rows, buckets, toxic)] = True
+    truth = np.zeros(len(buckets), np.int64)
+    for k in range(buckets.shape[1]):
+        truth |= labelled[buckets[:, k]]
     kept, weight = training_chains(rows, truth)
     chain = np.cumsum(np.r_[True, (np.diff(kept) > 1) | (np.diff(rows[kept]) > 0)])
     buckets, truth = buckets[kept], truth[kept]
@@ -234,14 +239,17 @@ def document_score(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 def train(documents: DataFrame, labels: DataFrame, max_rows: int = 3000) -> Field:
     """Fit on up to ``max_rows`` labelled documents outside the held-out fold (a bounded sample, on the driver)."""
-    rows_ = labelled_sample(documents, labels, "toxic", max_rows).select("text", "value").toPandas()
-    toxic = (rows_["value"].to_numpy() > 0) if len(rows_) else np.zeros(0, bool)
-    rows, buckets = [np.zeros(0, np.int64)], [np.zeros((0, 1 + len(BEGINNINGS)), np.int64)]
-    for first, _, raw, at in text_slices(pa.array(rows_["text"].tolist(), pa.large_string())):
+    sample = labelled_sample(documents, labels, "toxic", max_rows).select("text", "value").toArrow()
+    toxic = sample["value"].to_numpy() > 0 if len(sample) else np.zeros(0, bool)
+    rows, buckets = [np.zeros(0, np.int32)], [np.zeros((0, 1 + len(BEGINNINGS)), np.int32)]
+    for first, _, raw, at in text_slices(sample["text"]):
         own, _, _, numbers = words_of(raw, at)
-        rows.append(own + first)
+        rows.append((own + first).astype(np.int32))
         buckets.append(numbers)
-    return fit(np.concatenate(rows), np.concatenate(buckets), toxic)
+    del sample
+    every_row, every_word = np.concatenate(rows), np.concatenate(buckets)
+    rows.clear(), buckets.clear()
+    return fit(every_row, every_word, toxic)
 
 
 # ---------------------------------------------------------------- scoring

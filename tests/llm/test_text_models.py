@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -92,6 +93,20 @@ def test_toxicity_spans_and_edges(field, documents):
     assert rows[3]["score"] == rows[5]["score"] and rows[None]["toxic_spans"]
 
 
+def test_labelled_words_beside_the_words():
+    """Choosing the labelled words takes little memory beside the words, and gives the words of several toxic texts."""
+    rng = np.random.default_rng(5)
+    rows = np.repeat(np.arange(600, dtype=np.int32), 500)
+    buckets = rng.integers(1000, toxicity.BUCKETS, (len(rows), 6), dtype=np.int32)
+    toxic = np.arange(601) % 4 == 0  # the last text has no words
+    buckets[np.arange(len(rows)) % 500 == 7, 0] = np.where(toxic[:600], 77, 78)
+    tracemalloc.start()
+    chosen = toxicity.label_words(rows, buckets, toxic)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert chosen.tolist() == [77] and peak < 4 * buckets.nbytes
+
+
 def test_toxicity_without_labels_or_rows(documents, labels):
     model = toxicity.train(documents(["a b"]), labels([]))
     assert toxicity.score(documents(["snarkel " * 9]), model).first()["score"] < 0.5

@@ -1,7 +1,8 @@
 """BPE encoding and decoding with a public vocabulary; each word is merged with a segment tree over its pair ranks.
 
 The leaves hold the rank of each pair of neighbouring symbols, with its place, so the root gives the leftmost pair
-of the lowest rank. A merge changes three leaves and their ancestors; it goes on until no pair has a rank.
+of the lowest rank. A merge changes three leaves and their ancestors; it goes on until no pair has a rank. A node has
+16 children, whose least is taken at once, so words of usual length have one node above their leaves.
 
 The text is prepared as the vocabulary file states: special tokens are cut out first; then NFC, white space to
 spaces, lower case per character, words by the file's pattern, and bytes as printable characters. All of this is
@@ -15,6 +16,7 @@ extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -24,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 
 NONE = 1 << 62
+#: Children of a node of the segment tree: the least of so many costs little more than the least of two.
+FAN = 16
 #: Number of tokens, ids as text, decoded text, ids.
 Found = tuple[int, str, str, list[int]]
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -33,54 +37,51 @@ def merge_word(symbols: list[int], ranks: dict[int, int], merged: list[int]) ->
     """Merge a word's symbol numbers: again and again the leftmost pair of the lowest rank.
 
     ``ranks`` has the rank of a pair under first << 20 | second, ``merged`` the symbol that each rank makes.
-    ``nodes`` is the segment tree: leaf i holds rank * size + i for the pair that begins at symbol i.
+    ``levels`` is the segment tree, leaves first: leaf i holds rank * n + i for the pair that begins at symbol i, and a
+    node is the least of its FAN children. A word of at most FAN pairs has its root right above the leaves.
     """
     n = len(symbols)
     if n < 2:
         return symbols
     symbols = list(symbols)
-    size = 1 << max(0, (n - 2).bit_length())
     rank = ranks.get
-    nodes = [NONE] * (2 * size)
+    leaves = [NONE] * (n - 1)
     for i in range(n - 1):
         if (r := rank(symbols[i] << 20 | symbols[i + 1])) is not None:
-            nodes[size + i] = r * size + i
-    for i in range(size - 1, 0, -1):
-        a, b = nodes[2 * i], nodes[2 * i + 1]
-        nodes[i] = a if a < b else b
+            leaves[i] = r * n + i
+    levels = [leaves]
+    while len(levels[-1]) > FAN:
+        below = levels[-1]
+        levels.append([min(below[i : i + FAN]) for i in range(0, len(below), FAN)])
+    top, tall = levels[-1], len(levels) > 1
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    while (root := nodes[1]) != NONE:
-        r, i = divmod(root, size)
+    while (root := min(top)) != NONE:
+        r, i = divmod(root, n)
         symbols[i] = made = merged[r]
         j = after[i]
         symbols[j] = -1
         after[i] = k = after[j]
-        nodes[size + i] = NONE
+        leaves[i] = NONE
         touched = i
         if k < n:
             before[k] = i
-            nodes[size + j] = NONE
+            leaves[j] = NONE
             touched = j
             if (r := rank(made << 20 | symbols[k])) is not None:
-                nodes[size + i] = r * size + i
+                leaves[i] = r * n + i
         p = before[i]
         if p >= 0:
             r = rank(symbols[p] << 20 | made)
-            nodes[size + p] = NONE if r is None else r * size + p
+            leaves[p] = NONE if r is None else r * n + p
         else:
             p = i
-        # the changed leaves lie between p and touched: renew their ancestors level by level
-        low, high, middle = size + p, size + touched, size + i
-        while low > 1:
-            low, high, middle = low >> 1, high >> 1, middle >> 1
-            x, y = nodes[2 * low], nodes[2 * low + 1]
-            nodes[low] = x if x < y else y
-            if high != low:
-                x, y = nodes[2 * high], nodes[2 * high + 1]
-                nodes[high] = x if x < y else y
-                if middle != low and middle != high:
-                    x, y = nodes[2 * middle], nodes[2 * middle + 1]
-                    nodes[middle] = x if x < y else y
+        if tall:
+            # the changed leaves are p, i and touched: renew their ancestors level by level
+            changed = {p, i, touched}
+            for below, above in itertools.pairwise(levels):
+                changed = {x // FAN for x in changed}
+                for x in changed:
+                    above[x] = min(below[x * FAN : x * FAN + FAN])
     return [s for s in symbols if s >= 0]
 
 
@@ -104,6 +105,7 @@ class Encoder:
         self.ranks = {symbol(a) << 20 | symbol(b): i for i, (a, b) in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.tokens = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
+        self.numbers = {i: str(i) for i in self.tokens}
         split = next(p for p in file["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"].replace("\\s", SPACE)).findall
         names = sorted(self.special, key=len, reverse=True)
@@ -120,7 +122,7 @@ class Encoder:
         symbols = [self.inner[b] for b in data]
         symbols[-1] = self.last[data[-1]]
         ids = merge_word(symbols, self.ranks, self.merged)
-        found = len(ids), " ".join(map(str, ids)), self.decode(ids), ids
+        found = len(ids), " ".join([self.numbers[i] for i in ids]), self.decode(ids), ids
         if len(word) <= 64:
             if len(self.words_done) >= self.memory_words:
                 self.words_done.clear()
@@ -165,7 +167,7 @@ class Encoder:
 
     def decode(self, ids: list[int]) -> str:
         """Without a decoder in the file, tokens are joined by a space."""
-        return " ".join(self.tokens[i] for i in ids)
+        return " ".join([self.tokens[i] for i in ids])
 
 
 def digest(text: str) -> str:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 import re
+import sys
 
 import numpy as np
 import pytest
@@ -304,3 +306,43 @@ def test_bounded_memory_gives_the_same():
     for _ in range(2):
         assert [x[3] for x in small.encode(text)] == [x[3] for x in large.encode(text)]
     assert len(small.memory) <= 2 and len(small.words_done) <= 2
+
+
+def test_words_of_usual_length_have_one_node_above_their_leaves():
+    """Steps of merging twelve symbols into one: a binary tree renews four levels of nodes per merge."""
+    ranks, merged = {}, []
+    for i in range(11):
+        ranks[(i and 99 + i) << 20 | i + 1] = i
+        merged.append(100 + i)
+    steps = 0
+
+    def trace(frame, event, arg):
+        nonlocal steps
+        steps += event == "line"
+        return trace
+
+    before = sys.gettrace()
+    sys.settrace(trace)
+    try:
+        made = bpe.merge_word(list(range(12)), ranks, merged)
+    finally:
+        sys.settrace(before)
+    assert made == [110]
+    assert steps < 400
+
+
+def test_long_words_merge_as_without_a_tree():
+    rng = random.Random(8)
+    ranks, merged = {}, []
+    for a in range(6):
+        for b in range(6):
+            if rng.random() < 0.7:
+                ranks[a << 20 | b] = len(merged)
+                merged.append(rng.randrange(12))
+    for n in (2, 16, 17, 18, 256, 257, 258, 700):
+        word = [rng.randrange(6) for _ in range(n)]
+        want = list(word)
+        while found := [(ranks[p], i) for i, p in enumerate(a << 20 | b for a, b in zip(want, want[1:], strict=False)) if p in ranks]:
+            r, i = min(found)
+            want[i : i + 2] = [merged[r]]
+        assert bpe.merge_word(word, ranks, merged) == want

@@ -6,8 +6,9 @@ before it is a multiple of ``CHUNK``, so an edit moves the cuts beside it only.
 digests. Each digest falls into one cell of each of three tables; a cell holds the number, the xor of the digests and
 the xor of their check values. Two sketches subtract cell by cell, and peeling takes out cells that hold one digest
 until nothing is left: the digests that differ. Where the base sketch is too small for the difference, it is sketched
-again larger: in blocks of digests, as many as the two texts' sizes ask for, then twice and four times as many. The
-work is linear in blocks times paragraphs; every step is an expression over one row, so nothing is grouped by text.
+again larger: in blocks of digests, as many as the two texts' sizes ask for, and a block that does not peel with four
+and sixteen times the cells. Dealing out digests takes the root of the number of blocks per digest, all else is linear in
+them; every step is an expression over one row, so nothing is grouped by text.
 
 The likeness of two sketches is the share of digests in both: common / (common + differing).
 
@@ -25,10 +26,14 @@ from pyspark.sql import functions as F
 
 from cashlens.llm.common import scratch_dir, written
 
-#: Cells per table: of the base sketch (the fingerprint), and of a block of a larger one.
-BASE, BLOCK = 16, 16
-#: Expected digests per block; a block's three tables of 16 cells peel well beyond it.
-BLOCK_LOAD = 16
+#: Cells per table: of the base sketch (the fingerprint), and of a block of a larger one. A digest is held against each
+#: cell of its block, so blocks are small.
+BASE, BLOCK = 16, 8
+#: Expected digests per block; a block's three tables of 8 cells peel well beyond it.
+BLOCK_LOAD = 8
+#: Cells per table that a block gets in turn, until it peels.
+WIDTHS = (BLOCK, 4 * BLOCK, 16 * BLOCK)
+CELLS = "array<struct<n:int,h:bigint,k:int>>"
 PARAGRAPH = r"\n+|(?<=[.!?|*])\x20+"
 #: A longer paragraph is cut by its content, behind one in CHUNK of its TOKENs: words, and single characters far from a blank.
 LONG, CHUNK = 1000, 16
@@ -78,23 +83,19 @@ def paragraphs(text: str) -> Column:
     )
 
 
-def fold(units: str, start: str, width: int, sign: str, number: str) -> str:
-    """SQL: ``start`` (three tables of ``width`` cells) with every unit added (+) or taken out (-), in one pass.
+def cells(units: str, width: int, number: str = "1") -> str:
+    """SQL: the three tables of ``width`` cells (n, h, k) one after the other. ``number`` is the unit's n.
 
-    A unit replaces one cell of each table; the cells between are copied as they are. ``number`` is the unit's n.
+    Each cell adds up the units that fall into it. To put unit after unit into a copy of all cells costs ten times as much.
     """
-    u, a, e = _v("u"), _v("a"), _v("e")
-    placed = f"""transform({units}, {u} -> named_struct('n', {number.format(u=u)}, 'h', {u}.h, 'k', {u}.k,
-        'p', pmod({u}.x[0], {width}), 'q', pmod({u}.x[1], {width}) + {width}, 'r', pmod({u}.x[2], {width}) + {2 * width}))"""
-    cell = lambda at: f"array(named_struct('n', {a}[{at}].n {sign} {e}.n, 'h', {a}[{at}].h ^ {e}.h, 'k', {a}[{at}].k ^ {e}.k))"
-    return f"""aggregate({placed}, {start}, ({a}, {e}) -> concat(
-        slice({a}, 1, {e}.p), {cell(f"{e}.p")}, slice({a}, {e}.p + 2, {e}.q - {e}.p - 1), {cell(f"{e}.q")},
-        slice({a}, {e}.q + 2, {e}.r - {e}.q - 1), {cell(f"{e}.r")}, slice({a}, {e}.r + 2, {3 * width - 1} - {e}.r)))"""
-
-
-def cells(units: str, width: int) -> str:
-    """SQL: the three tables of ``width`` cells (n, h, k) one after the other."""
-    return fold(units, f"array_repeat(named_struct('n', 0, 'h', 0L, 'k', 0), {3 * width})", width, "+", "1")
+    u, placed, i, e, a, x, z = (_v(name) for name in ("u", "units", "i", "e", "a", "x", "z"))
+    places = f"""transform({units}, {u} -> named_struct('n', {number.format(u=u)}, 'h', {u}.h, 'k', {u}.k,
+        'p', pmod({u}.x[0], {width}), 'q', pmod({u}.x[1], {width}), 'r', pmod({u}.x[2], {width})))"""
+    one = f"""aggregate(filter({placed}, {e} -> {e}.{{p}} = {i}), named_struct('n', 0, 'h', 0L, 'k', 0),
+        ({a}, {x}) -> named_struct('n', {a}.n + {x}.n, 'h', {a}.h ^ {x}.h, 'k', {a}.k ^ {x}.k))"""
+    tables = ", ".join(f"transform(sequence(0, {width - 1}), {i} -> {one.format(p=p)})" for p in "pqr")
+    # an array of one, so that the places are made once
+    return f"aggregate(array({places}), cast(null as {CELLS}), ({z}, {placed}) -> concat({tables}))"
 
 
 def subtract(left: str, right: str) -> str:
@@ -102,35 +103,80 @@ def subtract(left: str, right: str) -> str:
     return f"zip_with({left}, {right}, ({p}, {q}) -> named_struct('n', {p}.n - {q}.n, 'h', {p}.h ^ {q}.h, 'k', {p}.k ^ {q}.k))"
 
 
+def taken_out(cells_: str, units: str, width: int) -> str:
+    """SQL: the cells without the units, each as often as its n says.
+
+    A bit per cell (of cells 64 apart, one for both) says whether any unit falls into it; most cells stay as they are.
+    """
+    u, out, bits, z, c, i, e, a, x = (_v(name) for name in ("u", "out", "bits", "z", "c", "i", "e", "a", "x"))
+    places = f"""transform({units}, {u} -> named_struct('n', {u}.n, 'h', {u}.h, 'k', {u}.k,
+        'p', pmod({u}.x[0], {width}), 'q', pmod({u}.x[1], {width}) + {width}, 'r', pmod({u}.x[2], {width}) + {2 * width}))"""
+    held = " | ".join(f"shiftleft(1L, {e}.{p})" for p in "pqr")
+    rest = f"""aggregate(filter({out}, {e} -> {e}.p = {i} or {e}.q = {i} or {e}.r = {i}), {c},
+        ({a}, {x}) -> named_struct('n', {a}.n - {x}.n, 'h', {a}.h ^ {x}.h, 'k', {a}.k ^ {x}.k))"""
+    left = f"transform({cells_}, ({c}, {i}) -> if(shiftright({bits}, {i}) & 1L = 0L, {c}, {rest}))"
+    left = f"aggregate(array(aggregate({out}, 0L, ({a}, {e}) -> {a} | {held})), cast(null as {CELLS}), ({z}, {bits}) -> {left})"
+    return f"aggregate(array({places}), cast(null as {CELLS}), ({z}, {out}) -> {left})"
+
+
 def peel(difference: str, width: int, rounds: int = 40) -> str:
-    """SQL: struct(ok, found): the digests taken out, and whether no cell is left."""
+    """SQL: struct(ok, found): the digests taken out, and whether no cell is left.
+
+    Spark copies what a step hands on, in every round; so the state lets go of its cells once nothing can be taken out.
+    """
     s, r, t, pure, c, p = (_v(x) for x in ("s", "r", "t", "pure", "c", "p"))
     single = f"""array_distinct(transform(filter({s}.cells, {c} -> abs({c}.n) = 1 and {c}.k = hash({c}.h, 77)),
         {c} -> named_struct('n', {c}.n, 'h', {c}.h, 'k', {c}.k, 'x', {hashes(f"{c}.h")})))"""
-    rest = fold(pure, f"{t}.cells", width, "-", "{u}.n")
+    rest = taken_out(f"{s}.cells", pure, width)
+    empty = f"forall({s}.cells, {c} -> {c}.n = 0 and {c}.h = 0 and {c}.k = 0)"
+    state = f"struct<cells:{CELLS},found:array<bigint>,go:boolean,ok:boolean>"
     return f"""aggregate(sequence(1, {rounds}),
-        named_struct('cells', {difference}, 'found', cast(array() as array<bigint>), 'go', true),
-        ({s}, {r}) -> if(not {s}.go, {s}, aggregate(array({single}), {s}, ({t}, {pure}) -> if(size({pure}) = 0,
-            named_struct('cells', {t}.cells, 'found', {t}.found, 'go', false),
-            named_struct('cells', {rest}, 'found', concat({t}.found, transform({pure}, {p} -> {p}.h)), 'go', true)))),
-        {s} -> named_struct('ok', forall({s}.cells, {c} -> {c}.n = 0 and {c}.h = 0 and {c}.k = 0), 'found', {s}.found))"""
+        named_struct('cells', {difference}, 'found', cast(array() as array<bigint>), 'go', true, 'ok', false),
+        ({s}, {r}) -> if(not {s}.go, {s}, aggregate(array({single}), cast(null as {state}), ({t}, {pure}) -> if(size({pure}) = 0,
+            named_struct('cells', cast(array() as {CELLS}), 'found', {s}.found, 'go', false, 'ok', {empty}),
+            named_struct('cells', {rest}, 'found', concat({s}.found, transform({pure}, {p} -> {p}.h)), 'go', true, 'ok', false)))),
+        {s} -> named_struct('ok', if({s}.go, {empty}, {s}.ok), 'found', {s}.found))"""
 
 
 def in_blocks(left: str, right: str, times: int) -> str:
-    """SQL: the number of differing digests by a larger sketch in blocks, or null where a block does not peel."""
-    s, b, t, q, u, m = (_v(x) for x in ("s", "b", "t", "q", "u", "m"))
+    """SQL: the number of differing digests by a larger sketch in blocks, or null where a block does not peel.
+
+    A block that does not peel is sketched again with more cells, alone. Digests are dealt to runs of blocks and then to
+    the blocks of a run, about the root of their number each, so a text of many blocks is not read once for each of them.
+    """
+    u, m, w, g, run, b, block, s, signed = (_v(x) for x in ("u", "m", "w", "g", "run", "b", "block", "s", "signed"))
     blocks = f"cast(ceil((size({left}) + size({right})) / {BLOCK_LOAD}.0) as int) * {times}"
-    own = lambda units: f"filter({units}, {u} -> pmod({u}.b, {m}) = {b})"
-    one = peel(subtract(cells(own(left), BLOCK), cells(own(right), BLOCK)), BLOCK)
-    return f"""aggregate(array({blocks}), cast(null as int), (z, {m}) -> aggregate(sequence(0, {m} - 1), named_struct('ok', true, 'd', 0),
-        ({s}, {b}) -> if(not {s}.ok, {s}, aggregate(array({one}), {s},
-            ({t}, {q}) -> named_struct('ok', {q}.ok, 'd', {t}.d + size({q}.found)))), {s} -> if({s}.ok, {s}.d, null)))"""
+
+    def peeled(total: str, widths: tuple[int, ...]) -> str:
+        if not widths:
+            return "cast(null as int)"
+        t, q = _v("t"), _v("q")
+        # the sketch of the left digests less that of the right ones is the sketch of both with their signs
+        one = peel(cells(block, widths[0], "{u}.n"), widths[0])
+        return f"aggregate(array({one}), {total}, ({t}, {q}) -> if({q}.ok, {t} + size({q}.found), {peeled(t, widths[1:])}))"
+
+    def over(steps: str, total: str, step: str, body) -> str:
+        """``body`` of the total so far for every step; a null total stays."""
+        t = _v("t")
+        return f"aggregate({steps}, {total}, ({t}, {step}) -> if({t} is null, {t}, {body(t)}))"
+
+    in_run = lambda t: over(
+        f"sequence({g} * {w}, least({m}, {g} * {w} + {w}) - 1)",
+        t,
+        b,
+        lambda t: over(f"array(filter({run}, {u} -> {u}.b = {b}))", t, block, lambda t: peeled(t, WIDTHS)),
+    )
+    in_all = over(f"sequence(0, ({m} - 1) div {w})", "0", g, lambda t: over(f"array(filter({signed}, {u} -> {u}.b div {w} = {g}))", t, run, in_run))
+    side = lambda units, n: f"transform({units}, {u} -> named_struct('n', {n}, 'h', {u}.h, 'k', {u}.k, 'x', {u}.x, 'b', pmod({u}.b, {m})))"
+    for value, name in ((f"concat({side(left, 1)}, {side(right, -1)})", signed), (f"cast(ceil(sqrt({m})) as int)", w), (blocks, m)):
+        in_all = f"aggregate(array({value}), cast(null as int), ({s}, {name}) -> {in_all})"
+    return in_all
 
 
 def differing(base: str, left: str, right: str) -> Column:
-    """Differing digests: from the peeled base sketch, else from larger ones, else (never seen) from the sets."""
+    """Differing digests: from the peeled base sketch, else from a larger one, else (two digests alike in all hashes) from the sets."""
     plain = f"(size(array_except(transform({left}, u -> u.h), transform({right}, u -> u.h))) + size(array_except(transform({right}, u -> u.h), transform({left}, u -> u.h))))"
-    return F.expr(f"if({base}.ok, size({base}.found), coalesce({', '.join(in_blocks(left, right, k) for k in (1, 2, 4))}, {plain}))")
+    return F.expr(f"if({base}.ok, size({base}.found), coalesce({in_blocks(left, right, 1)}, {plain}))")
 
 
 def likeness(n_left: str, n_right: str, different: str) -> Column:

@@ -150,6 +150,15 @@ def test_larger_sketches_are_tried(spark):
     assert not row["ok"] and row["d"] in (None, 300) and row["e"] == 300
 
 
+def test_a_block_that_does_not_peel_is_sketched_again_alone(spark):
+    """Of hundreds of blocks some hold two digests with the same three cells; the others need no second sketch."""
+    left = "\n".join(f"left {i}" for i in range(1500))
+    right = "\n".join(f"right {i}" for i in range(1500))
+    df = spark.createDataFrame([(left, right)], "a string, b string")
+    df = df.select(fingerprints.paragraphs("a").alias("x"), fingerprints.paragraphs("b").alias("y"))
+    assert df.select(F.expr(fingerprints.in_blocks("x", "y", 1)).alias("d")).first()["d"] == 3000
+
+
 def test_fingerprint_edges(documents):
     assert fingerprints.compare(documents([])).count() == 0
     one = fingerprints.compare(documents([(4, "only one. here")])).first()

@@ -19,7 +19,7 @@ import hashlib
 import itertools
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 NONE = 1 << 62
 #: Children of a node of the segment tree: the least of so many costs little more than the least of two.
 FAN = 16
-#: Number of tokens, ids as text, decoded text, ids.
-Found = tuple[int, str, str, list[int]]
+#: Number of tokens, ids as text, decoded text, ids. Nothing in it can change, so the garbage collector lets it be.
+Found = tuple[int, str, str, tuple[int, ...]]
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
@@ -45,6 +45,8 @@ def merge_word(symbols: list[int], ranks: dict[int, int], merged: list[int]) ->
         return symbols
     symbols = list(symbols)
     rank = ranks.get
+    if n <= FAN + 1:
+        return merge_short(symbols, rank, merged)
     leaves = [NONE] * (n - 1)
     for i in range(n - 1):
         if (r := rank(symbols[i] << 20 | symbols[i + 1])) is not None:
@@ -85,6 +87,24 @@ def merge_word(symbols: list[int], ranks: dict[int, int], merged: list[int]) ->
     return [s for s in symbols if s >= 0]
 
 
+def merge_short(symbols: list[int], rank: Callable[[int, int], int], merged: list[int]) -> list[int]:
+    """The tree of one node: the root is the least of all leaves, and a merge takes a symbol and a leaf out of the lists.
+
+    A leaf is a rank alone, for its place in the list is that of its pair. A symbol that is in no pair stands at the end,
+    which is also the place before the first, so that the first and the last symbol need no case of their own.
+    """
+    symbols.append(-1)
+    leaves = [rank(a << 20 | b, NONE) for a, b in itertools.pairwise(symbols)]
+    while (r := min(leaves)) != NONE:
+        i = leaves.index(r)
+        symbols[i] = made = merged[r]
+        del symbols[i + 1], leaves[i]
+        leaves[i] = rank(made << 20 | symbols[i + 1], NONE)
+        leaves[i - 1] = rank(symbols[i - 1] << 20 | made, NONE)
+    symbols.pop()
+    return symbols
+
+
 def byte_characters() -> list[str]:
     """A printable character for each byte: itself where printable, else the next free one from 256 on."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -122,7 +142,7 @@ class Encoder:
         symbols = [self.inner[b] for b in data]
         symbols[-1] = self.last[data[-1]]
         ids = merge_word(symbols, self.ranks, self.merged)
-        found = len(ids), " ".join([self.numbers[i] for i in ids]), self.decode(ids), ids
+        found = len(ids), " ".join([self.numbers[i] for i in ids]), self.decode(ids), tuple(ids)
         if len(word) <= 64:
             if len(self.words_done) >= self.memory_words:
                 self.words_done.clear()
@@ -141,7 +161,7 @@ class Encoder:
             if len(parts) == 1:
                 found = parts[0]
             elif parts:
-                found = sum(x[0] for x in parts), " ".join([x[1] for x in parts]), " ".join([x[2] for x in parts]), [i for x in parts for i in x[3]]
+                found = sum(x[0] for x in parts), " ".join([x[1] for x in parts]), " ".join([x[2] for x in parts]), tuple([i for x in parts for i in x[3]])
         if found and len(run) <= 64:
             if len(self.memory) >= self.memory_runs:
                 self.memory.clear()
@@ -155,14 +175,12 @@ class Encoder:
         for k, piece in enumerate(self.cut(text) if self.cut and "<" in text else [text]):
             if k % 2:
                 i = self.special[piece]
-                out.append((1, str(i), piece, [i]))
+                out.append((1, str(i), piece, (i,)))
                 continue
             # str.split also cuts at four separator characters that the pattern keeps
             plain = not any(c in piece for c in "\x1c\x1d\x1e\x1f")
-            for run in piece.split() if plain else self.runs(piece):
-                found = known(run) or self.encode_run(run)
-                if found:
-                    out.append(found)
+            runs = piece.split() if plain else self.runs(piece)
+            out += [found for run in runs if (found := known(run) or self.encode_run(run))]
         return out
 
     def decode(self, ids: list[int]) -> str:

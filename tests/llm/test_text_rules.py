@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import itertools
 import json
 import random
 import re
@@ -346,3 +348,24 @@ def test_long_words_merge_as_without_a_tree():
             r, i = min(found)
             want[i : i + 2] = [merged[r]]
         assert bpe.merge_word(word, ranks, merged) == want
+
+
+def test_short_words_merge_as_long_ones():
+    """Words around the size of one node, on both ways, against plain merging; what is remembered costs no collection."""
+    draw = random.Random(7)
+    pairs = draw.sample([(a, b) for a in range(6) for b in range(6)], 20)
+    ranks, merged = {a << 20 | b: r for r, (a, b) in enumerate(pairs)}, [draw.randrange(6) for _ in pairs]
+    for n in [1, 2, 3, bpe.FAN, bpe.FAN + 1, bpe.FAN + 2, bpe.FAN + 3] * 40:
+        word = [draw.randrange(6) for _ in range(n)]
+        want = list(word)
+        while found := [(ranks[a << 20 | b], i) for i, (a, b) in enumerate(itertools.pairwise(want)) if a << 20 | b in ranks]:
+            r, i = min(found)
+            want[i : i + 2] = [merged[r]]
+        assert bpe.merge_word(word, ranks, merged) == want
+        if n <= bpe.FAN + 1:
+            assert bpe.merge_short(list(word), ranks.get, merged) == want
+    encoder = bpe.Encoder(json.load(open(vocabulary())))
+    encoder.encode("Unusual, words <|endoftext|> again")
+    gc.collect()  # the ids
+    gc.collect()  # what holds them
+    assert encoder.memory and not any(gc.is_tracked(x) for x in [*encoder.memory.values(), *encoder.words_done.values()])

@@ -6,8 +6,12 @@ pivot is near exactly to the sets that hold it, and a global order (rare shingle
 at most r from x has its first common shingle among the first |x| - ceil((1 - r)|x|) + 1 pivots of x; into these
 regions x is replicated, which is the window that the radius asks for. Hence every pair within r meets in a region.
 
-In a region the document of least hash is the pivot, and its exact distance to all members is taken: a star, linear in
-the region. All stars of one pivot document then are one region: whatever met somewhere has that pivot in common.
+Most regions are small. One of at most SMALL members ends as its pairs, of which sizes and places in the order part most:
+if a shingle is the first that two sets share, what stands before it is common to no part of them. Pairs with the most
+central member are measured first, the others only if no link has tied them by then.
+
+In a larger region the most central document is the pivot, and its exact distance to all members is taken: a star, linear
+in the region. All stars of one pivot document then are one region: whatever met somewhere has that pivot in common.
 Members within r of the pivot are linked. A region whose members hang together is done. The others go on:
 
 Level 1 and up. Members of different components remain open. A small region compares those of its pairs that pass the
@@ -16,8 +20,8 @@ them against all members, deals each member to its nearest pivot's Voronoi regio
 with d(x,p') <= d(x,p) + 2r, and recurs; its pivots are done with. Where these windows hold most members of most
 pivots, as with documents that share a passage and little else, shingles are its pivots once more, ordered by their
 counts in the region alone: what only the passage held together falls apart. A region of that second kind, or of at most
-BIG members, that document pivots do not part stays whole and takes four times as many at the next level, measured only against members of other
-components that neither the triangle inequality nor their places in the order part. The join is exact and ends, for
+BIG members, that document pivots do not part stays whole and takes STEP times as many at the next level, measured only
+against members of other components that neither the triangle inequality nor their places in the order part. The join is exact and ends, for
 every level takes its pivots out and a level has more of them.
 
 Pivots are chosen for being central, with the most common shingles: in a family of near copies that is the document the
@@ -53,6 +57,10 @@ SIZE = 5
 BUCKETS = 1 << 18
 #: Regions of at most this many documents compare pairs directly; larger ones take new pivots.
 SMALL, PIVOTS = 16, 8
+#: Each level takes this many times the pivots of the one before: a level costs many small jobs, whatever its rows.
+STEP = 16
+#: Who meets in a region of shingles: a pivot and a member of a small region, two other members, the spoke of a large one.
+FIRST, REST, SPOKE = 0, 1, 2
 #: Regions beyond this that document pivots do not part are dealt out by shingles again; smaller ones take more pivots.
 BIG = 256
 
@@ -180,9 +188,9 @@ def bucket_counts(documents: DataFrame) -> np.ndarray:
 
 
 def region_rows(documents: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(region, doc, n, central): each document in the regions of its first shingles. Of copies in a task, one goes on.
+    """(region, doc, n, place, central): each document in the regions of its first shingles. Of copies in a task, one goes on.
 
-    n is the size of its set, central how common its shingles are on average: in a family of near copies the one that the
+    n is the size of its set, place the number of its shingles before this one in the order, central how common its shingles are on average: in a family of near copies the one that the
     others were made from has the most common ones, for each edit brings shingles of its own.
     """
     shared = documents.sparkSession.sparkContext.broadcast(counts)
@@ -192,7 +200,7 @@ def region_rows(documents: DataFrame, counts: np.ndarray) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            regions, docs, sizes, centrals, held = [], [], [], [], 0
+            regions, docs, sizes, places, centrals, held = [], [], [], [], [], 0
             for row, tokens in sets_of(batch.column(1)):
                 n = len(tokens)
                 if not n or not known[row]:
@@ -213,45 +221,88 @@ def region_rows(documents: DataFrame, counts: np.ndarray) -> DataFrame:
                 regions.append(tokens[order].astype(np.int64))
                 docs.append(np.full(take, ids[row], np.int64))
                 sizes.append(np.full(take, n, np.int32))
+                places.append(np.arange(take, dtype=np.int32))
                 centrals.append(np.full(take, int(100 * np.log2(rarity).mean()), np.int32))
                 held += take
                 if held > 1 << 17:
-                    yield pack(regions, docs, sizes, centrals)
-                    regions, docs, sizes, centrals, held = [], [], [], [], 0
+                    yield pack(regions, docs, sizes, places, centrals)
+                    regions, docs, sizes, places, centrals, held = [], [], [], [], [], 0
             if held:
-                yield pack(regions, docs, sizes, centrals)
+                yield pack(regions, docs, sizes, places, centrals)
 
     def pack(*columns):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], names=["region", "doc", "n", "central"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], names=["region", "doc", "n", "place", "central"])
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "region bigint, doc bigint, n int, central int")
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "region bigint, doc bigint, n int, place int, central int")
 
 
-def stars(rows: DataFrame) -> DataFrame:
-    """(region, n_pivot, doc, n, central): the spokes of every shingle region; region is its pivot document.
+def meetings(rows: DataFrame, radius: float) -> DataFrame:
+    """(kind, region, n_pivot, doc, n, central): who meets in the shingle regions; region is the pivot document.
 
-    The rows of a region come one after the other and are never held together.
+    Kind SPOKE is the spoke of a region of more than SMALL members, which goes on. A smaller region ends here, in its pairs
+    that sizes and places do not part: kind FIRST with its pivot, kind REST of other members, a pair as its lesser and
+    greater document. The rows of a region come one after the other; no more than SMALL of them are held together.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, pivot, pivot_n = None, 0, 0
+        # the rows of the last region so far: all of a small one, the pivot of a larger one
+        held, beyond = np.zeros((0, 5), np.int64), False
         for batch in batches:
-            region, doc, n, central = (batch.column(k).to_numpy() for k in range(4))
-            if not len(region):
+            rows = np.concatenate([held, np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(5)], 1)])
+            if not len(rows):
                 continue
-            new = np.r_[last is None or region[0] != last, region[1:] != region[:-1]]
-            at = np.maximum.accumulate(np.where(new, np.arange(len(region)), -1))
-            pivots, sizes = np.where(at >= 0, doc[at], pivot), np.where(at >= 0, n[at], pivot_n)
-            last, pivot, pivot_n = region[-1], pivots[-1], sizes[-1]
-            spokes = np.stack([pivots, sizes, doc, n, central], 1)[~new & (doc != pivots)]
-            spokes = np.unique(spokes, axis=0)
-            columns = [pa.array(spokes[:, k].astype(t)) for k, t in enumerate((np.int64, np.int32, np.int64, np.int32, np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=["region", "n_pivot", "doc", "n", "central"])
+            starts = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
+            sizes = np.diff(np.r_[starts, len(rows)])
+            large = sizes > SMALL
+            large[0] |= beyond
+            first = starts[-1]
+            beyond = bool(large[-1])
+            held = rows[first : first + 1] if beyond else rows[first:]
+            yield pack(rows, starts, sizes, large, first)
+        if len(held) > 1:
+            yield pack(held, np.array([0]), np.array([len(held)]), np.array([False]), len(held))
+
+    def pack(rows: np.ndarray, starts: np.ndarray, sizes: np.ndarray, large: np.ndarray, first: int) -> pa.RecordBatch:
+        at, size, far = np.repeat(starts, sizes), np.repeat(sizes, sizes), np.repeat(large, sizes)
+        spoke = np.flatnonzero(far & (at < np.arange(len(rows))))
+        found = [np.stack([np.full(len(spoke), SPOKE), rows[at[spoke], 1], rows[at[spoke], 2], *rows[spoke][:, [1, 2, 4]].T], 1)]
+        # pairs of whole small regions only: a region that the batch cuts comes again
+        here = np.flatnonzero(~far & (size > 1) & (np.arange(len(rows)) < first))
+        for k in range(1, SMALL):
+            here = here[here + k < at[here] + size[here]]
+            x, y = rows[here], rows[here + k]
+            ok = (x[:, 1] != y[:, 1]) & sizes_and_places_fit(x[:, 2], x[:, 3], y[:, 2], y[:, 3], radius)
+            kind = np.where(at[here] == here, FIRST, REST)[ok]
+            a, b = np.minimum(x[ok, 1], y[ok, 1]), np.maximum(x[ok, 1], y[ok, 1])
+            none = np.zeros(len(a), np.int64)
+            found.append(np.stack([kind, a, none, b, none, none], 1))
+        found = np.concatenate(found)
+        found = np.unique(found[found[:, 1] != found[:, 3]], axis=0)
+        kinds = (np.int32, np.int64, np.int32, np.int64, np.int32, np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, k].astype(t)) for k, t in enumerate(kinds)], names=["kind", "region", "n_pivot", "doc", "n", "central"])
 
     # The most central document is the pivot: the middle of a family links most of it at once, and few documents are
     # pivots of many regions.
     ordered = rows.repartition("region").sortWithinPartitions("region", F.desc("central"), F.xxhash64("doc"), "doc")
-    return ordered.mapInArrow(run, "region bigint, n_pivot int, doc bigint, n int, central int")
+    return ordered.mapInArrow(run, "kind int, region bigint, n_pivot int, doc bigint, n int, central int")
+
+
+def sizes_and_places_fit(n_x: np.ndarray, place_x: np.ndarray, n_y: np.ndarray, place_y: np.ndarray, radius: float) -> np.ndarray:
+    """As ``places_fit``, of arrays."""
+    common = (1 - radius) / (2 - radius) * (n_x + n_y) - 1e-6
+    fit = np.minimum(n_x, n_y) >= (1 - radius - 1e-9) * np.maximum(n_x, n_y)
+    return fit & (n_x - place_x >= common) & (n_y - place_y >= common)
+
+
+def of_first_copies(met: DataFrame, copies: DataFrame) -> DataFrame:
+    """``met`` with each document that is a copy in the place of it replaced by the first with the same set."""
+    for name in ("region", "doc"):
+        met = met.join(copies.withColumnsRenamed({"doc": name, "first": "_first"}), name, "left")
+        met = met.withColumn(name, F.coalesce("_first", name)).drop("_first")
+    small = F.col("kind") != SPOKE
+    a, b = F.least("region", "doc"), F.greatest("region", "doc")
+    met = met.select("kind", F.when(small, a).otherwise(F.col("region")).alias("region"), "n_pivot", F.when(small, b).otherwise(F.col("doc")).alias("doc"), "n", "central")
+    return met.where("region <> doc").distinct()
 
 
 # ---------------------------------------------------------------- exact distances
@@ -334,17 +385,26 @@ def measured(pairs: DataFrame, classes: DataFrame, bodies: DataFrame, radius: fl
 # ---------------------------------------------------------------- the join
 
 
-def link(documents: DataFrame, members: DataFrame, folder: str, radius: float = 0.25) -> DataFrame:
-    """(a, b): linked documents, enough of them that components are those of all links between different texts."""
-    stars_ = written(stars(region_rows(documents, bucket_counts(documents))).distinct(), folder, "stars")
-    ids = stars_.select(F.explode(F.array("region", "doc")).alias("doc")).distinct()
+def link(documents: DataFrame, members: DataFrame, copies: DataFrame, folder: str, radius: float = 0.25) -> DataFrame:
+    """(a, b): linked documents, enough of them that components are those of all links between different texts.
+
+    ``copies`` (doc, first) names documents of one text and the first document with the same set, which stands for them.
+    """
+    met = written(meetings(region_rows(documents, bucket_counts(documents)), radius).distinct(), folder, "meetings")
+    met = written(of_first_copies(met, copies), folder, "met")
+    ids = met.select(F.explode(F.array("region", "doc")).alias("doc")).distinct()
     bodies = written(packed_texts(documents, ids), folder, "bodies")
     classes = members.where("n_shingles > 0 and doc_id is not null")
     classes = classes.select(F.col("doc_id").cast("bigint").alias("doc"), F.col("n_shingles").alias("n"), "classes")
+    pairs = met.where(F.col("kind") != SPOKE).groupBy(F.col("region").alias("a"), F.col("doc").alias("b")).agg(F.min("kind").alias("kind"))
+    pairs = written(pairs, folder, "pairs")
+    stars_ = met.where(F.col("kind") == SPOKE).drop("kind")
     # sets of too different sizes are apart by their sizes alone, before anything is joined
     fit = sizes_fit(F.col("n_pivot"), F.col("n"), radius)
-    found = measured(unordered(stars_.where(fit), "region", "doc").distinct(), classes, bodies, radius, folder, "measured0")
+    first = pairs.where(F.col("kind") == FIRST).select("a", "b")
+    found = measured(unordered(stars_.where(fit), "region", "doc").unionByName(first).distinct(), classes, bodies, radius, folder, "measured0")
     links = found.where("linked").select("a", "b")
+    rest = pairs.where(F.col("kind") == REST).select("a", "b").join(found.select("a", "b"), ["a", "b"], "left_anti")
     beyond = stars_.where(~fit).withColumn("low", 1 - F.least("n_pivot", "n") / F.greatest("n_pivot", "n"))
     beyond = beyond.select(F.least("region", "doc").alias("a"), F.greatest("region", "doc").alias("b"), "low", F.lit(1.0).alias("high"), F.lit(False).alias("linked"))
     found = found.unionByName(beyond.distinct())
@@ -354,9 +414,11 @@ def link(documents: DataFrame, members: DataFrame, folder: str, radius: float =
     # Pivots are done with: they were measured against all.
     regions = with_distance(stars_.withColumn("pivot", F.col("region")), found)
     regions = written(regions.select("region", "doc", "low", "high", F.lit(False).alias("whole"), F.lit(0).alias("place")), folder, "regions0")
-    level = 0
+    level, labels = 0, None
     while True:
-        labels = components(links, folder, f"labels{level}")
+        # every call of ``components`` is many small jobs: labels stand as long as no level finds a new link
+        if labels is None:
+            labels = components(links, folder, f"labels{level}")
         level += 1
         members = written(still_open(regions, labels, facts), folder, f"members{level}")
         small, large = members.where(F.col("size") <= SMALL), members.where(F.col("size") > SMALL)
@@ -365,12 +427,20 @@ def link(documents: DataFrame, members: DataFrame, folder: str, radius: float =
         # a region that its pivots do not part has no use of more distances than those that may link
         apart = (F.col("component") != F.col("pivot_component")) & may_meet("", "pivot_", radius) & places_fit("", "pivot_", radius)
         spokes = written(spokes.where(~F.col("whole") | apart).select("region", "doc", "pivot", "whole"), folder, f"spokes{level}")
-        pairs = unordered(spokes, "pivot", "doc").unionByName(close_pairs(small, radius)).distinct()
+        pairs = unordered(spokes, "pivot", "doc").unionByName(close_pairs(small, radius))
+        if level == 1:
+            pairs = pairs.unionByName(of_two_components(rest, labels))
+        pairs = pairs.distinct()
         found = measured(pairs, classes, bodies, radius, folder, f"measured{level}")
-        links = written(links.unionByName(found.where("linked").select("a", "b")), folder, f"links{level}")
+        new = found.where("linked").select("a", "b")
+        if not new.isEmpty():
+            links, labels = links.unionByName(new), None
         if pivots.isEmpty():
             return links
         left = large.join(pivots.select("region", F.col("pivot").alias("doc")), ["region", "doc"], "left_anti")
+        if large.where("not whole").isEmpty():
+            regions = written(left.select(*regions.columns), folder, f"regions{level}")
+            continue
         cells = written(voronoi(spokes.where("not whole"), found, radius), folder, f"cells{level}")
         # Where most members lie in the windows of most pivots, splitting would only copy the region.
         counts = cells.groupBy("parent").agg(F.count("*").alias("n"), F.countDistinct("doc").alias("docs"))
@@ -379,8 +449,17 @@ def link(documents: DataFrame, members: DataFrame, folder: str, radius: float =
         stuck = written(left.join(parted, F.col("region") == F.col("parent"), "left_anti"), folder, f"stuck{level}")
         again = ~F.col("whole") & (F.col("size") > BIG)
         kept = stuck.where(~again).withColumn("whole", F.lit(True)).select(*split.columns)
-        again = shingle_regions(stuck.where(again).select("region", "doc"), bodies, folder, level)
-        regions = written(split.unionByName(kept).unionByName(again), folder, f"regions{level}")
+        parts, again = split.unionByName(kept), stuck.where(again).select("region", "doc")
+        if not again.isEmpty():
+            parts = parts.unionByName(shingle_regions(again, bodies, folder, level))
+        regions = written(parts, folder, f"regions{level}")
+
+
+def of_two_components(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose documents no link has tied so far."""
+    for name in ("a", "b"):
+        pairs = pairs.join(labels.withColumnsRenamed({"node": name, "component": f"_{name}"}), name, "left")
+    return pairs.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
 
 
 def shingle_regions(members: DataFrame, bodies: DataFrame, folder: str, level: int) -> DataFrame:
@@ -413,7 +492,7 @@ def shingle_regions(members: DataFrame, bodies: DataFrame, folder: str, level: i
 
 def new_pivots(large: DataFrame, level: int) -> DataFrame:
     """Pivots of each region: the most central member of each of some hashed slots, so no region is sorted."""
-    slot = F.pmod(F.xxhash64("doc", F.lit(level)), F.lit(PIVOTS * 4 ** (level - 1)))
+    slot = F.pmod(F.xxhash64("doc", F.lit(level)), F.lit(PIVOTS * STEP ** (level - 1)))
     least = F.min(F.struct(-F.col("central"), F.xxhash64("doc"), "doc", "component", "low", "high", "n", "place")).alias("m")
     chosen = large.groupBy("region", slot.alias("slot")).agg(least)
     return chosen.select("region", F.col("m.doc").alias("pivot"), *[F.col(f"m.{x}").alias(f"pivot_{x}") for x in ("component", "low", "high", "n", "place")])
@@ -483,15 +562,19 @@ def groups(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row (component null only for a row without id)."""
     folder = scratch_dir(documents.sparkSession)
     members = written(set_digests(documents), folder, "members")
-    links = link(documents, members, folder)
-    members = members.drop("classes")
     # copies: every document is tied to the smallest one with the same set
-    least = members.where("n_shingles > 0 and doc_id is not null").groupBy("high", "low", "n_shingles").agg(F.min("doc_id").cast("bigint").alias("first"))
+    sets = members.drop("classes")
+    least = sets.where("n_shingles > 0 and doc_id is not null").groupBy("high", "low", "n_shingles").agg(F.min("doc_id").cast("bigint").alias("first"))
     least = written(least, folder, "least")
-    tied = members.where("n_shingles > 0").join(least, ["high", "low", "n_shingles"])
+    tied = sets.where("n_shingles > 0").join(least, ["high", "low", "n_shingles"])
     copies = tied.where("doc_id is not null").select(F.col("first").alias("a"), F.col("doc_id").cast("bigint").alias("b"))
+    copies = written(copies.where("a <> b"), folder, "copies")
+    # a document with other texts meets others by those too, so none can stand for it
+    several = members.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc")).agg(F.count("*").alias("n")).where("n > 1")
+    replaced = copies.select(F.col("b").alias("doc"), F.col("a").alias("first")).join(several, "doc", "left_anti")
+    links = link(documents, members, written(replaced, folder, "replaced"), folder)
     labels = components(links.unionByName(copies), folder, "labels")
-    named = members.join(least, ["high", "low", "n_shingles"], "left")
+    named = sets.join(least, ["high", "low", "n_shingles"], "left")
     named = named.withColumn("_node", F.coalesce(F.col("doc_id").cast("bigint"), "first"))
     named = named.join(labels.withColumnRenamed("node", "_node"), "_node", "left")
     kind = documents.schema["doc_id"].dataType

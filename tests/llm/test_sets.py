@@ -233,3 +233,24 @@ def test_spans_and_carried_columns(spark, documents):
 
 def test_local_scratch(spark):
     assert scratch_dir(spark).startswith("/tmp/") and scratch_dir(spark) != scratch_dir(spark)
+
+
+def test_small_shingle_regions_end_in_their_pairs(spark):
+    """Only larger regions go on as spokes; of a small one its pairs that fit, wherever Arrow batches cut the rows."""
+    many = jaccard_join.SMALL + 4
+    rows = [(1, 10, 20, 0, 5), (1, 11, 20, 1, 4), (1, 12, 20, 2, 3), (1, 13, 90, 0, 2), (2, 30, 20, 0, 1)] + [(3, 100 + k, 20, 0, 50 - k) for k in range(many)]
+    table = spark.createDataFrame(rows, "region bigint, doc bigint, n int, place int, central int")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    for size in ("1", "3", "10000"):
+        spark.conf.set(key, size)
+        try:
+            got = jaccard_join.meetings(table.coalesce(1), 0.25).distinct().collect()
+        finally:
+            spark.conf.set(key, before)
+        pairs = {(r["kind"], r["region"], r["doc"]) for r in got}
+        small = {(jaccard_join.FIRST, 10, 11), (jaccard_join.FIRST, 10, 12), (jaccard_join.REST, 11, 12)}
+        spokes = {(jaccard_join.SPOKE, 100, 100 + k) for k in range(1, many)}
+        assert small | spokes <= pairs
+        assert {p for p in pairs if p[0] == jaccard_join.SPOKE} == spokes
+        assert not any(13 in p[1:] or 30 in p[1:] for p in pairs)

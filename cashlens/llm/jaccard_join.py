@@ -30,8 +30,9 @@ others came from, which links most of them at once.
 Before texts are fetched, a pair is bounded by its class counts (a projection that no distance outgrows): most pairs of
 unrelated documents that share one phrase end there, with a lower bound in place of the distance.
 
-The rarity order uses counts of shingles over all documents in hashed buckets; their number is fixed, so they may be
-broadcast. The order decides the work only, never the result. Texts are hashed to 64-bit shingles (a collision is a
+The rarity order uses counts of shingles over all documents in hashed buckets; their number is fixed, a byte each, so they
+may be broadcast. The order decides the work only, never the result: with few shingles a bucket, those of one document come
+first, and unrelated documents that share a phrase seldom meet. Texts are hashed to 64-bit shingles (a collision is a
 matter of 10**-9 per pair); exact copies share a 128-bit set digest, meet once per task, and are tied by that digest.
 
 Defined cases: null, empty and word-free texts have 0 shingles and link to nothing; a text of one to four words is one
@@ -54,7 +55,11 @@ from cashlens.llm.common import LOWER, NOT_SPACE, U64, mix, scratch_dir, span_ha
 from cashlens.llm.components import components
 
 SIZE = 5
-BUCKETS = 1 << 18
+#: Shingles are counted in this many buckets: too few, and at 500 shingles a bucket all look equally rare, so that any
+#: phrase of some dozen documents makes regions. A byte per bucket is broadcast, in steps of log2 / COARSE.
+BUCKETS, COARSE = 1 << 24, 12
+#: A shingle's bucket is its highest bits; counts are summed in ranges of this many buckets.
+BUCKET_SHIFT, RANGE = U64(64 - 24), 1 << 16
 #: Regions of at most this many documents compare pairs directly; larger ones take new pivots.
 SMALL, PIVOTS = 16, 8
 #: Each level takes this many times the pivots of the one before: a level costs many small jobs, whatever its rows.
@@ -162,29 +167,51 @@ def with_digests(documents: DataFrame) -> DataFrame:
 
 
 def bucket_counts(documents: DataFrame) -> np.ndarray:
-    """How many distinct shingles of documents fall into each bucket, over all documents; a fixed 2 MB."""
+    """How many distinct shingles of documents fall into each bucket, over all documents: in steps of log2 / COARSE.
+
+    A task sends, of each range of buckets, what it has counted as packed bytes; a range is summed by one task, which holds
+    a few kB per four million shingles. The result is a byte per bucket, whatever the input.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.int64)
+        held, size = [], 0
         for batch in batches:
-            held, size = [], 0
             for _, tokens in sets_of(batch.column(0)):
-                held.append(tokens)
+                held.append((tokens >> BUCKET_SHIFT).astype(np.int32))
                 size += len(tokens)
-                if size > 1 << 20:
-                    counts += np.bincount((np.concatenate(held) >> U64(46)).astype(np.int64), minlength=BUCKETS)
+                if size > 1 << 22:
+                    yield pack(held)
                     held, size = [], 0
-            if size:
-                counts += np.bincount((np.concatenate(held) >> U64(46)).astype(np.int64), minlength=BUCKETS)
-        used = np.flatnonzero(counts)
-        for first in range(0, len(used), 1 << 16):
-            part = used[first : first + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], names=["bucket", "n"])
-
-    rows = documents.select("text").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(BUCKETS, np.int64)
-    counts[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
-    return counts
+        if size:
+            yield pack(held)
+
+    def pack(held: list[np.ndarray]) -> pa.RecordBatch:
+        buckets = np.sort(np.concatenate(held))
+        starts = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]])
+        counts = np.minimum(np.diff(np.r_[starts, len(buckets)]), 0xFFFF).astype("<u2")
+        buckets = buckets[starts]
+        cut = np.searchsorted(buckets, np.arange(0, BUCKETS + 1, RANGE))
+        ranges = np.flatnonzero(cut[1:] > cut[:-1])
+        bodies = []
+        for k in ranges.tolist():
+            steps = np.diff(buckets[cut[k] : cut[k + 1]], prepend=k * RANGE).astype("<u2")
+            bodies.append(zlib.compress(steps.tobytes() + counts[cut[k] : cut[k + 1]].tobytes(), 1))
+        return pa.RecordBatch.from_arrays([pa.array(ranges.astype(np.int32)), pa.array(bodies, pa.binary())], names=["range", "body"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = np.zeros(RANGE, np.int64)
+        for body in group.column("body"):
+            steps, counts = np.frombuffer(zlib.decompress(body.as_py()), "<u2").reshape(2, -1)
+            total[np.cumsum(steps, dtype=np.int64)] += counts
+        codes = np.minimum(np.rint(COARSE * np.log2(np.maximum(total, 1))), 255).astype(np.uint8)
+        return pa.table([group.column("range").slice(0, 1), pa.array([codes.tobytes()], pa.binary())], names=["range", "body"])
+
+    schema = "range int, body binary"
+    rows = documents.select("text").mapInArrow(run, schema).groupBy("range").applyInArrow(add, schema).toArrow()
+    codes = np.zeros((BUCKETS // RANGE, RANGE), np.uint8)
+    for k, body in zip(rows.column("range").to_pylist(), rows.column("body"), strict=True):
+        codes[k] = np.frombuffer(body.as_py(), np.uint8)
+    return codes.reshape(-1)
 
 
 def region_rows(documents: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -210,19 +237,15 @@ def region_rows(documents: DataFrame, counts: np.ndarray) -> DataFrame:
                     continue
                 seen.add(key)
                 take = n - need(n) + 1
-                rarity = counts[(tokens >> U64(46)).astype(np.int64)]
-                if take < n:
-                    # all up to the rarity of the last one taken, then the order within
-                    edge = np.partition(rarity, take - 1)[take - 1]
-                    near = np.flatnonzero(rarity <= edge)
-                    order = near[np.lexsort((tokens[near], rarity[near]))][:take]
-                else:
-                    order = slice(None)
+                rarity = counts[(tokens >> BUCKET_SHIFT).astype(np.int64)]
+                rank = (rarity.astype(U64) << U64(56)) | (tokens >> U64(8))
+                order = np.argpartition(rank, take - 1)[:take]
+                order = order[np.argsort(rank[order])]
                 regions.append(tokens[order].astype(np.int64))
                 docs.append(np.full(take, ids[row], np.int64))
                 sizes.append(np.full(take, n, np.int32))
                 places.append(np.arange(take, dtype=np.int32))
-                centrals.append(np.full(take, int(100 * np.log2(rarity).mean()), np.int32))
+                centrals.append(np.full(take, int(100 * rarity.mean() / COARSE), np.int32))
                 held += take
                 if held > 1 << 17:
                     yield pack(regions, docs, sizes, places, centrals)
@@ -392,10 +415,12 @@ def link(documents: DataFrame, members: DataFrame, copies: DataFrame, folder: st
     """
     met = written(meetings(region_rows(documents, bucket_counts(documents)), radius).distinct(), folder, "meetings")
     met = written(of_first_copies(met, copies), folder, "met")
-    ids = met.select(F.explode(F.array("region", "doc")).alias("doc")).distinct()
+    ids = written(met.select(F.explode(F.array("region", "doc")).alias("doc")).distinct(), folder, "ids")
     bodies = written(packed_texts(documents, ids), folder, "bodies")
     classes = members.where("n_shingles > 0 and doc_id is not null")
-    classes = classes.select(F.col("doc_id").cast("bigint").alias("doc"), F.col("n_shingles").alias("n"), "classes")
+    # only of documents that meet others: every level joins them anew
+    classes = classes.select(F.col("doc_id").cast("bigint").alias("doc"), F.col("n_shingles").alias("n"), "classes").join(ids, "doc", "left_semi")
+    classes = written(classes, folder, "classes")
     pairs = met.where(F.col("kind") != SPOKE).groupBy(F.col("region").alias("a"), F.col("doc").alias("b")).agg(F.min("kind").alias("kind"))
     pairs = written(pairs, folder, "pairs")
     stars_ = met.where(F.col("kind") == SPOKE).drop("kind")
@@ -453,6 +478,9 @@ def link(documents: DataFrame, members: DataFrame, copies: DataFrame, folder: st
         if not again.isEmpty():
             parts = parts.unionByName(shingle_regions(again, bodies, folder, level))
         regions = written(parts, folder, f"regions{level}")
+        if level == 1:
+            # few documents are open beyond the first level: the later ones join only their texts
+            bodies = written(bodies.join(regions.select("doc").distinct(), "doc", "left_semi"), folder, "open_bodies")
 
 
 def of_two_components(pairs: DataFrame, labels: DataFrame) -> DataFrame:

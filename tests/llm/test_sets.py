@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,3 +256,28 @@ def test_small_shingle_regions_end_in_their_pairs(spark):
         assert small | spokes <= pairs
         assert {p for p in pairs if p[0] == jaccard_join.SPOKE} == spokes
         assert not any(13 in p[1:] or 30 in p[1:] for p in pairs)
+
+
+def test_rare_shingles_are_told_from_shared_ones(spark, documents):
+    """A million shingles leave most buckets to one: those of a single document count 1, those of a phrase as often as it stands."""
+    rng = random.Random(9)
+    phrase = " ".join(f"p{k}" for k in range(24))
+    rows = [" ".join(f"{rng.randrange(10**6)}" for _ in range(500)) for _ in range(2000)]
+    rows[::100] = [f"{r} {phrase}" for r in rows[::100]]
+    counts = jaccard_join.bucket_counts(documents(rows).repartition(3))
+
+    def codes(text):
+        (_, tokens), = jaccard_join.sets_of(pa.array([text]))
+        return counts[(tokens >> jaccard_join.BUCKET_SHIFT).astype(int)]
+
+    once = codes(rows[1])
+    assert (once == 0).mean() > 0.9
+    shared = round(jaccard_join.COARSE * math.log2(20))
+    assert codes(phrase).min() == shared and (codes(phrase) == shared).mean() > 0.7
+
+
+def test_counts_of_one_bucket_add_up(documents):
+    """Counts of several tasks and texts are summed; an empty table has none."""
+    counts = jaccard_join.bucket_counts(documents(["a b c", "A b  c", "d e f g h i", None, "", "a b c"]).repartition(4))
+    assert sorted(counts[counts > 0].tolist()) == [round(jaccard_join.COARSE * math.log2(3))]
+    assert not jaccard_join.bucket_counts(documents([])).any()
